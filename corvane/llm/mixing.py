@@ -34,7 +34,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: in
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w = w.withColumns({"total": F.sum("source_size").over(every) * percent / 100.0, "filled": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "emptier": F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))})
     w = w.withColumn("level", (F.col("total") - F.col("filled")) / F.col("emptier"))
-    w = w.withColumn("water", F.min(F.when(F.col("level") < F.col("fills_at"), F.col("level"))).over(every))
+    w = w.withColumn("water", F.first(F.when(F.col("level") < F.col("fills_at"), F.col("level")), ignorenulls=True).over(filling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     target = F.when(F.col("water").isNull() | (F.col("fills_at") <= F.col("water")), F.col("cap")).otherwise(F.col("weight") * F.col("water"))
     return w.select("source", "source_size", target.alias("target"))
 
