@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, resharding, token_counts
+from . import chat_format, embedding_duplicates, mixing, near_duplicates, packing, resharding, token_counts, topk_search
 from .common import table
 
 #: Tokens over which a document is called long.
@@ -39,5 +39,26 @@ def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_mixing, op8_resharding)}
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema))
+    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("payload"))
+    turns = chat_format.canonical_turns(records, "payload")
+    return chat_format.digests(chat_format.format_conversations(turns))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.group_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_mixing, op5_chat_format, op6_near_duplicates, op7_embedding_duplicates, op8_resharding, op10_topk_search)}
 ORACLES: dict[str, str] = {}
