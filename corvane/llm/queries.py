@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, embedding_duplicates, mixing, near_duplicates, packing, resharding, token_counts, topk_search
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 #: Tokens over which a document is called long.
 TOKEN_LIMIT = 512
@@ -61,4 +62,4 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_mixing, op5_chat_format, op6_near_duplicates, op7_embedding_duplicates, op8_resharding, op10_topk_search)}
-ORACLES: dict[str, str] = {}
+
