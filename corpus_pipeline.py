@@ -1,15 +1,60 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's docs."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's docs.
+
+Quality drops the documents that the classifier rejects; near-duplicates leaves one document of each group (five words,
+similarity 0.8); private data is masked; the sources are mixed to their target weights; what is left is packed.
+"""
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import mixing, near_duplicates, packing, private_data, quality
+from corvane.llm.common import materialize, table
+from corvane.llm.queries import tokenizer_path
+
+SIMILAR = Fraction(80, 100)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.keep_first(docs, SIMILAR).select(*docs.columns)
+
+
+def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = private_data.mask_documents(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.draw_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("private_data", private_data_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: A classifier, the sketches, the field and the packing can't be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{name}")
     return docs

@@ -39,11 +39,11 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: in
     return w.select("source", "source_size", target.alias("target"))
 
 
-def mix(rows: DataFrame, n_sources: int, goal: DataFrame, most: int = 2) -> DataFrame:
-    """rows: source, size and a 60-bit hash h >= 0; goal: source, source_size, target. Adds source_size, target, taken.
+def thresholds(rows: DataFrame, n_sources: int, goal: DataFrame, most: int = 2) -> DataFrame:
+    """rows: source, size and a 60-bit hash h >= 0; goal: source, source_size, target. Adds to goal what taken() reads.
 
-    taken is size times the whole rounds that the target holds, and once more for hashes below the source's threshold;
-    rows at the threshold share what is left, so a source's words are within one for each such row of its target.
+    rounds is how often the target holds the whole source, prefix the hash at which the rest of the budget runs out,
+    left what the rows of that hash still get, and cell what they hold.
     """
     state = goal.withColumns({
         "rounds": F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long"),
@@ -64,25 +64,59 @@ def mix(rows: DataFrame, n_sources: int, goal: DataFrame, most: int = 2) -> Data
             F.when(full, F.lit(0)).otherwise(F.col("edge.left")).cast("long").alias("left"),
             F.when(full, F.lit(0)).otherwise(F.col("edge.words")).cast("long").alias("cell"),
         )
-        if level < LEVELS - 1:
-            state = materialize(state, "mix-state")
+        state = materialize(state, "mix-state")
+    return state
+
+
+def taken(rows: DataFrame, n_sources: int, state: DataFrame) -> DataFrame:
+    """Adds source_size, target and taken to rows.
+
+    taken is size times the rounds, and once more for hashes below the source's threshold; rows at the threshold share
+    what is left, so a source's words are within one for each such row of its target.
+    """
     known = state.withColumnRenamed("source", "s")
     more = F.when(F.col("h") < F.col("prefix"), F.col("size")).when((F.col("h") == F.col("prefix")) & (F.col("cell") > 0), F.floor(F.col("size").cast("double") * F.col("left") / F.col("cell"))).otherwise(0)
     return rows.join(small(known, n_sources), F.col("source").eqNullSafe(F.col("s"))).withColumn("taken", (F.col("size") * F.col("rounds") + more).cast("long")).drop("s", "rounds", "prefix", "left", "cell")
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words and hash of each document; a null text has no words."""
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with size in words and hash h; a null text has no words."""
     digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mix")).cast("binary"))
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"))
+    return docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "h": F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")})
+
+
+def planned(rows: DataFrame) -> tuple[int, DataFrame]:
+    """Number of sources and thresholds for rows of source, size and h."""
+    totals = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-totals")
+    n_sources = totals.count()
+    return n_sources, thresholds(rows, n_sources, targets(totals))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and h for each row of docs.
+    """doc_id, source, size, h, source_size, target and taken for each row of docs.
 
     A null source is a source of its own, the last; a source without words gets nothing; rows that share a doc_id
     share a hash, and where the threshold falls on it they are taken in equal parts. An empty table gives an empty one.
     """
-    rows = materialize(hashed(docs), "mix-rows")
-    totals = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-totals")
-    return mix(rows, totals.count(), targets(totals))
+    rows = materialize(measured(docs.select("doc_id", "source", "text")).drop("text"), "mix-rows")
+    return taken(rows, *planned(rows))
+
+
+def draw_documents(docs: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of docs: each row as often as it's taken whole, and then its first words if it's taken in part.
+
+    Only sizes and hashes are written to find the thresholds; the texts stay where they are and are filtered in place.
+    """
+    columns = docs.columns
+    rows = materialize(measured(docs.select("doc_id", "source", "text")).drop("text"), "mix-rows")
+    mixed = taken(measured(docs), *planned(rows))
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
+    rest = F.col("taken") - whole * F.col("size")
+    copies = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    drawn = mixed.withColumn("words", F.explode(copies))
+    first = F.concat_ws(" ", F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.greatest(F.col("words"), F.lit(1)).cast("int")))
+    cut = F.col("words") < F.col("size")
+    drawn = drawn.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        drawn = drawn.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return drawn.select(*columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 from .components import components
 
 BANDS, ROWS, BASE = 32, 8, 1.1
@@ -237,3 +237,19 @@ def group_documents(docs: DataFrame, threshold: Fraction = Fraction(85, 100), wi
     out = rows.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("d"), "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_first(docs: DataFrame, threshold: Fraction, width: int = 5) -> DataFrame:
+    """The rows of docs, whole, of one document for each group; of rows that repeat a doc_id, one.
+
+    Only the numbers of documents that go are joined with the texts.
+    """
+    grouped = materialize(group_documents(docs, threshold, width), "groups")
+    gone = materialize(grouped.where("not kept").select("doc_id").distinct(), "groups-gone")
+    left = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
+    again = materialize(grouped.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "groups-again")
+    n = again.count()
+    if not n:
+        return left
+    once = left.join(small(again, n), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(small(again, n), "doc_id", "left_anti").unionByName(once)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_duplicates, mixing, near_duplicates, packing, resharding, token_counts, topk_search
+from . import chat_format, embedding_duplicates, mixing, near_duplicates, packing, private_data, quality, resharding, token_counts, topk_search
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -19,6 +19,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return private_data.find(docs, private_data.train(docs))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -57,9 +62,27 @@ def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.col("host").alias("source"), "path", F.col("p").alias("doc_score"), F.col("site").alias("site_score"), "score", "accepted")
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op4_mixing, op5_chat_format, op6_near_duplicates, op7_embedding_duplicates, op8_resharding, op10_topk_search)}
-
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_private_data,
+        op2_packing,
+        op3_token_counts,
+        op4_mixing,
+        op5_chat_format,
+        op6_near_duplicates,
+        op7_embedding_duplicates,
+        op8_resharding,
+        op9_quality,
+        op10_topk_search,
+    )
+}
