@@ -79,15 +79,14 @@ class Model:
 
 
 def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton's method; classes weigh the same in all."""
+    """Logistic regression by Newton's method, every row with the same weight, so that doubtful documents go with the majority."""
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
     a = np.c_[(x - mean) / spread, np.ones(len(x))]
-    own = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     w, keep = np.zeros(a.shape[1]), np.full(a.shape[1], ridge)
     keep[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (own * p * (1 - p))[:, None]).T @ a + np.diag(keep + 1e-9), a.T @ (own * (y - p)) - keep * w)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep + 1e-9), a.T @ (y - p) - keep * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
