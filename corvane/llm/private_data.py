@@ -8,7 +8,8 @@ far apart they are (the skips). All members of such a set are tied to one node o
 the tokens. Loopy message passing with damping then gives each token's marginal.
 
 Potentials are trained here, on the whole table: the patterns' labels are counted by shape, by transition and by agreement,
-in tables of fixed size, with sums on every task. Tokens that a pattern has labelled are clamped while inferring.
+in tables of fixed size, with sums on every task; tokens that no pattern took but that could be of a kind by themselves
+have no label and aren't counted. Tokens that a pattern has labelled are clamped while inferring.
 """
 
 from __future__ import annotations
@@ -250,10 +251,12 @@ def train(docs: DataFrame) -> Field:
                 text = value.as_py()
                 if text and _TRIGGER.search(text):
                     tokens = tokens_of(text, base_spans(text))
+                    told = [bool(t.label) or not any(holds(k, text[t.start : t.end]) for k in range(len(KINDS))) for t in tokens]
                     for i, t in enumerate(tokens):
-                        seen[0, t.shape, t.label] += 1
-                        if i and t.place == tokens[i - 1].place + 1:
-                            seen[1, tokens[i - 1].label, t.label] += 1
+                        if told[i]:
+                            seen[0, t.shape, t.label] += 1
+                            if i and told[i - 1] and t.place == tokens[i - 1].place + 1:
+                                seen[1, tokens[i - 1].label, t.label] += 1
                     for members, weight in skips(tokens):
                         if weight == 1.0 and (marked := [tokens[i].label for i in members]).count(0) < len(marked):
                             most = Counter(marked).most_common(1)[0][1]
