@@ -107,16 +107,18 @@ def draw_documents(docs: DataFrame) -> DataFrame:
 
     Only sizes and hashes are written to find the thresholds; the texts stay where they are and are filtered in place.
     """
-    columns = docs.columns
     rows = materialize(measured(docs.select("doc_id", "source", "text")).drop("text"), "mix-rows")
-    mixed = taken(measured(docs), *planned(rows))
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
-    rest = F.col("taken") - whole * F.col("size")
-    copies = F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    names = {c: f"own_{k}" for k, c in enumerate(docs.columns)}  # whatever else the columns are called
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "doc_id", "source", "text")
+    mixed = taken(measured(whole), *planned(rows))
+    rounds = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
+    rest = F.col("taken") - rounds * F.col("size")
+    copies = F.concat(F.array_repeat(F.col("size"), rounds.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     drawn = mixed.withColumn("words", F.explode(copies))
     first = F.concat_ws(" ", F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.greatest(F.col("words"), F.lit(1)).cast("int")))
     cut = F.col("words") < F.col("size")
     drawn = drawn.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        drawn = drawn.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return drawn.select(*columns)
+    own = {c: F.col(n) for c, n in names.items()} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(cut, F.length("text").cast("long")).otherwise(own["n_chars"])
+    return drawn.select(*[own[c].alias(c) for c in docs.columns])

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import materialize, small
 
@@ -124,17 +125,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return Model(lexicon, *regress(np.array(found["x"].tolist())[order], y[order]))
 
 
-def evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns of docs in keep, and logit, the document's own evidence. A null text is an empty one."""
-    kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+def evidence(rows: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """rows, with logit, the evidence of the column text, added; without text unless it's kept. A null text is scored as an empty one."""
+    at = rows.columns.index("text")
+    kept = [f for f in rows.schema if keep_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([features(t, model.lexicon) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.logit(rows))], names=[*keep, "logit"])
+            made = np.array([features(t or "", model.lexicon) for t in batch.column(at).to_pylist()]).reshape(-1, FEATURES)
+            columns = [c for k, c in enumerate(batch.columns) if keep_text or k != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(model.logit(made))], names=[*(f.name for f in kept), "logit"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return kept.mapInArrow(run, f"{schema}, logit double")
+    return rows.mapInArrow(run, StructType([*kept, StructField("logit", DoubleType())]))
 
 
 def _sigmoid(x: Column) -> Column:
@@ -200,17 +202,18 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels of both kinds all is accepted; an empty table gives an empty one; other columns are dropped.
     """
     model = fit(docs, accepted_labels(labels))
-    scored = evidence(docs.select("doc_id", "text", *sites_of_documents()), model, ["doc_id", "host", "path"]).withColumn("p", _sigmoid(F.col("logit")))
+    scored = evidence(docs.select("doc_id", "text", *sites_of_documents()), model).withColumn("p", _sigmoid(F.col("logit")))
     scored = materialize(scored, "quality-scores")
     return combine(scored, *posteriors(scored))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score_documents accepts, whole. Texts are scored twice rather than moved."""
-    columns = docs.columns
+    """The rows of docs that score_documents accepts, whole and with all columns. Texts are scored twice rather than moved."""
     model = fit(docs, accepted_labels(labels))
-    placed = docs.select(*columns, *sites_of_documents())
-    brief = evidence(placed.select("text", "host", "path"), model, ["host", "path"]).withColumn("p", _sigmoid(F.col("logit")))
+    brief = evidence(docs.select("text", *sites_of_documents()), model).withColumn("p", _sigmoid(F.col("logit")))
     sites, mean, strength = posteriors(brief)
-    whole = evidence(placed, model, [*columns, "host", "path"]).withColumn("p", _sigmoid(F.col("logit")))
-    return combine(whole, sites, mean, strength).where("accepted").select(*columns)
+    names = {c: "text" if c == "text" else f"own_{k}" for k, c in enumerate(docs.columns)}  # whatever else the columns are called
+    placed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *sites_of_documents())
+    whole = evidence(placed, model, keep_text=True).withColumn("p", _sigmoid(F.col("logit")))
+    kept = combine(whole, sites, mean, strength).where("accepted")
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
