@@ -9,11 +9,13 @@ b being near 1, equal with a probability near the Jaccard similarity. Eight regi
    the registers' order, given both cardinalities, estimates the similarity; what it can't rule out is confirmed on the
    full sets, exactly.
 3. Confirmed links are closed to components. Cells whose members are then in more than one component are gone through
-   again, each member outside the hub's component with all others of the cell; pairs within a component need no test.
-   So every candidate pair is tested or already connected, without all pairs of a group being made.
+   again, with the full sets of their members: of two sets so similar, each has one of the other's among its rarest
+   shingles of the cell, so only members that share one of those meet, unless they're connected already. A cell gives the
+   links that connect it and no more. So every candidate pair is tested, ruled out by its rarest shingles, or already
+   connected, without all pairs of a group being made. Cells of more than CELL_ROWS members are dealt out in blocks.
 
 Only cell keys and class numbers move for the candidate search; full sets are made again from the texts of the classes
-in question, found by a bitmap over their ids.
+in question alone, found by a bitmap over their ids.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from .components import components
 BANDS, ROWS, BASE = 32, 8, 1.1
 REGISTERS = BANDS * ROWS
 SIGMAS = 5.0
+CELL_ROWS = 2048
 
 
 def _odd(seed: int, n: int, bits: int) -> np.ndarray:
@@ -195,6 +198,77 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold:
     return materialize(seen.join(near("a"), "a").join(near("b"), "b").select("a", "b", "m_a", "m_b").mapInArrow(exact, "a long, b long"), "pairs-confirmed")
 
 
+def cell_links(sets: list[np.ndarray], labels: list[int], threshold: Fraction) -> list[tuple[int, int]]:
+    """Pairs of members (places in the list) that are as similar as the threshold, enough of them to connect all that are linked.
+
+    Members of one label are connected already. Exact: ordered by their frequency in the cell, then by value, two sets that
+    share the threshold's part of their union share one of each's first n - ceil(threshold * n) + 1.
+    """
+    group: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while group.setdefault(x, x) != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(np.lexsort((values, counts)))
+    at = np.cumsum([0, *map(len, sets)])
+    seen: dict[int, list[int]] = {}
+    found = []
+    for i in sorted(range(len(sets)), key=lambda k: (len(sets[k]), k)):
+        n = len(sets[i])
+        ranks = order[inverse[at[i] : at[i + 1]]]
+        first = n - -(-threshold.numerator * n // threshold.denominator) + 1
+        prefix = np.partition(ranks, first - 1)[:first].tolist() if first < n else ranks.tolist()
+        for j in sorted({j for r in prefix for j in seen.get(r, ())}):
+            if len(sets[j]) * threshold.denominator < threshold.numerator * n or root(labels[i]) == root(labels[j]):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * threshold.denominator >= threshold.numerator * (n + len(sets[j]) - both):
+                group[root(labels[i])] = root(labels[j])
+                found.append((j, i))
+        for r in prefix:
+            seen.setdefault(r, []).append(i)
+    return found
+
+
+def within_cells(docs: DataFrame, classes: DataFrame, cells: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """cells: key, cid, members (how many) and label -> confirmed links (a, b) between classes of different labels, enough to connect each cell."""
+
+    def settle(held: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
+        if len({label for _, label, _ in held}) < 2:
+            return []
+        sets = [np.frombuffer(m, np.uint64) for _, _, m in held]
+        return [(held[i][0], held[j][0]) for i, j in cell_links(sets, [label for _, label, _ in held], threshold)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, found = None, [], []
+        for batch in batches:
+            for key, x, y, cid, label, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, x, y) != at:
+                    found += settle(held)
+                    at, held = (key, x, y), []
+                held.append((cid, label, members))
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+                found = []
+        found += settle(held)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    wanted = materialize(classes.join(cells.select("cid").distinct(), "cid").select("cid", "doc_id", "digest"), "cells-wanted")
+    sets = materialize(full_sets(docs, wanted, width), "cells-sets")
+    blocks = F.ceil(F.col("members") / F.lit(CELL_ROWS)).cast("int")
+    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
+    # A block meets itself and every other block once, in the cell (lesser, greater).
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("x"), F.greatest(own, other).alias("y")))
+    rows = cells.select("key", "cid", "label", F.explode(meets).alias("m")).join(sets, "cid").select("key", "m.x", "m.y", "cid", "label", "members")
+    n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(rows.repartition(n_parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long"), "cells-links")
+
+
 def group_documents(docs: DataFrame, threshold: Fraction = Fraction(85, 100), width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the group) and kept for each row of docs.
 
@@ -206,9 +280,8 @@ def group_documents(docs: DataFrame, threshold: Fraction = Fraction(85, 100), wi
     rows = materialize(sketches(docs, width), "sketches")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    least = float(threshold) - 1e-9
 
-    keys = classes.select("cid", "n", F.posexplode("sketch")).select("cid", "n", F.xxhash64("pos", "col").alias("key"))
+    keys = classes.select("cid", F.posexplode("sketch")).select("cid", F.xxhash64("pos", "col").alias("key"))
     cells = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("members")).where("members > 1")
     members = materialize(keys.join(cells, "key"), "cells")
     firsts = members.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
@@ -217,17 +290,11 @@ def group_documents(docs: DataFrame, threshold: Fraction = Fraction(85, 100), wi
     labels = components(links)
 
     label = F.coalesce("component", "cid").alias("label")
-    told = members.where("members > 2").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "hub", "cid", "n", label)
+    told = members.where("members > 2").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "members", label)
     mixed = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     told = materialize(told.join(mixed, "key"), "cells-mixed")
-    hubs = told.where("cid = hub").select("key", F.col("label").alias("hub_label"))
-    outside = told.where("cid <> hub").join(hubs, "key").where("label <> hub_label").select("key", F.col("cid").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("l_x"))
-    others = told.where("cid <> hub").select("key", F.col("cid").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("l_y"))
-    close = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * F.lit(least)
-    more = outside.join(others, "key").where((F.col("l_x") != F.col("l_y")) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = materialize(more.join(firsts, ["a", "b"], "left_anti"), "pairs-second")
-    if more.limit(1).count():
-        second = confirmed(docs, classes, more, threshold, width)
+    if told.limit(1).count():
+        second = within_cells(docs, classes, told, threshold, width)
         if second.limit(1).count():
             labels = components(links.union(second))
 
