@@ -1,0 +1,33 @@
+"""The contract queries against DuckDB on the smallest tables, and the pipeline against what its stages promise."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from corvane.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(ORACLES[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
+    rows = lambda df: sorted(map(repr, df.itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, SF)
+        assert docs.columns == before.columns, name
+        sizes.append(docs.count())
+    assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2]
+    packed = corpus_pipeline.run(spark, SF).toPandas()
+    assert packed.groupby("sequence_id").length.sum().max() <= 2048
