@@ -314,7 +314,8 @@ def facts(path: str, source: str) -> dict:
     heads: dict[str, int] = {}
     for d in declared:
         if d.kind != "field":
-            heads[d.name.split(".")[-1]] = heads.get(d.name.split(".")[-1], 0) + 1
+            for name in {d.name.split(".")[-1], d.owner if "." in d.name else None} - {None}:
+                heads[name] = heads.get(name, 0) + 1
     count: dict[str, int] = {}
     for t in code:
         if t.kind == "name":
