@@ -28,6 +28,8 @@ from .common import materialize, small
 
 SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 500
+#: Lengths in bytes of the beginnings of words that may enter the lexicon besides whole words, so that inflected forms count.
+STEMS = (5, 6, 7, 8)
 #: Documents that a word must be in, and the share of them that must be rejected ones, to enter the lexicon.
 WORD_DOCS, WORD_PURITY = 8, 0.98
 #: Largest shift by the site's evidence, in log-odds.
@@ -39,8 +41,10 @@ MARKS = np.isin(np.arange(256), np.frombuffer(b"#$%&*@^~`_=+<>\\/{}[]", np.uint8
 STOPS = np.isin(np.arange(256), np.frombuffer(b".,;:?'\"()-", np.uint8))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def stems(words: set[bytes]) -> set[bytes]:
+    """Words and their beginnings, marked as such."""
+    bare = {w.strip(b".,;:!?'\"()-") for w in words}
+    return bare.union(*[{w[:k] + b"*" for w in bare if len(w) > k} for k in STEMS])
 
 
 def features(text: str, lexicon: frozenset[bytes]) -> list[float]:
@@ -51,7 +55,7 @@ def features(text: str, lexicon: frozenset[bytes]) -> list[float]:
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     kinds = set(words)
     letters = max(1, int(counts[UPPER].sum() + counts[LOWER].sum()))
-    hit = bool(lexicon) and any(w.strip(b".,;:!?'\"()-") in lexicon for w in kinds)
+    hit = bool(lexicon) and not lexicon.isdisjoint(stems(kinds))
     return [
         math.log1p(len(words)) / 5,
         int(counts[UPPER].sum()) / letters,
@@ -103,14 +107,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         seen: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
             for text, accept in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[accept].update({w.strip(b".,;:!?'\"()-") for w in words_of(text)})
+                seen[accept].update(stems(set(text.encode().lower().split())))
         for accept, found in enumerate(seen):
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found]), pa.array([accept] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "accept", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([accept] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "accept", "n"])
 
-    counts = known.mapInArrow(spell, "word string, accept int, n long").groupBy("word").agg(F.sum(F.when(F.col("accept") == 0, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
-    listed = counts.where((F.col("bad") >= WORD_DOCS) & (F.col("bad") >= WORD_PURITY * F.col("n")) & (F.length("word") >= 3)).orderBy(F.desc("bad"), "word").limit(LEXICON_WORDS).collect()
-    lexicon = frozenset(r["word"].encode() for r in listed)
+    counts = known.mapInArrow(spell, "word binary, accept int, n long").groupBy("word").agg(F.sum(F.when(F.col("accept") == 0, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
+    listed = counts.where((F.col("bad") >= WORD_DOCS) & (F.col("bad") >= WORD_PURITY * F.col("n")) & (F.octet_length("word") >= 3)).orderBy(F.desc("bad"), "word").limit(LEXICON_WORDS).collect()
+    lexicon = frozenset(bytes(r["word"]) for r in listed)
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
