@@ -15,6 +15,20 @@ def mode(value: str) -> int | None:
     raise argparse.ArgumentTypeError(f"{value!r} is neither full, partial, none nor a positive number")
 
 
+def show(spark, config, what: str, as_json: bool, listed: int | None) -> int:
+    """An inventory of the tree, without the analysis."""
+    import json
+
+    from corvane.sources import inventory, tree
+
+    scanned = tree.classified(tree.read_tree(spark, config.root), list(config.exclude))
+    facts = tree.extract(scanned.where("reason is null and is_dart and not is_test"))
+    df = {"literals": inventory.literals, "ignores": inventory.ignores}[what](facts) if what != "excluded" else tree.excluded(scanned).orderBy("path")
+    found = [r.asDict(recursive=True) for r in (df if listed is None else df.limit(listed)).collect()]
+    print(json.dumps(found, indent=2) if as_json else "\n".join(" ".join(map(str, r.values())) for r in found))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="corvane", description="Quality of a source tree, as Spark queries over its facts.")
     p.add_argument("folder", nargs="?", default=".")
@@ -22,6 +36,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--list", type=mode, default=10)
     p.add_argument("--exclude", action="append", default=[])
     p.add_argument("--strict", action="store_true")
+    p.add_argument("--show", choices=("literals", "ignores", "excluded"), help="an inventory instead of the report")
     for sink in ("mermaid", "plantuml", "svg", "treemap", "issues"):
         p.add_argument(f"--{sink}")
     args = p.parse_args(argv)
@@ -38,6 +53,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("corvane").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     config = load_config(args.folder)
     config = replace(config, exclude=tuple(dict.fromkeys([*config.exclude, *args.exclude])), strict=config.strict or args.strict)
+    if args.show:
+        return show(spark, config, args.show, args.json, args.list)
     a = analyze(spark, config.root, config)
     print(reports.as_json(a) if args.json else "\n".join(reports.text_report(a, args.list)))
     placed = placed_edges(a.edges, a.layers)
