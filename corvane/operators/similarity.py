@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources.store import materialize
+
+
+def most_edits(n: Column, threshold: float) -> Column:
+    return F.floor((F.lit(1.0) - F.lit(threshold)) * n).cast("int")
+
 
 def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
     """items: id, signature, code (a character for each token) -> (a, b, similarity) with 1 - distance / longer >= threshold, a < b.
 
-    Only equal signatures meet. Equal codes are one class, so copies aren't compared with each other; classes meet on a
-    bucket of the code's length, whose width grows with the length so that two buckets in a row hold all partners.
+    Only equal signatures meet, and equal codes are one class. A code that k edits turn into another leaves one of any k + 1
+    pieces of the longer one whole, at most k places away. So pieces of the longer are joined by equality with the shorter's
+    substrings of that length, and only classes that share one are measured; no class meets all others.
     """
-    width = math.log(1 / threshold)
-    classes = items.groupBy("signature", "code").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("n", F.length("code"))
-    classes = classes.withColumn("bucket", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / width))
-    left = classes.select("signature", F.col("code").alias("x"), F.col("ids").alias("ids_x"), F.col("n").alias("n_x"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    right = classes.select("signature", F.col("code").alias("y"), F.col("ids").alias("ids_y"), F.col("n").alias("n_y"), "bucket")
+    classes = items.where("code is not null").groupBy("signature", "code").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("n", F.length("code"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "similar-classes")
+    some = classes.where("n > 0")
+    piece = lambda n: F.floor(n / (most_edits(n, threshold) + 1)).cast("int")
+    k = most_edits(F.col("n"), threshold)
+    pieces = some.withColumn("size", piece(F.col("n"))).select("signature", "size", F.col("cid").alias("long"), F.col("n").alias("n_long"), k.alias("k"), F.explode(F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((i * F.col("size")).alias("at"), F.substr("code", i * F.col("size") + 1, F.col("size")).alias("gram")))).alias("p"))
+    sizes = F.array_distinct(F.transform(F.sequence(F.col("n"), F.floor(F.col("n") / F.lit(threshold)).cast("int") + 1), piece))
+    parts = some.withColumn("size", F.explode(sizes)).where("size between 1 and n")
+    parts = parts.select("signature", "size", F.col("cid").alias("short"), F.col("n").alias("n_short"), F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda i: F.struct(i.alias("at"), F.substr("code", i + 1, F.col("size")).alias("gram")))).alias("q"))
+    pieces, parts = pieces.select("signature", "size", "p.gram", "long", "n_long", "k", F.col("p.at").alias("at_long")), parts.select("signature", "size", "q.gram", "short", "n_short", F.col("q.at").alias("at_short"))
+    close = (F.abs(F.col("at_long") - F.col("at_short")) <= F.col("k")) & (F.col("n_short") <= F.col("n_long")) & (F.col("n_short") >= F.col("n_long") * F.lit(threshold)) & (F.col("long") != F.col("short"))
+    met = pieces.join(parts, ["signature", "size", "gram"]).where(close).select(F.least("long", "short").alias("x"), F.greatest("long", "short").alias("y")).distinct()
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("code").alias(f"code_{c}"), F.col("ids").alias(f"ids_{c}"), F.col("n").alias(f"n_{c}"))
+    near = met.join(side("x"), "x").join(side("y"), "y")
     longer = F.greatest("n_x", "n_y")
-    most = F.floor((F.lit(1.0) - F.lit(threshold)) * longer).cast("int")
-    ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y")))
-    near = left.join(right, ["signature", "bucket"]).where(ordered & (F.least("n_x", "n_y") >= longer * F.lit(threshold)))
-    near = near.withColumn("distance", F.call_function("levenshtein", "x", "y", most)).where("distance >= 0")
+    near = near.withColumn("distance", F.call_function("levenshtein", "code_x", "code_y", most_edits(longer, threshold))).where("distance >= 0")
     apart = near.select(F.explode("ids_x").alias("p"), "ids_y", (1 - F.col("distance") / longer.cast("double")).alias("similarity")).select("p", F.explode("ids_y").alias("q"), "similarity")
     same = classes.where(F.size("ids") > 1).select(F.explode("ids").alias("p"), "ids").select("p", F.explode("ids").alias("q"), F.lit(1.0).alias("similarity")).where("p < q")
     return apart.unionByName(same).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
