@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows of a lookup table that may be broadcast (a few dozen bytes each); beyond it, a shuffle join is used.
 BROADCAST_ROWS = 200_000
 
+#: Rows of a batch that goes to Python at once; whole texts make rows large.
+BATCH_ROWS = 500
+
 _local_dir: list[str] = []
 
 
@@ -26,6 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir[0]
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH_ROWS rows: a batch is held on both sides, for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later steps neither recompute it nor depend on one executor's disk."""
     spark = df.sparkSession

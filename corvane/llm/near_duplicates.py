@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import lean, materialize, small
 from .components import components
 
 BANDS, ROWS, BASE = 32, 8, 1.1
@@ -53,7 +53,7 @@ def finish(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of whole texts: sorted distinct 64-bit hashes of ``width`` words in a row."""
 
-    def __init__(self, width: int = 5, most: int = 400_000):
+    def __init__(self, width: int = 5, most: int = 150_000):
         import xxhash
 
         class Words(dict):
@@ -133,7 +133,7 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
                 bands.append(sketcher.sketch(found).view("<i8") if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return lean(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
 def _bits(ids: DataFrame, n: int) -> tuple[int, dict[int, bytes]]:
@@ -163,7 +163,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int = 5) -> DataFrame:
                     sets.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "members"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(size))).alias("place"))
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(size))).alias("place"))
     made = rows.mapInArrow(run, "digest binary, members binary")
     return made.join(wanted.select("cid", "digest"), "digest").dropDuplicates(["cid"]).select("cid", "members")
 

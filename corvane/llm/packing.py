@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 CAPACITY, GRAIN, BUCKET_ROWS = 2048, 512, 4096
 #: Texts with none of these are encoded by word; the others, by the library as a whole. Up to U+024F, no character composes with its neighbours or lowers by context.
 BEYOND_WORDS = re.compile("[^\x00-ɏ]|<\\|")
@@ -102,7 +104,7 @@ class Words(dict):
     its own merge as long as the library gives the token for its own text. Tests hold that for the vocabulary and for the words of the test tables.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -174,5 +176,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain:
         first = np.searchsorted(window, window, "left")
         return rows.drop(columns="bucket").assign(sequence_id=(np.int64(key[0]) << 32) + window, offset=before - before[first])
 
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long")
+    pieces = lean(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long")
     return pieces.groupBy("bucket").applyInPandas(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

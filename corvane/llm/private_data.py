@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is none
 SHAPES = 4096
@@ -267,7 +269,7 @@ def train(docs: DataFrame) -> Field:
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([seen[k] for k in keys], pa.int64())], names=["kind", "a", "b", "n"])
 
     counts: tuple[Counter, Counter, Counter] = Counter(), Counter(), Counter()
-    for kind, a, b, n in docs.select("text").mapInArrow(run, COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():
+    for kind, a, b, n in lean(docs).select("text").mapInArrow(run, COUNTS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect():
         counts[kind][a if kind == 2 else (a, b)] += n
     return Field.trained(*counts)
 
@@ -298,7 +300,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 spans.append(written(every))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -323,4 +325,4 @@ def mask_documents(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)

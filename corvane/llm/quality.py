@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize, small
+from .common import lean, materialize, small
 
 SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 500
@@ -101,7 +101,7 @@ def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """labels: doc_id and accept (0 or 1). At most ``rows`` labelled documents are used; without both kinds, all is accepted."""
     sample = labels.where("doc_id is not null and accept is not null").select("doc_id", "accept").orderBy(F.xxhash64("doc_id"), "doc_id", "accept").limit(rows)
-    known = materialize(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", F.col("accept").cast("int").alias("accept")), "quality-sample")
+    known = materialize(lean(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", F.col("accept").cast("int").alias("accept")), "quality-sample")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -140,7 +140,7 @@ def evidence(rows: DataFrame, model: Model, keep_text: bool = False) -> DataFram
             columns = [c for k, c in enumerate(batch.columns) if keep_text or k != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(model.logit(made))], names=[*(f.name for f in kept), "logit"])
 
-    return rows.mapInArrow(run, StructType([*kept, StructField("logit", DoubleType())]))
+    return lean(rows).mapInArrow(run, StructType([*kept, StructField("logit", DoubleType())]))
 
 
 def _sigmoid(x: Column) -> Column:
