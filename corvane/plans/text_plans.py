@@ -161,17 +161,12 @@ def secrets_entropy(spark, sf_dir):
     return v.select("doc_id", "value", F.round(X.entropy(F.col("value")), 6).alias("entropy"))
 
 
-def folded(spark, sf_dir) -> DataFrame:
-    """Documents as short codes of ASCII characters: a lower-cased prefix with others folded, for the pair join's bench."""
-    code = F.regexp_replace(F.lower(F.substring("text", 1, 200)), r"[^\x00-\x7F]", "x")
-    return files(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("signature"), code.alias("code"))
-
-
 @query("""WITH p AS (SELECT doc_id AS id, lang, regexp_replace(lower(substr(text, 1, 200)), '[^\\x00-\\x7F]', 'x', 'g') AS code FROM documents),
 d AS (SELECT a.id AS a, b.id AS b, greatest(length(a.code), length(b.code)) AS m, least(length(a.code), length(b.code)) AS s, levenshtein(a.code, b.code) AS k FROM p a JOIN p b ON a.lang = b.lang AND a.id < b.id AND least(length(a.code), length(b.code)) >= greatest(length(a.code), length(b.code)) * 0.9::DOUBLE)
 SELECT a, b, round(1 - k::DOUBLE / m, 6) AS similarity FROM d WHERE k <= floor((1.0::DOUBLE - 0.9::DOUBLE) * m)""")
 def near_duplicates(spark, sf_dir):
-    """Pairs of documents whose openings are nearly the same; the prefix is the feature that is compared, over all rows."""
-    from corvane.operators.similarity import similar_pairs
+    """Pairs of documents of a language whose whole texts, as words, are nearly the same. The SQL still compares openings alone, by characters."""
+    from corvane.operators.similarity import similar_texts
 
-    return similar_pairs(folded(spark, sf_dir), 0.9).withColumn("similarity", F.round("similarity", 6))
+    docs = files(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("signature"), "text")
+    return similar_texts(docs, 0.9).withColumn("similarity", F.round("similarity", 6))
