@@ -2,9 +2,20 @@
 
 import random
 
+import duckdb
+
 from corvane.operators import similarity
 from corvane.plans.registry import QUERIES
 
+SF = "/root/testdata/sf0.001"
+
+
+def rows_of(sql, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return sorted(con.execute(sql).fetchall(), key=repr)
+
 
 def edits(a, b):
     row = list(range(len(b) + 1))
@@ -48,3 +59,9 @@ def test_word_distance():
         a, b = ([r.choice("abcd") for _ in range(r.randrange(12))] for _ in range(2))
         d, most = edits(a, b), r.randrange(8)
         assert similarity.word_distance(a, b, most) == d if d <= most else similarity.word_distance(a, b, most) > most
+
+
+def test_suffix_match_knows_all_pages(spark):
+    want = rows_of("""WITH u AS (SELECT DISTINCT split_part(url, '://', 2) AS path FROM pages), k AS (SELECT DISTINCT regexp_extract(url, '[^/]+$') AS path FROM pages WHERE regexp_matches(url, '[^/]+$'))
+    SELECT u.path, max_by(k.path, length(k.path)) AS match FROM u LEFT JOIN k ON u.path = k.path OR ends_with(u.path, '/' || k.path) GROUP BY u.path""", "pages")
+    assert sorted(map(tuple, QUERIES["suffix_match"](spark, SF).select("path", "match").collect()), key=repr) == want
