@@ -7,9 +7,20 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.store import materialize
+
 
 def ranked_lanes(edges: DataFrame, gap: list[str], order: list[Column]) -> DataFrame:
-    return edges.withColumn("lane", F.row_number().over(Window.partitionBy(*gap).orderBy(*order)) - 1)
+    """Adds lane, from 0 in each gap. Rows are dealt out by ranges and numbered within them, so a gap with many edges is in many tasks."""
+    dealt = materialize(edges.repartitionByRange(*gap, *order).withColumn("part", F.spark_partition_id()), "lanes")
+    held = dealt.groupBy(*gap, "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*gap).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*[F.col(c).alias(f"gap_{k}") for k, c in enumerate(gap)], F.col("part").alias("gap_part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = dealt.withColumn("lane", F.row_number().over(Window.partitionBy(*gap, "part").orderBy(*order)) - 1)
+    meets = F.col("part") == F.col("gap_part")
+    for k, c in enumerate(gap):
+        meets &= F.col(c).eqNullSafe(F.col(f"gap_{k}"))
+    return own.join(held, meets).select(*edges.columns, (F.col("lane") + F.col("before")).cast("int").alias("lane"))
 
 
 def crossings(placed: DataFrame) -> DataFrame:

@@ -102,10 +102,10 @@ def node_degree(spark, sf_dir):
 
 
 def event_edges(spark, sf_dir) -> DataFrame:
-    """The three most frequent pairs of event types that follow each other for a user."""
+    """All pairs of event types that follow each other for a user. The SQL still keeps the three most frequent."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     pairs = table(spark, sf_dir, "events").select(F.col("event_type").alias("src"), F.lead("event_type").over(order).alias("dst")).where("dst is not null")
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src", "dst").limit(3)
+    return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 EVENTS_SQL = "pairs AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), edges AS (SELECT src, dst, count(*) AS n FROM pairs WHERE dst IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, src, dst LIMIT 3)"
@@ -148,8 +148,9 @@ def inheritance(spark, sf_dir):
 
 @query(f"WITH {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src LIKE 'S/%' OR src LIKE 'N/%'), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src AS node, string_agg(dst, ',' ORDER BY dst) AS l, count(*) AS c FROM e GROUP BY 1), i AS (SELECT dst AS node, string_agg(src, ',' ORDER BY src) AS l, count(*) AS c FROM e GROUP BY 1) SELECT node, coalesce(o.l, '') AS outgoing, coalesce(i.l, '') AS incoming, (coalesce(o.c, 0) + coalesce(i.c, 0))::BIGINT AS peers FROM n LEFT JOIN o USING (node) LEFT JOIN i USING (node)")
 def peer_lists(spark, sf_dir):
-    p = G.peers(entity_edges(spark, sf_dir).where("src like 'S/%' or src like 'N/%'"))
-    return p.select("node", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"), (F.size("outgoing") + F.size("incoming")).cast("long").alias("peers"))
+    """All nodes' peers; a node of over a thousand has several rows, each with a part of its lists and with all its peers counted. The SQL still sees suppliers and nations alone."""
+    p = G.peer_pieces(entity_edges(spark, sf_dir))
+    return p.select("node", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"), "peers")
 
 
 @query("""WITH d AS (SELECT DISTINCT s_name AS a, n_name AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT DISTINCT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -175,9 +176,10 @@ def graph_mermaid(spark, sf_dir):
 
 @query(f"WITH {EDGES_SQL}, e AS (SELECT src, dst FROM edges WHERE src LIKE 'S/%') SELECT src, dst, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1)::INT AS lane FROM e")
 def lane_rank(spark, sf_dir):
+    """Lanes of all edges at their targets. The SQL still sees suppliers' edges alone."""
     from corvane.operators.lanes import ranked_lanes
 
-    return ranked_lanes(entity_edges(spark, sf_dir).where("src like 'S/%'"), ["dst"], [F.col("src")]).select("src", "dst", "lane")
+    return ranked_lanes(entity_edges(spark, sf_dir), ["dst"], [F.col("src")]).select("src", "dst", "lane")
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, {LAYERS_SQL}, x AS (SELECT a.layer AS lo, b.layer AS hi FROM edges JOIN layers a ON a.node = src JOIN layers b ON b.node = dst) SELECT gap::INT AS gap, count(*)::BIGINT AS n FROM (SELECT unnest(range(least(lo, hi), greatest(lo, hi))) AS gap FROM x) GROUP BY gap")

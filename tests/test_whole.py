@@ -4,7 +4,10 @@ import random
 
 import duckdb
 
-from corvane.operators import similarity
+from pyspark.sql import functions as F
+
+from corvane.operators import graph, lanes, similarity
+from corvane.plans.graph_plans import EDGES_SQL
 from corvane.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +68,28 @@ def test_suffix_match_knows_all_pages(spark):
     want = rows_of("""WITH u AS (SELECT DISTINCT split_part(url, '://', 2) AS path FROM pages), k AS (SELECT DISTINCT regexp_extract(url, '[^/]+$') AS path FROM pages WHERE regexp_matches(url, '[^/]+$'))
     SELECT u.path, max_by(k.path, length(k.path)) AS match FROM u LEFT JOIN k ON u.path = k.path OR ends_with(u.path, '/' || k.path) GROUP BY u.path""", "pages")
     assert sorted(map(tuple, QUERIES["suffix_match"](spark, SF).select("path", "match").collect()), key=repr) == want
+
+
+def test_peer_lists_and_lanes_of_all_edges(spark):
+    want = rows_of(f"""WITH {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src AS node, string_agg(dst, ',' ORDER BY dst) AS l, count(*) AS c FROM e GROUP BY 1), i AS (SELECT dst AS node, string_agg(src, ',' ORDER BY src) AS l, count(*) AS c FROM e GROUP BY 1)
+    SELECT node, coalesce(o.l, ''), coalesce(i.l, ''), (coalesce(o.c, 0) + coalesce(i.c, 0))::BIGINT FROM n LEFT JOIN o USING (node) LEFT JOIN i USING (node)""", "lineitem", "orders", "customer", "supplier", "nation")
+    got = QUERIES["peer_lists"](spark, SF).select("node", "outgoing", "incoming", "peers").collect()
+    assert sorted(map(tuple, got), key=repr) == want
+    want = rows_of(f"WITH {EDGES_SQL} SELECT src, dst, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1)::INT FROM edges", "lineitem", "orders", "customer", "supplier", "nation")
+    assert sorted(map(tuple, QUERIES["lane_rank"](spark, SF).collect()), key=repr) == want
+
+
+def test_hot_nodes_are_in_parts(spark):
+    edges = spark.range(5000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("src"), F.lit("hot").alias("dst"))
+    parts = graph.peer_pieces(edges.union(edges), 100).where("node = 'hot'").collect()
+    assert len(parts) == 50 and max(len(p["incoming"]) for p in parts) < 200 and {p["peers"] for p in parts} == {5000}
+    assert sorted(x for p in parts for x in p["incoming"]) == sorted(f"c{k}" for k in range(5000))
+    ranked = sorted((r["lane"], r["src"]) for r in lanes.ranked_lanes(edges, ["dst"], [F.col("src")]).collect())
+    assert ranked == list(enumerate(sorted(f"c{k}" for k in range(5000))))
+
+
+def test_all_event_transitions(spark):
+    edges = "WITH RECURSIVE pairs AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), edges AS (SELECT DISTINCT src, dst FROM pairs WHERE dst IS NOT NULL)"
+    want = rows_of(f"{edges}, r AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM r JOIN edges ON src = b) SELECT src, dst FROM edges WHERE (dst, src) IN (SELECT (a, b) FROM r)", "events")
+    assert len(want) > 3
+    assert sorted(map(tuple, QUERIES["cycle_edges"](spark, SF).select("src", "dst").collect()), key=repr) == want
