@@ -10,7 +10,9 @@ from corvane.operators import localization as L
 from corvane.operators import metrics as M
 from corvane.operators import overlay as O
 from corvane.operators import score as S
+from corvane.operators.similarity import similar_texts
 from corvane.plans.text_plans import NON_BLANK_SQL, files, table
+from corvane.sources.store import materialize
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -205,17 +207,30 @@ def one_entity_per_group(spark, sf_dir):
     return t.select("compliant", "total", F.round(S.fraction_score(F.col("bad"), F.col("total")), 6).alias("score"))
 
 
+#: Documents have no dependencies and no translations, so these areas have no input.
+WITHOUT_INPUT = ("layers", "localization")
+
+
+def duplicate_impact(spark, sf_dir) -> DataFrame:
+    """(project, duplicates, impact): near copies among a source's documents, and the sum of their lines times their similarity."""
+    d = files(spark, sf_dir).select(F.struct("doc_id", "source", T.non_blank_count(F.col("text")).alias("loc")).alias("id"), F.coalesce(F.concat(F.lit("/"), F.col("source")), F.lit("")).alias("signature"), "text")
+    pairs = similar_texts(d.where("id.loc > 0"), 0.9)
+    return materialize(pairs.groupBy(F.col("a.source").alias("project")).agg(F.count("*").alias("duplicates"), F.sum(F.col("a.loc") * F.col("similarity")).alias("impact")), "duplicate-impact")
+
+
 def project_inputs(spark, sf_dir) -> DataFrame:
-    """The documents of a source as a project: what the score needs of it, in one aggregation."""
+    """The documents of a source as a project: what the score needs of it, in one aggregation, and its near copies. The SQL still has no copies and scores the areas without input."""
     text = F.col("text")
     d = files(spark, sf_dir).select("source", "lang", T.non_blank_count(text).alias("loc"), F.size(F.filter(T.lines(text), lambda x: x.contains("Licensed"))).alias("lic"), F.regexp_count("text", F.lit("token = ")).alias("tok"), F.regexp_count("text", F.lit("@[a-z0-9]+[.]example")).alias("mail"), F.regexp_count("text", F.lit("[0-9]{4,}")).alias("num"))
     a = d.groupBy(F.col("source").alias("project")).agg(
         F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum(F.greatest(F.lit(0.0), (F.col("loc") - 30).cast("double") / 30)).alias("over"), F.sum("tok").alias("tok"), F.sum("mail").alias("mail"), F.sum("num").alias("num"), F.sum("lic").alias("lic"),
         F.count_if(F.col("lang") == "es").alias("es"), F.count_if(F.col("loc") > 20).alias("long"), F.count_if(F.col("lang") == "de").alias("de"), F.count_if(F.col("lang") == "fr").alias("fr"),
     )
-    issues = {"code_size": "long", "one_class_per_file": "es", "hardcoded_strings": "mail", "magic_numbers": "num", "source_sorting": "de", "layers": "0", "secrets": "tok", "dead_code": "fr", "duplicate_code": "0", "documentation": "lic", "localization": "0"}
-    out = a.withColumns({f"{k}_issues": F.expr(v).cast("long") for k, v in issues.items()} | {f"{k}_enabled": F.lit(True) for k in issues})
-    return out.withColumns({"size_score": S.clamp01(1 - F.col("over") / F.col("files")), "one_class_total": F.col("files"), "edges": F.col("files"), "duplicate_impact": F.lit(0.0), "localization_on": F.col("es") > 0, "directives": F.col("lic"), "excludes": F.lit(0), "disabled": F.lit(0)})
+    copies = duplicate_impact(spark, sf_dir).withColumnRenamed("project", "p")
+    a = a.join(copies, F.col("project").eqNullSafe(F.col("p")), "left").drop("p")
+    issues = {"code_size": "long", "one_class_per_file": "es", "hardcoded_strings": "mail", "magic_numbers": "num", "source_sorting": "de", "layers": "0", "secrets": "tok", "dead_code": "fr", "duplicate_code": "coalesce(duplicates, 0)", "documentation": "lic", "localization": "0"}
+    out = a.withColumns({f"{k}_issues": F.expr(v).cast("long") for k, v in issues.items()} | {f"{k}_enabled": F.lit(k not in WITHOUT_INPUT) for k in issues})
+    return out.withColumns({"size_score": S.clamp01(1 - F.col("over") / F.col("files")), "one_class_total": F.col("files"), "edges": F.col("files"), "duplicate_impact": F.coalesce("impact", F.lit(0.0)), "localization_on": F.col("es") > 0, "directives": F.col("lic"), "excludes": F.lit(0), "disabled": F.lit(0)})
 
 
 AREAS_SQL = f"""d AS (SELECT source, lang, {NON_BLANK_SQL} AS loc, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'Licensed'))) AS lic, len(regexp_extract_all(text, 'token = ')) AS tok, len(regexp_extract_all(text, '@[a-z0-9]+[.]example')) AS mail, len(regexp_extract_all(text, '[0-9]{{4,}}')) AS num FROM documents),
@@ -245,6 +260,6 @@ e AS (SELECT project, ordinal, area, issues, 1 - score::DOUBLE AS impact FROM ar
 f AS (SELECT project, area, row_number() OVER (PARTITION BY project ORDER BY impact DESC, issues DESC, ordinal) AS n FROM e WHERE impact > 0)
 SELECT s.project, CASE WHEN raw = 100 AND (least < 1 OR points > 0) THEN 99 ELSE raw END::BIGINT AS score, points, coalesce(f.area, 'none') AS focus FROM s LEFT JOIN f ON f.project = s.project AND f.n = 1""")
 def compliance_score(spark, sf_dir):
-    """The flagship: every source of documents scored in eleven areas, with what to look at first."""
+    """The flagship: every source of documents scored in the nine of eleven areas that documents have input for, with what to look at first."""
     inputs = project_inputs(spark, sf_dir)
     return S.overall(S.areas(inputs), S.suppression_points(inputs)).select("project", "score", "points", "focus")

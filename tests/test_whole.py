@@ -93,3 +93,18 @@ def test_all_event_transitions(spark):
     want = rows_of(f"{edges}, r AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM r JOIN edges ON src = b) SELECT src, dst FROM edges WHERE (dst, src) IN (SELECT (a, b) FROM r)", "events")
     assert len(want) > 3
     assert sorted(map(tuple, QUERIES["cycle_edges"](spark, SF).select("src", "dst").collect()), key=repr) == want
+
+
+def test_copies_lower_the_score(spark, tmp_path):
+    body = "\n".join(f"line {k} of a text" for k in range(10))
+    texts = [("copied", body), ("copied", body), ("copied", body + " more"), ("alone", body), ("alone", "something else"), (None, body), (None, body)]
+    rows = [(i, t, "en", s, len(t)) for i, (s, t) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    areas = {(r["project"], r["area"]): r for r in QUERIES["area_scores"](spark, str(tmp_path)).collect()}
+    assert {p: areas[p, "duplicate_code"]["issues"] for p in ("copied", "alone", None)} == {"copied": 3, "alone": 0, None: 1}
+    impact = 10 * (1 + 2 * (1 - 1 / 51))
+    assert areas["copied", "duplicate_code"]["score"] == round(max(0, 1 - 2.5 * impact / 30), 6) == 0
+    assert areas["alone", "duplicate_code"]["score"] == 1
+    assert {a for (p, a), r in areas.items() if p == "copied" and not r["enabled"]} >= {"layers", "localization"}
+    scores = {r["project"]: r for r in QUERIES["compliance_score"](spark, str(tmp_path)).collect()}
+    assert scores["copied"]["focus"] == "duplicate_code" and scores["copied"]["score"] < scores["alone"]["score"]
