@@ -108,3 +108,19 @@ def test_copies_lower_the_score(spark, tmp_path):
     assert {a for (p, a), r in areas.items() if p == "copied" and not r["enabled"]} >= {"layers", "localization"}
     scores = {r["project"]: r for r in QUERIES["compliance_score"](spark, str(tmp_path)).collect()}
     assert scores["copied"]["focus"] == "duplicate_code" and scores["copied"]["score"] < scores["alone"]["score"]
+
+
+def test_secrets_of_all_types(spark, tmp_path):
+    lines = {
+        "aws_access_key": "AKIA" + "A1" * 8,
+        "generic_secret": 'password = "longenough1"',
+        "bearer_token": "Bearer " + "ab1." * 5,
+        "private_key": "-----BEGIN RSA " + "PRIVATE KEY-----",
+        "email_pii": "someone@mail.example",
+        "stripe_key": "sk_" + "live_" + "a1" * 10,
+        "github_pat": "ghp_" + "b2" * 12,
+        "high_entropy": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789",
+    }
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate([*lines.values(), "plain"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["secrets_by_type"](spark, str(tmp_path)).collect())) == sorted((k, 1, 1) for k in lines)
