@@ -7,11 +7,16 @@ isn't white space into white space, so the tokenizer splits there whatever stand
 follows is encoded the same from there as in the whole text. If the overlap holds no such offset, it's widened, and at
 last the chunk itself is, up to the end of the text; so the count always equals that of the whole text.
 
+Long runs of white space hold no such offset, and the pattern engine's stack doesn't stand them. They are cut by the pattern's
+own rule instead: all of a run but its last character is one piece, or the whole run where the text, or a special string,
+follows at once.
+
 Memory is bounded by the text and one chunk's ids. A text is one row and so one task's work.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +26,10 @@ from pyspark.sql import DataFrame
 from .common import lean
 
 SPACE = frozenset(b"\t\n\x0b\x0c\r ")
+#: Characters from which a run of white space is cut off by itself; texts of fewer go to the engine as they are.
+LONG_RUN = 1 << 14
+#: Fixed value: the characters that the pattern's \\s stands for (Unicode's White_Space).
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++")
 
 
 class Encoder:
@@ -42,9 +51,26 @@ class Encoder:
             self.sizes[i] = len(token.encode())
 
     def ids(self, text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return self._engine(text)
+        found, at = [], 0
+        for run in RUN.finditer(text):
+            if run.end() - run.start() >= LONG_RUN:
+                ends = run.end() == len(text) or any(text.startswith(s, run.end()) for s in self.special)
+                cut = run.end() - (not ends)
+                found += self._engine(text[at : run.start()])
+                found += self.core._core_bpe.encode_single_piece(text[run.start() : cut].encode())
+                at = cut
+        return found + self._engine(text[at:])
+
+    def _engine(self, text: str) -> list[int]:
         return self.core.encode(text, allowed_special=self.special, disallowed_special=())
 
 
+#: Every proven offset stands after the first byte of such a pair.
+MAY_BE_PROVEN = re.compile(rb"[!-~\x80-\xff][\t-\r ]")
+
+
 def proven(data: bytes, at: int) -> bool:
     """Whether every encoding of any text around it splits before data[at]."""
     if not 0 < at < len(data) or data[at] not in SPACE:
@@ -79,9 +105,11 @@ def spliced_count(ids: Callable[[str], list[int]], sizes: np.ndarray, text: str,
         while True:
             start = _whole(data, max(done, end - width))
             stop = _whole(data, min(len(data), start + max(chunk, 2 * width)))
-            new = ends(start, stop)
-            common = np.intersect1d(held[(held > start) & (held < end)], new, assume_unique=True)
-            cut = next((int(p) for p in common[::-1] if proven(data, int(p))), None)
+            cut = None
+            if MAY_BE_PROVEN.search(data, start, min(len(data), end + 1)):
+                new = ends(start, stop)
+                common = np.intersect1d(held[(held > start) & (held < end)], new, assume_unique=True)
+                cut = next((int(p) for p in common[::-1] if proven(data, int(p))), None)
             if cut is not None or start <= done:
                 break
             width *= 2
@@ -97,8 +125,9 @@ def spliced_count(ids: Callable[[str], list[int]], sizes: np.ndarray, text: str,
 def count_tokens(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, special: dict[str, int], pattern: str, chunk: int = 1 << 16, overlap: int = 1 << 9) -> DataFrame:
     """One row per row of docs: its id, n_bytes (UTF-8) and n_tokens.
 
-    A null or empty text has 0 of both; special strings inside a text count as their one token; repeated rows each
-    give a row; other columns are dropped. An empty table gives an empty one.
+    A null or empty text has 0 of both; special strings inside a text count as their one token; texts of any length are
+    counted whole, also those of white space alone; repeated rows each give a row, also with null or equal ids; other
+    columns are dropped, whatever their names. An empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

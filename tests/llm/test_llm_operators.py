@@ -64,6 +64,12 @@ def test_spliced_counts_equal_the_library(text, chunk):
     assert token_counts.spliced_count(e.ids, e.sizes, text, chunk, 16) == len(library("byte_bpe_50k.json").encode(text, add_special_tokens=False))
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000 + "x", "ab " + " \n\t" * 340_000 + "<|endoftext|> y", "a　" + "　" * 50_000 + "b" + "\x1c" * 20_000, ("  " * 9000 + "w") * 5])
+def test_long_white_space_is_counted_as_the_library_does(text):
+    e = encoder()
+    assert token_counts.spliced_count(e.ids, e.sizes, text, 1 << 16, 1 << 9) == len(library("byte_bpe_50k.json").encode(text, add_special_tokens=False))
+
+
 def test_token_counts(docs, nothing, rows):
     call = lambda d: token_counts.count_tokens(d, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}, public_tokenizers.PATTERN, 2000, 64)
     t = library("byte_bpe_50k.json")
