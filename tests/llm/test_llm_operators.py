@@ -409,21 +409,31 @@ def test_pruning_never_drops_a_hit():
 # --- resharding
 
 
-def test_flow_moves_the_fewest_bytes():
-    blocks = [(0, 3, 10, 100), (0, 9, 10, 9000), (1, 4, 2, 40), (5, 4, 3, 60)]
-    plan = resharding.transfers(blocks, 4)
-    rows = Counter()
-    for old, kind, first, end, new, slot in plan:
-        rows[new] += end - first
-    assert sorted(rows.values()) == [6, 6, 6, 7]
-    moved = {(o, k): sum(e - f for a, b, f, e, n, _ in plan if (a, b) == (o, k) and n != a) for o, k, _, _ in blocks}
-    assert moved[0, 3] == 10 and moved[0, 9] == 3 and moved[1, 4] == 0  # the small rows first
-    for j in range(4):
-        spans = sorted((s, s + e - f) for _, _, f, e, n, s in plan if n == j)
-        assert [a for a, _ in spans] == [0, *[b for _, b in spans[:-1]]]
-
-
-def test_resharding(spark, docs, nothing, rows, tmp_path):
+def fewest_bytes(shards, n_new):
+    """By brute force over which shards get a row more: each keeps its largest rows."""
+    from itertools import combinations
+
+    low, extra = divmod(sum(map(len, shards.values())), n_new)
+    kept = lambda j, more: sum(sorted(shards.get(j, ()), reverse=True)[: low + more])
+    return sum(map(sum, shards.values())) - max(sum(kept(j, j in some) for j in range(n_new)) for some in combinations(range(n_new), extra))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flow_moves_the_fewest_bytes(spark, seed):
+    r = random.Random(seed)
+    n_old, n_new = r.choice([(3, 5), (6, 4), (2, 7), (5, 5), (7, 3), (4, 6)])
+    shards = {j: [r.randrange(1, 40) if seed % 2 else r.choice([3, 7, 7, 7, 60]) for _ in range(r.randrange(0, 25))] for j in range(n_old)}
+    rows = [(k, j, s, "x", 5) for k, (j, s) in enumerate((j, s) for j, own in shards.items() for s in own)]
+    df = spark.createDataFrame(rows, "row long, old_shard int, size long, block string, rank int").repartition(3)
+    got = resharding.reshard(df, n_new, ["row"]).toPandas()
+    assert list(got.columns) == ["row", "old_shard", "size", "block", "rank", "shard", "slot", "moved"] and set(got.block) <= {"x"}
+    n = Counter(got.shard)
+    assert max(n[j] for j in range(n_new)) - min(n[j] for j in range(n_new)) <= 1 and len(got) == len(rows)
+    assert all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
+    assert got[got.moved]["size"].sum() == fewest_bytes(shards, n_new)
+
+
+def test_resharding(spark, docs, nothing, rows):
     got = resharding.reshard_documents(docs, 6, 4).toPandas()
     assert sorted(got.doc_id) == sorted(r[0] for r in rows)
     n = got.groupby("shard").size()
@@ -434,10 +444,25 @@ def test_resharding(spark, docs, nothing, rows, tmp_path):
     assert all(size[r.doc_id] == r.size_ for r in got.rename(columns={"size": "size_"}).itertuples())
     assert all(r.text_crc32 == zlib.crc32((dict((x[0], x[1]) for x in rows)[r.doc_id] or "").encode()) for r in got.itertuples())
     assert resharding.reshard_documents(nothing).count() == 0
-    out = str(tmp_path / "shards")
-    hit = resharding.rewrite_affected(resharding.reshard_documents(docs, 6, 4), out)
-    assert set(hit) >= set(got[got.moved].shard)
-    assert spark.read.parquet(out).count() == got.shard.isin(hit).sum()
+    odd = spark.createDataFrame([(1, None, None), (1, None, None), (None, 0, 9)], "row long, old_shard int, size long")
+    assert resharding.reshard(odd, 2, ["row"]).count() == 3
+
+
+def test_rewriting_leaves_the_other_shards_alone(spark, docs, rows, tmp_path):
+    out = str(tmp_path / "layout")
+    first = [*[(0, f"a{i}", None if i == 1 else "x" * i) for i in range(4)], *[(1, f"b{i}", "same") for i in range(8)], *[(2, "c", "cc")] * 4]
+    resharding.write_layout(spark.createDataFrame(first, "shard int, name string, text string"), out)
+    before = {f for f, s in ((r["at_file"], r["shard"]) for r in resharding.read_layout(spark, out).collect()) if s == 0}
+    assert resharding.rewrite_affected(spark, out, 4) == [1, 3]
+    after = resharding.read_layout(spark, out).collect()
+    assert sorted(map(repr, ((r["name"], r["text"]) for r in after))) == sorted(map(repr, (r[1:] for r in first)))
+    assert Counter(r["shard"] for r in after) == {0: 4, 1: 4, 2: 4, 3: 4}
+    assert {r["at_file"] for r in after if r["shard"] == 0} == before
+    assert resharding.rewrite_affected(spark, out, 4) == []
+    assert set(resharding.rewrite_affected(spark, out, 2)) == {0, 1, 2, 3}
+    left = resharding.read_layout(spark, out)
+    assert sorted(r["name"] for r in left.collect()) == sorted(r[1] for r in first)
+    assert Counter(r["shard"] for r in left.collect()) == {0: 8, 1: 8}
 
 
 # --- quality
