@@ -32,6 +32,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from .common import materialize, small
 
@@ -195,7 +196,8 @@ def write_layout(rows: DataFrame, folder: str, held: list[tuple[str, int]] | Non
     """Write rows (shard and any other columns) as a new generation of the layout in folder, and the manifest: held names what other generations still hold."""
     spark = rows.sparkSession
     generation = f"generation-{version:06d}-{uuid.uuid4().hex}"
-    rows.repartition("shard", F.pmod(F.monotonically_increasing_id(), F.lit(FILES))).write.partitionBy("shard").parquet(f"{folder}/{generation}")
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    rows.repartition("shard", F.pmod(F.xxhash64(*plain), F.lit(FILES))).write.partitionBy("shard").parquet(f"{folder}/{generation}")
     schema = spark.read.parquet(f"{folder}/{generation}").select("shard").distinct()
     listed = [*(held or []), *((generation, r[0]) for r in schema.collect())]  # a row for each shard
     spark.createDataFrame(listed, "generation string, shard int").coalesce(1).write.parquet(f"{folder}/manifest/version={version}")

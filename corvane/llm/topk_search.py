@@ -1,13 +1,15 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are grouped by length into buckets, and buckets into blocks of bounded size. A block's largest length and a
-query's best k so far give a local threshold on the cosine. Over 1, the block is skipped for that query. If it's high,
-coordinates prune: a vector that reaches it must have, in each of the query's largest coordinates, a value in a range
-that follows from the threshold. If it's low, length prunes: only the block's longer vectors can reach it. What is left
-is verified by integer products, exactly.
-
-Queries are taken in batches of a bounded number, each shipped to all blocks; the bucket of the longest vectors gives
-the first thresholds. Blocks give k rows a query at most, which are merged by a ranking per query.
+Vectors are sorted by length into buckets of some thousand rows. A bucket's largest length and a query's best k so far
+give a local threshold on the cosine. Over 1, the bucket is skipped for that query. If it's high, coordinates prune: a
+vector that reaches it must have, in each of the query's largest coordinates, a value in a range that follows from the
+threshold. If it's low, length prunes: only the bucket's longer vectors can reach it. What is left is verified by integer
+products, exactly.
+
+Queries stay on the executors: they are dealt to groups of bounded size, and a group meets a bucket in one task. First
+all groups meet the bucket of the longest vectors, which gives thresholds. Then groups are made anew by local threshold,
+so that high ones stand together, and a bucket goes only to groups that it can still give something. Only a number for
+each group and bucket comes to the driver to tell which meet. A task gives k rows a query at most, merged by a ranking.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .vectors import finite, groups_by_length
 
-BLOCK_ROWS = 8192
-QUERY_BATCH = 8192
-MOST_BUCKETS = 256
+BUCKET_ROWS = 8192
+GROUP_ROWS = 2048
 COORDINATES = 3
 #: Local cosine threshold from which coordinates prune better than length does.
 BY_COORDINATE = 0.7
@@ -89,75 +89,89 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def _search(held, k: int):
-    """For each block: its k best for each query of the batch that isn't skipped."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        q_uid, q_id, q_packed, q_norm, known = held.value
-        rows = rows.sort_values(["norm", "vec_id", "uid"], ascending=[False, True, True])
-        found = []
-        for size in rows["packed"].map(len).unique():
-            part = rows[rows["packed"].map(len) == size]
-            v = np.frombuffer(b"".join(part["packed"]), np.float64).reshape(len(part), -1)
-            norm, uid, vec_id = (part[c].to_numpy() for c in ("norm", "uid", "vec_id"))
-            mine = [i for i, p in enumerate(q_packed) if len(p) == size]
-            for first in range(0, len(mine), 256):
-                some = mine[first : first + 256]
-                q = np.frombuffer(b"".join(q_packed[i] for i in some), np.float64).reshape(len(some), -1)
-                left = [survivors(v, norm, q[n], q_norm[i], known[i]) for n, i in enumerate(some)]
-                if not any(map(len, left)):
-                    continue
-                shared = sum(map(len, left)) * 2 > len(v) * len(some)
-                every = products(v, q) if shared else None
-                for n, (i, own) in enumerate(zip(some, left, strict=True)):
-                    own = own[uid[own] != q_uid[i]]
-                    scores = every[own, n] if shared else products(v[own], q[n : n + 1])[:, 0]
-                    top = best(vec_id[own], scores, k)
-                    found.append(pd.DataFrame({"query_uid": q_uid[i], "query_id": q_id[i], "vec_id": vec_id[own][top], "uid": uid[own][top], "score": scores[top]}))
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series([], "int64") for c in ("query_uid", "query_id", "vec_id", "uid", "score")})
+LAST = 2**63 - 1
+FOUND = "query_uid long, query_id long, vec_id long, uid long, score long"
+
+
+def _search(k: int):
+    """The k best of a bucket for each query of a group that doesn't skip it."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        ids = pa.array([], pa.int64())
+        if asked.num_rows and rows.num_rows:
+            uid, vec_id = rows["uid"].to_numpy(), rows["vec_id"].combine_chunks().fill_null(LAST).to_numpy()
+            norm, packed = rows["norm"].to_numpy(), rows["packed"].to_pylist()
+            order = np.lexsort((uid, vec_id, -norm))
+            q_uid, q_norm, known = (asked[c].to_numpy() for c in ("uid", "norm", "known"))
+            q_packed = asked["packed"].to_pylist()
+            places: list[np.ndarray] = []
+            sizes, q_sizes = np.array([len(packed[i]) for i in order]), np.array([len(p) for p in q_packed])
+            for size in np.unique(sizes):
+                part, mine = order[sizes == size], np.flatnonzero(q_sizes == size)
+                v = np.frombuffer(b"".join(packed[i] for i in part), np.float64).reshape(len(part), -1)
+                for first in range(0, len(mine), 256):
+                    some = mine[first : first + 256]
+                    q = np.frombuffer(b"".join(q_packed[i] for i in some), np.float64).reshape(len(some), -1)
+                    left = [survivors(v, norm[part], q[n], float(q_norm[i]), float(known[i])) for n, i in enumerate(some)]
+                    shared = sum(map(len, left)) * 2 > len(v) * len(some)
+                    every = products(v, q) if shared else None
+                    for n, (i, own) in enumerate(zip(some, left, strict=True)):
+                        own = own[uid[part][own] != q_uid[i]]
+                        scores = every[own, n] if shared else products(v[own], q[n : n + 1])[:, 0]
+                        top = best(vec_id[part][own], scores, k)
+                        places.append(part[own][top])
+                        found[0].append(np.full(len(top), i))
+                        found[1].append(scores[top])
+            at = np.concatenate(places) if places else np.zeros(0, np.int64)
+            asking, scores = np.concatenate(found[0]), np.concatenate(found[1])
+            return pa.table([asked["uid"].take(asking), asked["vec_id"].take(asking), rows["vec_id"].take(at), rows["uid"].take(at), pa.array(scores, pa.int64())], names=["query_uid", "query_id", "vec_id", "uid", "score"])
+        return pa.table([ids] * 5, names=["query_uid", "query_id", "vec_id", "uid", "score"])
 
     return run
 
 
-FOUND = "query_uid long, query_id long, vec_id long, uid long, score long"
+def _meet(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """asked: queries with grp and the buckets they meet as array ``with``; rows: vectors with bucket and the groups they meet as array ``with``."""
+    left = asked.select("grp", F.explode("with").alias("bucket"), "uid", "vec_id", "packed", "norm", "known").groupBy("grp", "bucket")
+    right = rows.select("bucket", F.explode("with").alias("grp"), "uid", "vec_id", "packed", "norm").groupBy("grp", "bucket")
+    return left.cogroup(right).applyInArrow(_search(k), FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0) -> DataFrame:
     """query_id, rank, vec_id and score: the k best other rows for each query row of vectors (vec_id, embedding).
 
     Vectors that are null or hold null or non-finite components take no part; a zero vector scores 0; only vectors of the
-    same length meet; repeated rows are candidates for each other, and each is a query; scores beyond 64 bits stop at
-    their bounds; an empty table, or none that is a query, gives an empty one; other columns are dropped.
+    same length meet; repeated rows are candidates for each other, and each is a query; a null vec_id stays null, as a
+    candidate after all others of its score; scores beyond 64 bits stop at their bounds; an empty table, or none that is a
+    query, gives an empty one; other columns are dropped.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("uid", F.monotonically_increasing_id()).where(finite("embedding"))
     packed = materialize(integers(rows, scale), "topk-vectors")
-    n = packed.count()
-    n_buckets = max(1, min(MOST_BUCKETS, math.ceil(n / BLOCK_ROWS)))
-    edges = sorted(set(packed.approxQuantile("norm", [i / n_buckets for i in range(1, n_buckets)], 0.25 / n_buckets))) if n_buckets > 1 else []
-    bucket = sum([(F.col("norm") < e).cast("int") for e in edges], F.lit(0))  # 0: the longest
-    binned = packed.withColumn("bucket", bucket)
-    sizes = {int(b): c for b, c in binned.groupBy("bucket").count().collect()}  # at most MOST_BUCKETS rows
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    split = F.element_at(F.create_map(*[F.lit(x) for b in sizes for x in (b, max(1, math.ceil(sizes[b] / BLOCK_ROWS)))]), F.col("bucket"))
-    blocks = binned.withColumn("part", F.pmod(F.xxhash64("uid"), split))
-    asked = packed.where(is_query)
-    n_asked = asked.count()
-    n_batches = math.ceil(n_asked / (QUERY_BATCH * 0.9)) if n_asked > QUERY_BATCH else 1
-    longest = min(sizes)
-    out = None
-    for b in range(n_batches):  # each batch is bounded, whatever the number of queries
-        batch = asked.where(F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(n_batches)) == b).select("uid", "vec_id", "packed", "norm").toPandas()
-        ids = batch["uid"].to_numpy(np.int64), batch["vec_id"].fillna(-1).to_numpy(np.int64), [bytes(p) for p in batch["packed"]], batch["norm"].to_numpy()
-        held = spark.sparkContext.broadcast((*ids, np.full(len(batch), -np.inf)))
-        first = materialize(blocks.where((F.col("bucket") == longest) & (F.col("part") == 0)).groupBy("bucket", "part").applyInPandas(_search(held, k), FOUND), "topk-first")
-        known = first.groupBy("query_uid").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") >= k).toPandas()  # at most a row for each query of the batch
-        at_least = batch[["uid"]].merge(known, "left", left_on="uid", right_on="query_uid")["score"].astype(float).fillna(-np.inf).to_numpy()
-        held = spark.sparkContext.broadcast((*ids, at_least))
-        rest = blocks.where((F.col("bucket") != longest) | (F.col("part") != 0)).groupBy("bucket", "part").applyInPandas(_search(held, k), FOUND)
-        found = first.unionByName(rest)
-        out = found if out is None else out.unionByName(found)
-    order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    n_buckets = max(1, math.ceil(packed.count() / BUCKET_ROWS))
+    binned = materialize(packed.repartitionByRange(n_buckets, F.desc("norm"), "uid").withColumn("bucket", F.spark_partition_id()), "topk-buckets")
+    asked = materialize(packed.where(is_query), "topk-queries")
+    n_groups = max(1, math.ceil(asked.count() / GROUP_ROWS))
+
+    groups = F.sequence(F.lit(0), F.lit(n_groups - 1))
+    dealt = asked.withColumns({"grp": F.pmod(F.xxhash64("uid"), F.lit(n_groups)).cast("int"), "with": F.array(F.lit(0)), "known": F.lit(-math.inf)})
+    first = materialize(_meet(dealt, binned.where("bucket = 0").withColumn("with", groups), k), "topk-first")
+    known = first.groupBy("query_uid").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("score")).where(F.col("n") >= k)
+    told = asked.join(known.withColumnRenamed("query_uid", "uid"), "uid", "left").withColumn("known", F.coalesce("score", F.lit(-math.inf))).drop("n", "score")
+
+    need = F.when(F.col("norm") > 0, F.col("known") * (1 - 1e-9) / F.col("norm")).otherwise(F.lit(-math.inf))  # no shorter vector can reach it
+    again = told.withColumn("need", need).repartitionByRange(n_groups, "need", "uid").withColumn("grp", F.spark_partition_id())
+    again = materialize(again, "topk-queries-told")
+    needs = dict(again.groupBy("grp").agg(F.min("need")).collect())  # a number for each GROUP_ROWS queries
+    longest = dict(binned.where("bucket > 0").groupBy("bucket").agg(F.max("norm")).collect())  # and for each BUCKET_ROWS vectors
+    grps, bins = sorted(needs), sorted(longest)
+    falling, rising = -np.array([longest[b] for b in bins]), np.array([needs[g] for g in grps])  # buckets are numbered by falling length, groups by rising need
+    buckets_of = spark.createDataFrame([(g, bins[n - 1] if n else 0) for g, n in zip(grps, np.searchsorted(falling, -rising, "right").tolist(), strict=True)], "grp int, last int")
+    groups_of = spark.createDataFrame([(b, grps[n - 1] if n else -1) for b, n in zip(bins, np.searchsorted(rising, -falling, "right").tolist(), strict=True)], "bucket int, last int")
+    span = lambda first: F.when(F.col("last") >= first, F.sequence(F.lit(first), "last")).otherwise(F.array().cast("array<int>"))
+    again, binned = again.join(F.broadcast(buckets_of), "grp").withColumn("with", span(1)), binned.join(F.broadcast(groups_of), "bucket").withColumn("with", span(0))
+    rest = _meet(again, binned, k)
+    order = Window.partitionBy("query_uid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "uid")
+    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -395,6 +395,23 @@ def test_top_k(spark):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BUCKET_ROWS", 60)
+    monkeypatch.setattr(topk_search, "GROUP_ROWS", 9)
+    r = np.random.default_rng(8)
+    v = r.standard_normal((700, 6)) * np.exp(1.5 * r.standard_normal((700, 1)))
+    ids = [2**53 + 1 + i for i in range(700)]
+    rows = [(None if i == 300 else ids[i], [float(x) for x in v[i]]) for i in range(700)] + [(ids[5], [float(x) for x in v[5]])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 20 == 0, 6).collect()
+    m = np.floor(1024 * np.array([x for _, x in rows])).astype(np.int64)
+    want = []
+    for a, (i, _) in enumerate(rows):
+        if i is not None and i % 20 == 0:
+            best = sorted((-int(m[a] @ m[b]), rows[b][0] is None, rows[b][0]) for b in range(len(rows)) if b != a)[:6]
+            want += [(i, k + 1, x, -s) for k, (s, _, x) in enumerate(best)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_pruning_never_drops_a_hit():
     r = np.random.default_rng(3)
     v = np.floor(r.standard_normal((400, 12)) * np.exp(r.standard_normal((400, 1))) * 300)
