@@ -49,7 +49,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "\\### Assistant: </turn> ok"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema))
-    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("payload"))
+    record = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    prompt, response = record(F.col("text").alias("prompt")), record(F.col("text").alias("response"))
+    payload = F.when(F.col("role") == "user", prompt).when(F.col("role") == "assistant", response).otherwise(record("role", "text"))
+    records = rows.select("conv_id", "turn", payload.alias("payload"))  # three layouts
     turns = chat_format.canonical_turns(records, "payload")
     return chat_format.digests(chat_format.format_conversations(turns))
 

@@ -207,10 +207,29 @@ def test_escapes_are_reversible():
         ({"role": None, "text": "t"}, "turn", [("", "t")]),
         ({"odd": 1}, None, []),
         ([1], None, []),
+        ({"id": 1, "messages": [{"role": "user", "content": "hi"}]}, "messages", [("user", "hi")]),
+        ({"messages": [{"role": "user", "content": "hi", "name": "n"}, {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}, "messages", [("user", "hi"), ("assistant", "a\nb")]),
+        ({"prompt": "p", "response": "r", "source": {"url": "u", "tags": [1]}}, "prompt_response", [("user", "p"), ("assistant", "r")]),
+        ({"system": "s", "messages": []}, "messages", [("system", "s")]),
+        ({"conversation": {"id": 3, "messages": [{"author": {"role": "user", "name": None}, "content": {"parts": ["x", "y"]}}]}}, "nested_messages", [("user", "x\ny")]),
+        ({"prompt": "p", "answer": "a"}, None, []),
+        ({"response": None, "meta": {"prompt": "inner"}}, "response", [("assistant", "")]),
+        ({}, None, []),
     ],
 )
 def test_layouts(record, layout, turns):
-    assert chat_format.turns_of(record, chat_format.registry()) == (layout, turns)
+    assert chat_format.turns_of(record, chat_format.registry())[1:] == (layout, turns)
+
+
+def test_every_fingerprint_has_one_layout_and_the_rest_are_counted(spark):
+    prints = [f for x in chat_format.LAYOUTS for f in x.fingerprints()]
+    assert len(prints) == len(set(prints))
+    records = [json.dumps(x) for x in ({"prompt": "a", "id": 1}, {"prompt": "b"}, {"prompt": "c", "answer": "d"}, {"zz": 1})] + ["{", None]
+    df = spark.createDataFrame([(k, p, "own") for k, p in enumerate(records)], "id long, payload string, layout string")
+    made = chat_format.canonical_turns(df, "payload")
+    assert made.columns == ["id", "payload", "fingerprint", "layout", "turns"]
+    assert sorted((r["layout"] or "", r["records"]) for r in chat_format.layouts_seen(made).collect()) == [("", 1), ("", 1), ("", 2), ("prompt", 2)]
+    assert sorted(r["id"] for r in chat_format.unmatched(made).collect()) == [2, 3, 4, 5]
 
 
 def test_chat_digests(spark):
