@@ -3,9 +3,10 @@
 A classifier of single documents is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, those of least hash): logistic
 regression over the text's shape and whether it holds a word of a lexicon that the sample teaches. Its probabilities are
 summed by host and by path under it. Each host's mean is shrunk to the global one and each path's to its host's, by
-strengths estimated from the spread between them (method of moments), so a site with few documents has the prior's
-posterior and one with many its own. The site's evidence, without the document's own share and within a bound, is added
-to the document's in log-odds.
+strengths estimated from the spread of hosts around the global mean and of paths around their host's (method of moments),
+so a site with few documents has the prior's posterior and one with many its own. The document's own share is left out of
+both its host's and its path's sums, and the site's odds against the global ones are added to the document's, as Bayes'
+rule has it, with no bound.
 
 Groups are summed with partial sums on every task, so a hot host is never gathered; the posteriors have a row for each path.
 """
@@ -32,8 +33,6 @@ LEXICON_WORDS = 500
 STEMS = (5, 6, 7, 8)
 #: Documents that a word must be in, and the share of them that must be rejected ones, to enter the lexicon.
 WORD_DOCS, WORD_PURITY = 8, 0.98
-#: Largest shift by the site's evidence, in log-odds.
-SITE_BOUND = 1.0
 FEATURES = 12
 
 UPPER, LOWER, DIGIT, SPACE_BYTES = (np.isin(np.arange(256), np.frombuffer(s, np.uint8)) for s in (bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b" \t\n\r\x0b\x0c"))
@@ -99,9 +98,15 @@ def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """labels: doc_id and accept (0 or 1). At most ``rows`` labelled documents are used; without both kinds, all is accepted."""
-    sample = labels.where("doc_id is not null and accept is not null").select("doc_id", "accept").orderBy(F.xxhash64("doc_id"), "doc_id", "accept").limit(rows)
-    known = materialize(lean(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", F.col("accept").cast("int").alias("accept")), "quality-sample")
+    """labels: doc_id and accept (0 or 1). At most ``rows`` labelled documents are used; without both kinds, all is accepted.
+
+    A doc_id that is labelled more than once counts as rejected if any label says so; of texts that share one, the one of
+    least hash is used, so repeated rows don't take the sample over its bound.
+    """
+    sample = labels.where("doc_id is not null and accept is not null").groupBy("doc_id").agg(F.min(F.col("accept").cast("int")).alias("accept")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    own = lean(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    own = own.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"), F.first("accept").alias("accept"))
+    known = materialize(own.select("first.text", "accept"), "quality-sample")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -151,35 +156,59 @@ def _log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """Prior observations that fit the spread of group means (n, s) around mean; strong if groups differ no more than chance."""
-    r = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.lit(mean), 2)).alias("q"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("n2")).first()
-    if not r["n"] or r["k"] < 2:
-        return 100.0
-    within = mean * (1 - mean)
-    between = (r["q"] - (r["k"] - 1) * within) / max(1e-9, r["n"] - r["n2"] / r["n"])
-    return float(min(1000.0, max(2.0, within / between - 1))) if between > 0 else 1000.0
+@dataclass
+class Prior:
+    """The global mean, and for each level the weight of one document against the prior above it (1 / prior observations)."""
+
+    mean: float
+    host: float
+    path: float
+
 
+def weight(spread: float, groups: int, within: float, room: float, mean: float) -> float:
+    """Weight of a document, from the weighted squares of group means around their centre: 0 if groups differ no more than by chance.
+
+    spread's expectation is groups * within + room * between, and a Beta prior's variance is mean * (1 - mean) / (observations + 1).
+    At least one observation is left to the prior, so that a posterior is never 0 or 1.
+    """
+    between = (spread - groups * within) / room if room > 1e-9 else 0.0
+    return 1 / max(1.0, mean * (1 - mean) / between - 1) if between > 0 else 0.0
 
-def posteriors(scored: DataFrame) -> tuple[DataFrame, float, float]:
-    """scored: host, path and p -> (host, path, n, s, m: posterior mean of the host), the global mean, and the path level's strength."""
-    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = hosts.agg(F.sum("n"), F.sum("s")).first()
-    mean = min(1 - 1e-6, max(1e-6, total[1] / total[0])) if total[0] else 0.5
-    by_host, by_path = _strength(hosts, mean), _strength(paths, mean)
-    m = hosts.select(F.col("host").alias("h"), ((F.lit(by_host * mean) + F.col("s")) / (F.lit(by_host) + F.col("n"))).alias("m"))
-    return materialize(paths.join(m, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "quality-posteriors"), mean, by_path
 
+def posteriors(scored: DataFrame) -> tuple[DataFrame, Prior]:
+    """scored: host, path and p -> (host, path, n, s: documents and sum of the path, hn, hs: of its host) and the priors.
 
-def combine(scored: DataFrame, sites: DataFrame, mean: float, strength: float) -> DataFrame:
-    """Adds site (posterior without the document's own share), score and accepted to scored (host, path, logit, p)."""
-    told = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "s", "m")
+    Sums by path and host with partial sums on every task; a row for each path is written, a handful of totals come to the driver.
+    """
+    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("pp"))
+    paths = materialize(paths, "quality-paths")
+    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("pp").alias("hpp"))
+    sites = materialize(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "quality-posteriors")
+    square = lambda s, n: F.sum(F.col(s) * F.col(s) / F.col(n))
+    mean = F.col("hs") / F.col("hn")
+    around = F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, 2))
+    t = sites.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("pp").alias("pp"), F.count("*").alias("k"), square("s", "n").alias("square"), around.alias("spread"), F.sum(F.col("n") * F.col("n") / F.col("hn")).alias("share")).first()
+    u = hosts.agg(F.count("*").alias("k"), square("hs", "hn").alias("square"), F.sum(F.col("hn") * F.col("hn")).alias("nn")).first()
+    n = t["n"] or 0
+    if not n:
+        return sites, Prior(0.5, 0.0, 0.0)
+    mean = min(1 - 1e-6, max(1e-6, t["s"] / n))
+    in_path = max(0.0, t["pp"] - t["square"]) / max(1, n - t["k"])
+    in_host = max(0.0, t["pp"] - u["square"]) / max(1, n - u["k"])
+    by_host = weight(u["square"] - t["s"] ** 2 / n, u["k"] - 1, in_host, n - u["nn"] / n, mean)
+    by_path = weight(t["spread"], t["k"] - u["k"], in_path, n - t["share"], mean)
+    return sites, Prior(mean, by_host, by_path)
+
+
+def combine(scored: DataFrame, sites: DataFrame, prior: Prior) -> DataFrame:
+    """Adds site (the path's posterior without the document's own share), score and accepted to scored (host, path, logit, p)."""
+    told = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "s", "hn", "hs")
     joined = scored.join(small(told, sites.count()), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
-    site = (F.lit(strength) * F.col("m") + F.col("s") - F.col("p")) / (F.lit(strength) + F.col("n") - 1)
-    shift = _log_odds(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), site))) - F.lit(math.log(mean / (1 - mean)))
-    out = joined.withColumn("site", site).withColumn("score", _sigmoid(F.col("logit") + F.greatest(F.lit(-SITE_BOUND), F.least(F.lit(SITE_BOUND), shift))))
-    return out.withColumn("accepted", F.col("score") >= 0.5).drop("h", "q", "n", "s", "m")
+    m = (F.lit(prior.mean) + F.lit(prior.host) * (F.col("hs") - F.col("p"))) / (1 + F.lit(prior.host) * (F.col("hn") - 1))
+    site = (m + F.lit(prior.path) * (F.col("s") - F.col("p"))) / (1 + F.lit(prior.path) * (F.col("n") - 1))
+    shift = _log_odds(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), site))) - F.lit(math.log(prior.mean / (1 - prior.mean)))
+    out = joined.withColumn("site", site).withColumn("score", _sigmoid(F.col("logit") + shift))
+    return out.withColumn("accepted", F.col("score") >= 0.5).drop("h", "q", "n", "s", "hn", "hs")
 
 
 def accepted_labels(labels: DataFrame) -> DataFrame:
@@ -202,8 +231,9 @@ def site_of_url(url: Column, depth: int = 1) -> tuple[Column, Column]:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, host, path, logit, p, site, score and accepted for each row of docs.
 
-    Null and empty texts are scored as any; a null source is a host of its own, a null language a path of its own; without
-    labels of both kinds all is accepted; an empty table gives an empty one; other columns are dropped.
+    Null and empty texts are scored as any, very long ones whole; a null source is a host of its own, a null language a path
+    of its own; repeated rows are scored each; without labels of both kinds all is accepted; an empty table gives an empty
+    one; other columns are dropped.
     """
     model = fit(docs, accepted_labels(labels))
     scored = evidence(docs.select("doc_id", "text", *sites_of_documents()), model).withColumn("p", _sigmoid(F.col("logit")))
@@ -212,12 +242,16 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score_documents accepts, whole and with all columns. Texts are scored twice rather than moved."""
+    """The rows of docs that score_documents accepts, whole and with all columns. Texts are scored twice rather than moved.
+
+    Repeated rows are each kept or dropped alike; null and empty texts are scored as empty ones, very long ones whole; columns
+    of any other names are kept; an empty table gives an empty one.
+    """
     model = fit(docs, accepted_labels(labels))
     brief = evidence(docs.select("text", *sites_of_documents()), model).withColumn("p", _sigmoid(F.col("logit")))
-    sites, mean, strength = posteriors(brief)
+    sites, prior = posteriors(brief)
     names = {c: "text" if c == "text" else f"own_{k}" for k, c in enumerate(docs.columns)}  # whatever else the columns are called
     placed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *sites_of_documents())
     whole = evidence(placed, model, keep_text=True).withColumn("p", _sigmoid(F.col("logit")))
-    kept = combine(whole, sites, mean, strength).where("accepted")
+    kept = combine(whole, sites, prior).where("accepted")
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
