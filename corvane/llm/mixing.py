@@ -103,22 +103,20 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def draw_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of docs: each row as often as it's taken whole, and then its first words if it's taken in part.
+    """The mix itself, with the columns of docs: each row, whole, as often as the mix takes it.
 
-    Only sizes and hashes are written to find the thresholds; the texts stay where they are and are filtered in place.
+    No text is cut: rows at a source's threshold, which mix_documents takes in part, are drawn once more if the source is
+    owed half of their words or more, so a source's words are within that one document (with rows that share its hash) of
+    its target. Rows without words are drawn once, null and empty texts alike; very long texts are whole; an empty table gives
+    an empty one; columns of any names are kept. Only sizes and hashes are written to find the thresholds; the texts stay
+    where they are and are filtered in place.
     """
     rows = materialize(measured(docs.select("doc_id", "source", "text")).drop("text"), "mix-rows")
     names = {c: f"own_{k}" for k, c in enumerate(docs.columns)}  # whatever else the columns are called
-    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "doc_id", "source", "text")
-    mixed = taken(measured(whole), *planned(rows))
-    rounds = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
-    rest = F.col("taken") - rounds * F.col("size")
-    copies = F.concat(F.array_repeat(F.col("size"), rounds.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    drawn = mixed.withColumn("words", F.explode(copies))
-    first = F.concat_ws(" ", F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.greatest(F.col("words"), F.lit(1)).cast("int")))
-    cut = F.col("words") < F.col("size")
-    drawn = drawn.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
-    own = {c: F.col(n) for c, n in names.items()} | {"text": F.col("text")}
-    if "n_chars" in own:
-        own["n_chars"] = F.when(cut, F.length("text").cast("long")).otherwise(own["n_chars"])
-    return drawn.select(*[own[c].alias(c) for c in docs.columns])
+    n_sources, state = planned(rows)
+    known = state.withColumnRenamed("source", "s")
+    whole = measured(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], "doc_id", "source", "text"))
+    more = (F.col("h") < F.col("prefix")) | ((F.col("h") == F.col("prefix")) & (F.col("left") > 0) & (F.col("left") * 2 >= F.col("cell")))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("rounds") + more.cast("long")).cast("int")
+    drawn = whole.join(small(known, n_sources), F.col("source").eqNullSafe(F.col("s"))).withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies)))
+    return drawn.select(*[F.col(n).alias(c) for c, n in names.items()])
