@@ -6,8 +6,9 @@ fullest window of one with the emptiest of the other, so that imbalances cancel,
 fullest window is over capacity, the number of windows rises and the differencing is done again.
 
 Texts are tokenized once, and only piece lengths and checksums move: a document's cuts depend on its own length alone.
-Whole windows of a long document are cut off first; what remains is cut into at most ``grain`` tokens, small enough
-for the differencing to even out. Buckets number as the rows do, so a bucket's work has a bound whatever the input.
+Whole windows of a long document are cut off first and go to buckets of their own, a few thousand to each, with nothing
+to even out; what remains is cut into at most ``grain`` tokens, small enough for the differencing. So a bucket's work has a
+bound whatever the input, also if one document holds most of the tokens.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import lean
 
-CAPACITY, GRAIN, BUCKET_ROWS = 2048, 512, 4096
+CAPACITY, GRAIN, BUCKET_ROWS, SHIFT = 2048, 512, 4096, 24
 #: Texts with none of these are encoded by word; the others, by the library as a whole. Up to U+024F, no character composes with its neighbours or lowers by context.
 BEYOND_WORDS = re.compile("[^\x00-ɏ]|<\\|")
 #: Fixed value: the tokenizer's own pattern for words.
@@ -146,13 +147,13 @@ def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per piece of each row of docs (doc_id, text).
 
-    A null or empty text is its end id alone; repeated rows are packed each; extra columns are dropped; an empty table
-    gives an empty one. sequence_id is the bucket's number, shifted by 32 bits, plus the window's.
+    A null or empty text is its end id alone; very long texts are cut into many pieces, none lost; repeated rows are packed
+    each; extra columns are dropped; an empty table gives an empty one. sequence_id is the bucket's number, shifted by SHIFT bits, plus the window's.
     """
     n_buckets = max(1, math.ceil(docs.count() / bucket_rows))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, row = Words(tokenizer_path), TaskContext.get().partitionId(), 0
+        words, part, row, filled = Words(tokenizer_path), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             columns: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -161,7 +162,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain:
                 row += 1
                 bucket = zlib.crc32(b"%d/%d/%d" % (part, row, doc_id or 0)) % n_buckets
                 for start, length in cuts(n, capacity, grain):
-                    for c, v in zip(columns, (doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, bucket), strict=True):
+                    own = bucket
+                    if length == capacity:
+                        own = n_buckets + (part << 16) + filled // bucket_rows
+                        filled += 1
+                    for c, v in zip(columns, (doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, own), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=PIECE)
 
@@ -174,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain:
         rows, window, lengths = rows.iloc[order].reset_index(drop=True), window[order], lengths[order]
         before = np.cumsum(lengths) - lengths
         first = np.searchsorted(window, window, "left")
-        return rows.drop(columns="bucket").assign(sequence_id=(np.int64(key[0]) << 32) + window, offset=before - before[first])
+        return rows.drop(columns="bucket").assign(sequence_id=(np.int64(key[0]) << SHIFT) + window, offset=before - before[first])
 
     pieces = lean(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long")
     return pieces.groupBy("bucket").applyInPandas(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
