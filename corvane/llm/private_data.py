@@ -101,9 +101,9 @@ class Token:
 
 def shape_of(token: str) -> str:
     """Letters as a, digits as their number, the rest as it is; for numbers as long as a card's, whether they pass its test."""
-    some = re.sub(r"[^\W\d_]+", "a", token[:200])
+    some = re.sub(r"[^\W\d_]+", "a", token)
     some = re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}" if len(m[0]) < 24 else "9x", some)
-    digits = _OTHER.sub("", token[:200])
+    digits = _OTHER.sub("", token)
     return some + ("L" if luhn(digits) else "l") * (13 <= len(digits) <= 19)
 
 
@@ -285,7 +285,8 @@ def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, counts and digest of the base spans, and all spans, for each row of docs.
 
-    A null text is an empty one; repeated rows each give a row; an empty table gives an empty one; other columns are dropped.
+    A null text is an empty one; very long texts and tokens are read whole; repeated rows each give a row, also with null
+    ids; an empty table gives an empty one; other columns are dropped, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +315,11 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """docs, column for column, with personal data in text masked. Null texts stay null."""
+    """docs, column for column, with personal data in text masked.
+
+    Null texts stay null, empty ones empty; very long ones are masked whole; repeated rows stay, each masked alike; an empty
+    table gives an empty one; other columns are kept as they are, whatever their names.
+    """
     field = train(docs)
     at = docs.columns.index("text")
 

@@ -166,7 +166,12 @@ def test_mixing(docs, nothing, rows):
     assert drawn.columns == docs.columns
     got = drawn.toPandas()
     words = lambda t: len((t or "").encode().split())
-    assert sum(map(words, got.text)) == found.taken.sum()
+    texts = Counter(r[1] for r in rows)
+    assert set(got.text) <= set(texts)  # none is cut
+    assert all(sum(got.doc_id == r[0]) >= 1 for r in rows if not words(r[1]))
+    for s in sizes:
+        own = [words(r.text) for r in got.itertuples() if (r.source if isinstance(r.source, str) else None) == s]
+        assert abs(sum(own) - want[s]) <= max([words(r[1]) * sum(x[0] == r[0] for x in rows) for r in rows if r[3] == s]) / 2 + 1
     assert mixing.draw_documents(nothing).count() == 0
 
 
@@ -526,12 +531,67 @@ def test_quality(spark, docs, nothing):
     assert quality.keep_accepted(nothing, known).count() == 0
 
 
+def brute_sites(rows):
+    """The priors and each row's site posterior, straight from their definitions."""
+    p = np.array([r[2] for r in rows])
+    host, path = [r[0] for r in rows], [(r[0], r[1]) for r in rows]
+    mean = p.mean()
+    of = lambda keys: {k: p[[i for i, x in enumerate(keys) if x == k]] for k in set(keys)}
+    hosts, paths = of(host), of(path)
+    within = lambda groups: sum(((v - v.mean()) ** 2).sum() for v in groups.values()) / max(1, len(p) - len(groups))
+
+    def weight(between):
+        return 1 / max(1.0, mean * (1 - mean) / between - 1) if between > 0 else 0.0
+
+    spread = sum(len(v) * (v.mean() - mean) ** 2 for v in hosts.values())
+    by_host = weight((spread - (len(hosts) - 1) * within(hosts)) / (len(p) - sum(len(v) ** 2 for v in hosts.values()) / len(p)))
+    spread = sum(len(v) * (v.mean() - hosts[k[0]].mean()) ** 2 for k, v in paths.items())
+    by_path = weight((spread - (len(paths) - len(hosts)) * within(paths)) / (len(p) - sum(len(v) ** 2 / len(hosts[k[0]]) for k, v in paths.items())))
+    found = []
+    for i, x in enumerate(p):
+        h, q = (np.array([p[j] for j in range(len(p)) if j != i and keys[j] == keys[i]]) for keys in (host, path))
+        m = (mean + by_host * h.sum()) / (1 + by_host * len(h))
+        found.append((m + by_path * q.sum()) / (1 + by_path * len(q)))
+    return mean, by_host, by_path, found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_site_posteriors_equal_brute_force(spark, seed):
+    r = np.random.default_rng(seed)
+    rows = []
+    for h in range(8):
+        level = r.uniform(0.2, 0.9)
+        for q in range(int(r.integers(1, 5))):
+            own = np.clip(level + r.normal(0, 0.15 if seed else 0), 0.05, 0.95)
+            rows += [(None if h == 7 else f"h{h}", f"q{q}" if q else None, float(np.clip(own + r.normal(0, 0.1), 0.01, 0.99))) for _ in range(int(r.integers(1, 40)))]
+    made = [(i, *x, float(np.log(x[2] / (1 - x[2])))) for i, x in enumerate(rows)]
+    scored = spark.createDataFrame(made, "doc_id long, host string, path string, p double, logit double").repartition(3)
+    sites, prior = quality.posteriors(scored)
+    mean, by_host, by_path, want = brute_sites(rows)
+    assert np.allclose([prior.mean, prior.host, prior.path], [mean, by_host, by_path])
+    got = {x["doc_id"]: x for x in quality.combine(scored, sites, prior).collect()}
+    assert np.allclose([got[i]["site"] for i in range(len(rows))], want)
+    odds = lambda x: np.log(np.array(x) / (1 - np.array(x)))
+    total = odds([x[2] for x in rows]) + odds(want) - odds(mean)
+    assert np.allclose([got[i]["score"] for i in range(len(rows))], 1 / (1 + np.exp(-total)))
+    assert [got[i]["accepted"] for i in range(len(rows))] == [bool(t >= 0) for t in total]
+
+
 def test_sparse_sites_shrink(spark):
-    scored = spark.createDataFrame([("big", "big/a", 0.1)] * 200 + [("big", "big/b", 0.9)] * 200 + [("new", "new/a", 0.0), ("other", "other/a", 0.95)] + [("third", "third/a", 0.5)] * 50, "host string, path string, p double")
-    sites, mean, strength = quality.posteriors(scored)
-    m = {r["path"]: (strength * r["m"] + r["s"]) / (strength + r["n"]) for r in sites.collect()}
-    assert m["big/a"] < 0.25 and m["big/b"] > 0.75  # many documents: their own mean
-    assert abs(m["new/a"] - mean) < abs(0.0 - mean) and m["new/a"] > 0.15  # one document: near the prior
+    rows = [("big", "big/a", 0.1)] * 200 + [("big", "big/b", 0.9)] * 200 + [("new", "new/a", 0.0), ("other", "other/a", 0.95)] + [("third", "third/a", 0.5)] * 50
+    sites, prior = quality.posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+    found = {}
+    for r in sites.collect():
+        m = (prior.mean + prior.host * r["hs"]) / (1 + prior.host * r["hn"])
+        found[r["path"]] = (m + prior.path * r["s"]) / (1 + prior.path * r["n"])
+    assert found["big/a"] < 0.25 and found["big/b"] > 0.75  # many documents: their own mean
+    assert 0 < found["new/a"] < prior.mean  # one document: between its own and the prior
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(50)] + [(2, "other words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 1), (2, 1), (None, 1)], "doc_id long, accept int")
+    assert quality.fit(docs, labels, 2).weights.shape == (quality.FEATURES + 1,)
 
 
 # --- private data
