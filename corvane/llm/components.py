@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """links: a long, b long, a row or more for each link -> (node, component), component being the least node reached."""
+def components(links: DataFrame) -> DataFrame:
+    """links: a long, b long, a row or more for each link -> (node, component), component being the least node reached.
+
+    Rounds go on until no label falls: about the logarithm of the longest way. Null ends and loops link nothing.
+    """
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"), F.lit(True).alias("changed")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         lower = materialize(lower, "labels-lower")
@@ -25,4 +28,3 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         labels = materialize(labels.select("node", "component", (F.col("component") != F.col("was")).alias("changed")), "labels")
         if not labels.where("changed").limit(1).count():
             return labels.select("node", "component")
-    raise RuntimeError(f"labels still change after {rounds} rounds")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -297,7 +298,7 @@ def test_chains_and_crowds_of_near_copies(spark):
 
 def test_sketches_estimate_and_merge():
     r = np.random.default_rng(5)
-    s = near_duplicates.Sketcher()
+    s = near_duplicates.Sketcher(256)
     for j in (0.2, 0.5, 0.85, 0.95):
         a = near_duplicates.finish(r.integers(0, 2**63, 4000).astype(np.uint64))
         n = len(a)
@@ -330,6 +331,45 @@ def test_cells_give_links_enough_to_connect():
     assert all(find(a) == find(b) for a in range(len(sets)) for b in range(a) if close(sets[a], sets[b]))
 
 
+def test_bands_follow_the_threshold():
+    assert near_duplicates.registers_for(Fraction(85, 100)) == 256
+    assert near_duplicates.registers_for(Fraction(80, 100)) > 400
+    r = np.random.default_rng(1)
+    n, k = 400, near_duplicates.registers_for(Fraction(80, 100))
+    s = near_duplicates.Sketcher(k)
+    missed = 0
+    for _ in range(150):
+        a = near_duplicates.finish(r.integers(0, 2**63, 2 * n).astype(np.uint64))
+        shared = math.ceil(2 * n * 0.8 / 1.8)
+        x, y = (s.sketch(v).view("<i8") for v in (a[:n], np.concatenate([a[:shared], a[n : 2 * n - shared]])))
+        missed += not (x == y).any()
+    assert missed == 0
+
+
+def test_boilerplate_below_the_threshold_makes_no_pairs(spark, monkeypatch):
+    """Texts of four fifths boilerplate share many cells; links among some of them are still found, also over blocks."""
+    r = random.Random(12)
+    base = prose(77, 400)
+    rows = [(i, f"{base} " + " ".join(f"u{i}x{k}" for k in range(60 if i % 9 else 3 + i % 4))) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    t = Fraction(85, 100)
+    want = sorted(brute_groups(rows, t))
+    assert sorted(map(tuple, near_duplicates.group_documents(df, t).collect())) == want
+    monkeypatch.setattr(near_duplicates, "CELL_BYTES", 20_000)
+    mixed = [(i, " ".join(w if r.random() > 0.03 else f"w{r.randrange(10**6)}" for w in base.split()) if i % 3 else f"{base} {prose(500 + i, 90)}") for i in range(150)]
+    df = spark.createDataFrame(mixed, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, near_duplicates.group_documents(df, t).collect())) == sorted(brute_groups(mixed, t))
+
+
+def test_rows_that_share_an_id_are_kept_by_their_texts(spark):
+    a, b, c = prose(31, 40), prose(32, 40), prose(33, 40)
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (2, b, 4), (3, b, 5), (None, c, 6), (None, c, 7), (4, None, 8), (4, "", 9), (None, a, 10)]
+    kept = near_duplicates.keep_first(spark.createDataFrame(rows, "doc_id long, text string, label long"), Fraction(80, 100))
+    assert kept.columns == ["doc_id", "text", "label"]
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert got == sorted([(1, a), (2, b), (0, c), (4, ""), (4, "")])
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
