@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 #: Rows of a lookup table that may be broadcast (a few dozen bytes each); beyond it, a shuffle join is used.
 BROADCAST_ROWS = 200_000
 
-#: Rows of a batch that goes to Python at once; whole texts make rows large.
-BATCH_ROWS = 500
+#: Bytes and rows of a batch that goes to Python at once; whole texts make rows large, and a batch is held on both sides.
+BATCH_BYTES, BATCH_ROWS = 1 << 21, 2000
 
 _local_dir: list[str] = []
 
@@ -30,11 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches held to BATCH_ROWS rows: a batch is held on both sides, for each task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark = df.sparkSession
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """df, with the session's Arrow batches held to BATCH_BYTES and BATCH_ROWS; lower settings stay as they are.
+
+    Batches are cut when a plan runs, after the operator has returned it, so this is a setting of the session and stays; it
+    changes no result. The README says so.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"-?[0-9]+", conf.get(key, "-1"))
+        if not now or not 0 < int(now[0]) <= most:
+            conf.set(key, str(most))
     return df
 
 
