@@ -19,23 +19,50 @@ SIMILAR = Fraction(80, 100)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, fitted on the labels table, accepts, whole.
+
+    Null and empty texts are scored as empty ones, very long ones whole; repeated rows go or stay alike; without labels of
+    both kinds all stay; an empty table gives an empty one; columns of any other names are kept.
+    """
     return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, whole: that of least doc_id (null last).
+
+    Texts without words, null ones too, are in no group and stay; of rows alike in id and text one stays; very long texts are
+    compared whole; an empty table gives an empty one; columns of any other names are kept.
+    """
     return near_duplicates.keep_first(docs, SIMILAR).select(*docs.columns)
 
 
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts masked and n_chars, where there is one, counted anew.
+
+    Null texts stay null with their n_chars; repeated rows stay; very long texts are masked whole; an empty table gives an empty
+    one; columns of any other names are kept.
+    """
     masked = private_data.mask_documents(docs)
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document, whole, as often as its source's target takes it: none, one or two times; rows without words once.
+
+    A null source is one of its own; repeated rows are drawn each; an empty table gives an empty one; columns of any other
+    names are kept.
+    """
     return mixing.draw_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of each row of docs, in sequences of at most 2048 tokens.
+
+    Null and empty texts are their end id alone; very long ones are cut into many pieces; repeated rows are packed each; an
+    empty table gives an empty one; other columns are dropped.
+    """
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
