@@ -38,8 +38,8 @@ def lean(df: DataFrame) -> DataFrame:
     """
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.match(r"-?[0-9]+", conf.get(key, "-1"))
-        if not now or not 0 < int(now[0]) <= most:
+        now = re.fullmatch(r"(-?[0-9]+)b?", conf.get(key))
+        if now and not 0 < int(now[1]) <= most:
             conf.set(key, str(most))
     return df
 
