@@ -234,7 +234,7 @@ def cell_links(sets: list[np.ndarray], labels: list[int], threshold: Fraction, m
     order = np.argsort(np.lexsort((values, counts)))
     several = counts > 1
     at = np.cumsum([0, *map(len, sets)])
-    seen: dict[int, list[tuple[int, int]]] = {}
+    seen: dict[int, dict[int, list[tuple[int, int]]]] = {}  # by shingle, then by label: members of one's own label aren't looked at
     found = []
     for i in sorted(range(len(sets)), key=lambda k: (len(sets[k]), k)):
         n = len(sets[i])
@@ -246,10 +246,13 @@ def cell_links(sets: list[np.ndarray], labels: list[int], threshold: Fraction, m
         shared = list(enumerate(prefix))[alone:]
         near: set[int] = set()
         for place, r in shared:
-            for j, where in seen.get(r, ()):
-                m = len(sets[j])
-                if m * den >= num * n and min(n - place, m - where) * (num + den) >= num * (n + m) and (not most or (most[i] >= m and most[j] >= n)):
-                    near.add(j)
+            for label, members in seen.get(r, {}).items():
+                if root(label) == root(labels[i]):
+                    continue
+                for j, where in members:
+                    m = len(sets[j])
+                    if m * den >= num * n and min(n - place, m - where) * (num + den) >= num * (n + m) and (not most or (most[i] >= m and most[j] >= n)):
+                        near.add(j)
         for j in sorted(near):
             if (sides and sides[i] == sides[j]) or root(labels[i]) == root(labels[j]) or (apart and apart(i, j)):
                 continue
@@ -258,7 +261,7 @@ def cell_links(sets: list[np.ndarray], labels: list[int], threshold: Fraction, m
                 group[root(labels[i])] = root(labels[j])
                 found.append((j, i))
         for place, r in shared:
-            seen.setdefault(r, []).append((i, place))
+            seen.setdefault(r, {}).setdefault(labels[i], []).append((i, place))
     return found
 
 
