@@ -23,12 +23,16 @@ def enclosing(issues: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def outermost(artifacts: DataFrame) -> DataFrame:
-    """Artifacts that aren't inside another of the same path; of identical intervals, the one with the longer name stays, then the lesser name."""
-    a, b = artifacts.alias("a"), artifacts.select("path", F.col("first").alias("f"), F.col("last").alias("l"), F.col("name").alias("n")).alias("b")
-    inside = (F.col("f") <= F.col("first")) & (F.col("l") >= F.col("last"))
-    wider = (F.col("l") - F.col("f")) > (F.col("last") - F.col("first"))
-    same = (F.col("f") == F.col("first")) & (F.col("l") == F.col("last")) & ((F.length("n") > F.length("name")) | ((F.length("n") == F.length("name")) & (F.col("n") < F.col("name"))))
-    return a.join(b, (F.col("a.path") == F.col("b.path")) & inside & (wider | same), "left_anti")
+    """Artifacts that aren't inside another of the same path; of identical intervals, the one with the longer name stays, then the lesser name.
+
+    In order of their beginnings, the wider ones first, an interval is inside another if any before it ends as late. So a
+    path's intervals are sorted and read once, with one running maximum; they are never met in pairs.
+    """
+    key = ["path", "first", "last", "name"]
+    order = Window.partitionBy("path").orderBy("first", F.desc("last"), F.desc(F.length("name")), "name").rowsBetween(Window.unboundedPreceding, -1)
+    distinct = artifacts.select(*key).distinct()
+    outer = distinct.withColumn("before", F.max("last").over(order)).where("before is null or before < last").drop("before")
+    return artifacts.join(outer, key, "left_semi")
 
 
 def resolve_paths(wanted: DataFrame, known: DataFrame) -> DataFrame:
