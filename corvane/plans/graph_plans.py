@@ -84,10 +84,13 @@ def layers(spark, sf_dir):
     return assigned.groupBy("layer", F.substring("node", 1, 1).alias("folder")).agg(F.count("*").alias("n")).join(G.layer_count(assigned))
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, {LAYERS_SQL}, f AS (SELECT substr(node, 1, 1) AS folder, max(layer) AS layer FROM layers GROUP BY 1) SELECT src, dst, 'wrongFolderLayer' AS type FROM edges JOIN f a ON a.folder = substr(src, 1, 1) JOIN f b ON b.folder = substr(dst, 1, 1) WHERE a.layer > b.layer")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, {LAYERS_SQL}, f AS (SELECT right(node, 1) AS folder, max(layer) AS layer FROM layers GROUP BY 1) SELECT right(src, 1) || '/' || replace(src, '/', '.') AS src, right(dst, 1) || '/' || replace(dst, '/', '.') AS dst, 'wrongFolderLayer' AS type FROM edges JOIN f a ON a.folder = right(src, 1) JOIN f b ON b.folder = right(dst, 1) WHERE a.layer > b.layer")
 def layer_violations(spark, sf_dir):
+    """Nodes in folders by the last digit of their keys, which the layers of files don't follow."""
     e = entity_edges(spark, sf_dir)
-    return G.violations(e, G.layers(e))
+    moved = lambda c: F.concat(F.right(c, F.lit(1)), F.lit("/"), F.replace(c, F.lit("/"), F.lit(".")))
+    assigned = G.layers(e).select(moved(F.col("node")).alias("node"), "layer")
+    return G.violations(e.select(moved(F.col("src")).alias("src"), moved(F.col("dst")).alias("dst")), assigned)
 
 
 @query(f"WITH {EDGES_SQL} SELECT substr(src, 1, 1) AS src, substr(dst, 1, 1) AS dst, count(*)::BIGINT AS weight FROM edges WHERE substr(src, 1, 1) <> substr(dst, 1, 1) GROUP BY 1, 2")
@@ -102,13 +105,13 @@ def node_degree(spark, sf_dir):
 
 
 def event_edges(spark, sf_dir) -> DataFrame:
-    """All pairs of event types that follow each other for a user. The SQL still keeps the three most frequent."""
+    """All pairs of event types that follow each other for a user."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     pairs = table(spark, sf_dir, "events").select(F.col("event_type").alias("src"), F.lead("event_type").over(order).alias("dst")).where("dst is not null")
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-EVENTS_SQL = "pairs AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), edges AS (SELECT src, dst, count(*) AS n FROM pairs WHERE dst IS NOT NULL GROUP BY 1, 2 ORDER BY n DESC, src, dst LIMIT 3)"
+EVENTS_SQL = "pairs AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), edges AS (SELECT src, dst, count(*) AS n FROM pairs WHERE dst IS NOT NULL GROUP BY 1, 2)"
 SCC_SQL = f"WITH RECURSIVE {EVENTS_SQL}, nodes AS (SELECT DISTINCT event_type AS node FROM events), r AS (SELECT node AS a, node AS b FROM nodes UNION SELECT a, dst FROM r JOIN edges ON src = b), scc AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
 
 
@@ -146,9 +149,11 @@ def inheritance(spark, sf_dir):
     return named.join(nodes.select(F.col("node").alias("root"), F.col("role").alias("root_role")), "root").groupBy("root_role").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src LIKE 'S/%' OR src LIKE 'N/%'), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src AS node, string_agg(dst, ',' ORDER BY dst) AS l, count(*) AS c FROM e GROUP BY 1), i AS (SELECT dst AS node, string_agg(src, ',' ORDER BY src) AS l, count(*) AS c FROM e GROUP BY 1) SELECT node, coalesce(o.l, '') AS outgoing, coalesce(i.l, '') AS incoming, (coalesce(o.c, 0) + coalesce(i.c, 0))::BIGINT AS peers FROM n LEFT JOIN o USING (node) LEFT JOIN i USING (node)")
+@query(f"""WITH {EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), b AS (SELECT src AS node, dst AS peer, true AS o FROM e UNION ALL SELECT dst, src, false FROM e), z AS (SELECT node, count(*) AS peers FROM b GROUP BY node),
+p AS (SELECT b.*, z.peers, ('0x' || substr(md5(peer), 1, 8))::BIGINT % CASE WHEN z.peers > 1000 THEN ceil(z.peers / 1000.0)::BIGINT ELSE 1 END AS piece FROM b JOIN z ON z.node = b.node)
+SELECT node, coalesce(string_agg(peer, ',' ORDER BY peer) FILTER (o), '') AS outgoing, coalesce(string_agg(peer, ',' ORDER BY peer) FILTER (NOT o), '') AS incoming, any_value(peers)::BIGINT AS peers FROM p GROUP BY node, piece""")
 def peer_lists(spark, sf_dir):
-    """All nodes' peers; a node of over a thousand has several rows, each with a part of its lists and with all its peers counted. The SQL still sees suppliers and nations alone."""
+    """All nodes' peers; a node of over a thousand has several rows, each with a part of its lists and with all its peers counted."""
     p = G.peer_pieces(entity_edges(spark, sf_dir))
     return p.select("node", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"), "peers")
 
@@ -174,9 +179,9 @@ def graph_mermaid(spark, sf_dir):
     return mermaid_edges(e.select(F.lower("src").alias("src"), F.lower("dst").alias("dst"))).select("line", "text")
 
 
-@query(f"WITH {EDGES_SQL}, e AS (SELECT src, dst FROM edges WHERE src LIKE 'S/%') SELECT src, dst, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1)::INT AS lane FROM e")
+@query(f"WITH {EDGES_SQL}, e AS (SELECT src, dst FROM edges) SELECT src, dst, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1)::INT AS lane FROM e")
 def lane_rank(spark, sf_dir):
-    """Lanes of all edges at their targets. The SQL still sees suppliers' edges alone."""
+    """Lanes of all edges at their targets."""
     from corvane.operators.lanes import ranked_lanes
 
     return ranked_lanes(entity_edges(spark, sf_dir), ["dst"], [F.col("src")]).select("src", "dst", "lane")

@@ -56,16 +56,18 @@ def locale_summary(spark, sf_dir):
     return L.problem_summary(L.problem_counts(L.matrix(locale_entries(spark, sf_dir), "click-0")))
 
 
-@query("""WITH t AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tags FROM pages),
+@query("""WITH t AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, list_distinct(regexp_extract_all(html, 'href="/([a-zA-Z][a-zA-Z0-9_]*)"', 1)) AS names FROM pages),
 b AS (SELECT host, min(page_id) AS base FROM t GROUP BY host)
-SELECT t.host, t.page_id, len(list_filter(t.tags, lambda x: NOT list_contains(p.tags, x)))::BIGINT AS added, len(list_filter(p.tags, lambda x: NOT list_contains(t.tags, x)))::BIGINT AS lost FROM t JOIN b ON t.host = b.host JOIN t p ON p.page_id = b.base WHERE t.page_id <> b.base AND (added > 0 OR lost > 0)""")
+SELECT t.host, t.page_id, len(list_filter(t.names, lambda x: NOT list_contains(p.names, x)))::BIGINT AS added, len(list_filter(p.names, lambda x: NOT list_contains(t.names, x)))::BIGINT AS lost FROM t JOIN b ON t.host = b.host JOIN t p ON p.page_id = b.base WHERE t.page_id <> b.base AND (added > 0 OR lost > 0)""")
 def placeholder_diff(spark, sf_dir):
-    """Pages whose set of tags differs from that of their host's first page. A host's first page is found with one aggregation."""
-    t = table(spark, sf_dir, "pages").select("page_id", F.split(F.split("url", "://")[1], "/")[0].alias("host"), F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), 1)).alias("tags"))
-    base = t.groupBy("host").agg(F.min_by(F.struct("page_id", "tags"), "page_id").alias("b"))
+    """Pages whose links' names, as the placeholders of a text, differ from those of their host's first page. A host's first page is found with one aggregation."""
+    named = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)
+    text = F.array_join(F.transform(named, lambda x: F.concat(F.lit("{"), x, F.lit("}"))), " ")
+    t = table(spark, sf_dir, "pages").select("page_id", F.split(F.split("url", "://")[1], "/")[0].alias("host"), T.placeholders(text).alias("names"))
+    base = t.groupBy("host").agg(F.min_by(F.struct("page_id", "names"), "page_id").alias("b"))
     both = t.join(base, "host").where(F.col("page_id") != F.col("b.page_id"))
-    out = both.select("host", "page_id", "tags", "b", F.size(F.array_except("tags", "b.tags")).cast("long").alias("added"), F.size(F.array_except("b.tags", "tags")).cast("long").alias("lost"))
-    return out.where(T.differing(F.col("tags"), F.col("b.tags"))).select("host", "page_id", "added", "lost")
+    out = both.select("host", "page_id", "names", "b", F.size(F.array_except("names", "b.names")).cast("long").alias("added"), F.size(F.array_except("b.names", "names")).cast("long").alias("lost"))
+    return out.where(T.differing(F.col("names"), F.col("b.names"))).select("host", "page_id", "added", "lost")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS key FROM documents), k AS (SELECT * FROM l WHERE length(key) > 0), f AS (SELECT doc_id, key, min(line) AS first_line FROM k GROUP BY ALL)
@@ -114,10 +116,10 @@ def nested_intervals(spark, sf_dir):
     return O.outermost(blocks(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""WITH u AS (SELECT DISTINCT split_part(url, '://', 2) AS path FROM pages), k AS (SELECT DISTINCT regexp_extract(url, '[^/]+$') AS path FROM pages WHERE page_id % 3 = 0 AND regexp_matches(url, '[^/]+$'))
+@query("""WITH u AS (SELECT DISTINCT split_part(url, '://', 2) AS path FROM pages), k AS (SELECT DISTINCT regexp_extract(url, '[^/]+$') AS path FROM pages WHERE regexp_matches(url, '[^/]+$'))
 SELECT u.path, max_by(k.path, length(k.path)) AS match FROM u LEFT JOIN k ON u.path = k.path OR ends_with(u.path, '/' || k.path) GROUP BY u.path""")
 def suffix_match(spark, sf_dir):
-    """Every address against the last parts of all pages. The SQL still knows a third of the pages alone."""
+    """Every address against the last parts of all pages."""
     p = table(spark, sf_dir, "pages")
     wanted = p.select(F.split("url", "://")[1].alias("path"))
     known = p.select(F.regexp_extract("url", "([^/]+)$", 1).alias("path")).where("path <> ''")
@@ -218,18 +220,21 @@ def duplicate_impact(spark, sf_dir) -> DataFrame:
     return materialize(pairs.groupBy(F.col("a.source").alias("project")).agg(F.count("*").alias("duplicates"), F.sum(F.col("a.loc") * F.col("similarity")).alias("impact")), "duplicate-impact")
 
 
-def project_inputs(spark, sf_dir) -> DataFrame:
-    """The documents of a source as a project: what the score needs of it, in one aggregation, and its near copies. The SQL still has no copies and scores the areas without input."""
+def project_inputs(spark, sf_dir, copies: DataFrame | None = None) -> DataFrame:
+    """The documents of a source as a project: what the score needs of it, in one aggregation, and its near copies; without copies, that area has no input either."""
     text = F.col("text")
     d = files(spark, sf_dir).select("source", "lang", T.non_blank_count(text).alias("loc"), F.size(F.filter(T.lines(text), lambda x: x.contains("Licensed"))).alias("lic"), F.regexp_count("text", F.lit("token = ")).alias("tok"), F.regexp_count("text", F.lit("@[a-z0-9]+[.]example")).alias("mail"), F.regexp_count("text", F.lit("[0-9]{4,}")).alias("num"))
     a = d.groupBy(F.col("source").alias("project")).agg(
         F.count("*").alias("files"), F.sum("loc").alias("loc"), F.sum(F.greatest(F.lit(0.0), (F.col("loc") - 30).cast("double") / 30)).alias("over"), F.sum("tok").alias("tok"), F.sum("mail").alias("mail"), F.sum("num").alias("num"), F.sum("lic").alias("lic"),
         F.count_if(F.col("lang") == "es").alias("es"), F.count_if(F.col("loc") > 20).alias("long"), F.count_if(F.col("lang") == "de").alias("de"), F.count_if(F.col("lang") == "fr").alias("fr"),
     )
-    copies = duplicate_impact(spark, sf_dir).withColumnRenamed("project", "p")
-    a = a.join(copies, F.col("project").eqNullSafe(F.col("p")), "left").drop("p")
+    off = WITHOUT_INPUT if copies is not None else (*WITHOUT_INPUT, "duplicate_code")
+    if copies is None:
+        a = a.withColumns({"duplicates": F.lit(0), "impact": F.lit(0.0)})
+    else:
+        a = a.join(copies.withColumnRenamed("project", "p"), F.col("project").eqNullSafe(F.col("p")), "left").drop("p")
     issues = {"code_size": "long", "one_class_per_file": "es", "hardcoded_strings": "mail", "magic_numbers": "num", "source_sorting": "de", "layers": "0", "secrets": "tok", "dead_code": "fr", "duplicate_code": "coalesce(duplicates, 0)", "documentation": "lic", "localization": "0"}
-    out = a.withColumns({f"{k}_issues": F.expr(v).cast("long") for k, v in issues.items()} | {f"{k}_enabled": F.lit(k not in WITHOUT_INPUT) for k in issues})
+    out = a.withColumns({f"{k}_issues": F.expr(v).cast("long") for k, v in issues.items()} | {f"{k}_enabled": F.lit(k not in off) for k in issues})
     return out.withColumns({"size_score": S.clamp01(1 - F.col("over") / F.col("files")), "one_class_total": F.col("files"), "edges": F.col("files"), "duplicate_impact": F.coalesce("impact", F.lit(0.0)), "localization_on": F.col("es") > 0, "directives": F.col("lic"), "excludes": F.lit(0), "disabled": F.lit(0)})
 
 
@@ -240,16 +245,17 @@ UNION ALL SELECT project, 1, 'one_class_per_file', true, es, greatest(0, 1 - es:
 UNION ALL SELECT project, 2, 'hardcoded_strings', es > 0, mail, CASE WHEN es > 0 THEN greatest(0, 1 - mail::DOUBLE / greatest(3.0::DOUBLE, 0.8::DOUBLE * files)) ELSE 1 END FROM a
 UNION ALL SELECT project, 3, 'magic_numbers', true, num, greatest(0, 1 - num::DOUBLE / greatest(4.0::DOUBLE, 2.5::DOUBLE * files + loc::DOUBLE / 450)) FROM a
 UNION ALL SELECT project, 4, 'source_sorting', true, de, greatest(0, 1 - de::DOUBLE / greatest(2.0::DOUBLE, 0.75::DOUBLE * files)) FROM a
-UNION ALL SELECT project, 5, 'layers', true, 0, 1 FROM a
+UNION ALL SELECT project, 5, 'layers', false, 0, 1 FROM a
 UNION ALL SELECT project, 6, 'secrets', true, tok, greatest(0, 1 - tok::DOUBLE / 1.5::DOUBLE) FROM a
 UNION ALL SELECT project, 7, 'dead_code', true, fr, greatest(0, 1 - fr::DOUBLE / greatest(3.0::DOUBLE, 0.8::DOUBLE * files)) FROM a
-UNION ALL SELECT project, 8, 'duplicate_code', true, 0, 1 FROM a
+UNION ALL SELECT project, 8, 'duplicate_code', false, 0, 1 FROM a
 UNION ALL SELECT project, 9, 'documentation', true, lic, greatest(0, 1 - lic::DOUBLE / greatest(2.0::DOUBLE, 0.6::DOUBLE * files)) FROM a
-UNION ALL SELECT project, 10, 'localization', true, 0, 1 FROM a)"""
+UNION ALL SELECT project, 10, 'localization', false, 0, 1 FROM a)"""
 
 
 @query(f"WITH {AREAS_SQL} SELECT project, ordinal::INT AS ordinal, area, enabled, issues::BIGINT AS issues, round(score::DOUBLE, 6) AS score FROM areas")
-def area_scores(spark, sf_dir):
+def area_budgets(spark, sf_dir):
+    """Every source's areas but for near copies, which SQL can't measure: the eight that documents alone have input for."""
     return S.areas(project_inputs(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
@@ -259,7 +265,36 @@ s AS (SELECT project, round(greatest(0, least(100, 100 * mean - points)))::BIGIN
 e AS (SELECT project, ordinal, area, issues, 1 - score::DOUBLE AS impact FROM areas WHERE enabled UNION ALL SELECT project, 11, 'suppression_hygiene', lic, points / 25.0::DOUBLE FROM pt WHERE points > 0),
 f AS (SELECT project, area, row_number() OVER (PARTITION BY project ORDER BY impact DESC, issues DESC, ordinal) AS n FROM e WHERE impact > 0)
 SELECT s.project, CASE WHEN raw = 100 AND (least < 1 OR points > 0) THEN 99 ELSE raw END::BIGINT AS score, points, coalesce(f.area, 'none') AS focus FROM s LEFT JOIN f ON f.project = s.project AND f.n = 1""")
+def budget_score(spark, sf_dir):
+    """The overall score over those areas, with what to look at first."""
+    inputs = project_inputs(spark, sf_dir)
+    return S.overall(S.areas(inputs), S.suppression_points(inputs)).select("project", "score", "points", "focus")
+
+
+@query(None)
+def area_scores(spark, sf_dir):
+    """All nine areas that documents have input for, near copies by whole texts among them."""
+    return S.areas(project_inputs(spark, sf_dir, duplicate_impact(spark, sf_dir))).withColumn("score", F.round("score", 6))
+
+
+@query(None)
 def compliance_score(spark, sf_dir):
     """The flagship: every source of documents scored in the nine of eleven areas that documents have input for, with what to look at first."""
-    inputs = project_inputs(spark, sf_dir)
+    inputs = project_inputs(spark, sf_dir, duplicate_impact(spark, sf_dir))
     return S.overall(S.areas(inputs), S.suppression_points(inputs)).select("project", "score", "points", "focus")
+
+
+@query("""SELECT o_orderkey, regexp_replace(regexp_replace(format('{:.2f}', o_totalprice::DOUBLE), '0+$', ''), '[.]$', '') AS compact, CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE (o_orderkey % 3)::VARCHAR END AS dashed,
+CASE WHEN o_orderkey % 100 >= 95 THEN 'excellent' WHEN o_orderkey % 100 >= 85 THEN 'good' WHEN o_orderkey % 100 >= 70 THEN 'fair' ELSE 'poor' END AS band,
+CASE WHEN o_custkey % 7 = 0 THEN '-' ELSE round((o_orderkey % 50) * 100.0::DOUBLE / (o_custkey % 7))::BIGINT::VARCHAR || '%' END AS share, 'order|' || o_orderpriority || '|' || o_orderstatus || '|' || o_orderdate::DATE || '|' || o_custkey AS id, o_orderkey AS line, o_custkey || '.dart:' || o_orderkey AS place FROM orders""")
+def format_labels(spark, sf_dir):
+    """Numbers, bands, identities and locations as reports write them."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    file = F.concat(F.col("o_custkey").cast("string"), F.lit(".dart:"))
+    twice = F.concat(file, key, F.lit(":"), file, key, F.lit("::"))
+    return o.select(
+        "o_orderkey", T.compact_decimal(F.col("o_totalprice")).alias("compact"), T.dash_if_zero(F.col("o_orderkey") % 3).alias("dashed"), T.score_band(F.col("o_orderkey") % 100).alias("band"),
+        T.ratio_or_dash(F.col("o_orderkey") % 50, F.col("o_custkey") % 7).alias("share"), T.stable_id(F.lit("order"), F.col("o_orderpriority"), F.col("o_orderstatus"), F.to_date("o_orderdate").cast("string"), F.col("o_custkey")).alias("id"),
+        T.location_line(twice).alias("line"), T.clean_location(twice).alias("place"),
+    )

@@ -36,24 +36,38 @@ def query(sql: str | None):
     return add
 
 
-@query(f"""WITH {FILES_SQL} SELECT count(*)::BIGINT AS files, count(DISTINCT source || '/' || lang)::BIGINT AS folders,
-count(*) FILTER (lang = 'en')::BIGINT AS main_files, count(*) FILTER (lang <> 'en')::BIGINT AS other_files,
-count(*) FILTER (source IN ('src0', 'src1'))::BIGINT AS excluded_files, count(*) FILTER (source = 'src2')::BIGINT AS hidden_files FROM files""")
+def tree(spark, sf_dir) -> DataFrame:
+    """Documents as a scanned tree: four sources are a hidden folder, a build folder and a test folder, English ones sources, every fiftieth the source of a locale; folders are rows too."""
+    from corvane.sources.tree import classified
+
+    top = F.when(F.col("source") == "src2", ".cache").when(F.col("source") == "src0", "build").when(F.col("source") == "src1", "test").otherwise(F.col("source"))
+    name = F.concat(F.when(F.col("doc_id") % 50 == 0, "app_localizations_").otherwise(""), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".dart").otherwise(".arb"))
+    f = table(spark, sf_dir, "documents").select(F.concat_ws("/", top, "lang").alias("folder"), name.alias("name"))
+    folders = f.select(F.explode(F.array("folder", F.substring_index("folder", "/", 1))).alias("path")).distinct().withColumn("is_dir", F.lit(True))
+    return classified(f.select(F.concat_ws("/", "folder", "name").alias("path"), F.lit(False).alias("is_dir")).unionByName(folders), ["**/fr/*7.arb"])
+
+
+TREE_SQL = """f AS (SELECT CASE source WHEN 'src2' THEN '.cache' WHEN 'src0' THEN 'build' WHEN 'src1' THEN 'test' ELSE source END AS top, lang, CASE WHEN doc_id % 50 = 0 THEN 'app_localizations_' ELSE '' END || doc_id || CASE lang WHEN 'en' THEN '.dart' ELSE '.arb' END AS name FROM documents),
+t AS (SELECT top, false AS is_dir, lang = 'en' AS is_dart, false AS is_root, CASE WHEN top = '.cache' THEN 'hidden' WHEN top IN ('build', 'test') THEN 'default' WHEN lang = 'fr' AND ends_with(name, '7.arb') THEN 'glob' WHEN lang = 'en' AND starts_with(name, 'app_localizations_') THEN 'generated' END AS reason FROM f
+UNION ALL SELECT top, true, false, root AND top = 'test', CASE WHEN top = '.cache' THEN 'hidden' WHEN top IN ('build', 'test') THEN 'default' END FROM (SELECT DISTINCT top, lang AS part, false AS root FROM f UNION ALL SELECT DISTINCT top, '', true FROM f))"""
+
+
+@query(f"""WITH {TREE_SQL} SELECT count(*) FILTER (reason IS NULL AND is_dart)::BIGINT AS dart_files, count(*) FILTER (is_dir AND (reason IS NULL OR reason = 'generated'))::BIGINT AS folders, count(*) FILTER (NOT is_dir AND (reason IS NULL OR reason = 'generated'))::BIGINT AS files,
+count(*) FILTER (reason IS NOT NULL AND is_dart)::BIGINT AS excluded_dart, count(*) FILTER (reason <> 'generated' AND is_dir)::BIGINT AS excluded_folders, count(*) FILTER (reason <> 'generated' AND NOT is_dir)::BIGINT AS excluded_files,
+count(*) FILTER (is_root)::BIGINT AS test_folders, count(*) FILTER (top = 'test' AND NOT is_dir)::BIGINT AS test_files, count(*) FILTER (top = 'test' AND is_dart)::BIGINT AS test_dart_files, count(*) FILTER (is_dart AND reason = 'glob')::BIGINT AS custom_excluded_dart FROM t""")
 def scan_counters(spark, sf_dir):
     """All counters of a scan in one aggregation."""
-    f = files(spark, sf_dir)
-    return f.agg(F.count("*").alias("files"), F.countDistinct(T.folder(F.col("path"))).alias("folders"), F.count_if(F.col("lang") == "en").alias("main_files"), F.count_if(F.col("lang") != "en").alias("other_files"), F.count_if(F.split("path", "/")[0].isin("src0", "src1")).alias("excluded_files"), F.count_if(T.has_part(F.col("path"), lambda x: x == "src2")).alias("hidden_files"))
+    from corvane.sources.tree import counters
 
+    return counters(tree(spark, sf_dir))
 
-@query(f"""WITH {FILES_SQL} SELECT CASE WHEN source = 'src2' THEN 'hidden' WHEN source IN ('src0', 'src1') THEN 'default' WHEN regexp_matches(path, '/fr/[0-9]*7$') THEN 'glob' ELSE 'kept' END AS reason,
-lang, count(*)::BIGINT AS n FROM files GROUP BY ALL""")
+
+@query(f"WITH {TREE_SQL} SELECT reason, CASE WHEN is_dir THEN 'folder' WHEN is_dart THEN 'dart' ELSE 'other' END AS kind, count(*)::BIGINT AS n FROM t WHERE reason IS NOT NULL GROUP BY ALL")
 def excluded_split(spark, sf_dir):
-    """Files by the first reason that excludes them: hidden, then default folders, then globs."""
-    from corvane.sources.globs import excluded_by
+    """What a scan leaves out, by the first reason and by kind."""
+    from corvane.sources.tree import excluded
 
-    f = files(spark, sf_dir)
-    reason = F.when(F.split("path", "/")[0] == "src2", "hidden").when(F.arrays_overlap(F.split("path", "/"), F.array(F.lit("src0"), F.lit("src1"))), "default").when(excluded_by(F.col("path"), ["**/fr/*7"]), "glob").otherwise("kept")
-    return f.groupBy(reason.alias("reason"), "lang").agg(F.count("*").alias("n"))
+    return excluded(tree(spark, sf_dir)).groupBy("reason", "kind").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, {NON_BLANK_SQL} AS loc, len(string_split(text, chr(10)))::BIGINT AS lines FROM documents")
@@ -121,34 +135,47 @@ def code_size_score(spark, sf_dir):
     return M.size_score(M.with_limits(artifacts, {"file": 30, "class": 25, "function": 20, "method": 15})).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH t AS (SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS token FROM documents UNION ALL SELECT url FROM pages)
-SELECT CASE WHEN regexp_matches(token, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN 'address' WHEN regexp_matches(token, '^[\\w.+-]+@[\\w-]+\\.[\\w.-]+$') THEN 'email' WHEN regexp_matches(token, '^v?[0-9]+(\\.[0-9]+)+$') THEN 'version' WHEN NOT regexp_matches(token, '[A-Za-z0-9]') THEN 'marks' ELSE 'words' END AS kind, count(*)::BIGINT AS n FROM t GROUP BY ALL""")
+def is_technical_sql(column: str) -> str:
+    """The fixed patterns as SQL."""
+    return f"CASE WHEN regexp_matches({column}, '{T.TECHNICAL_MARK}') THEN regexp_matches({column}, '{'|'.join(T.TECHNICAL)}') ELSE regexp_matches({column}, '{T.LOWER_CAMEL}') END"
+
+
+@query(f"""WITH t AS (SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS token FROM documents UNION ALL SELECT url FROM pages)
+SELECT CASE WHEN {is_technical_sql("token")} THEN 'technical' WHEN NOT regexp_matches(token, '[A-Za-z0-9]') THEN 'marks' ELSE 'words' END AS kind, count(*)::BIGINT AS n FROM t GROUP BY ALL""")
 def technical_strings(spark, sf_dir):
+    """Words and addresses as strings of sources: technical ones, marks alone, and words for people."""
     tokens = files(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"([^ \t\n\x0B\f\r]+)"), 1)).alias("token"))
-    tokens = tokens.union(table(spark, sf_dir, "pages").select("url"))
     t = F.col("token")
-    kind = F.when(t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), "address").when(t.rlike(T.TECHNICAL[1]), "email").when(t.rlike(r"^v?[0-9]+(\.[0-9]+)+$"), "version").when(~T.is_meaningful(t), "marks").otherwise("words")
-    return tokens.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    kind = F.when(T.is_technical(t), "technical").when(~T.is_meaningful(t), "marks").otherwise("words")
+    return tokens.union(table(spark, sf_dir, "pages").select("url")).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '[a-z-]+="[^"]*"')) AS x FROM pages), v AS (SELECT page_id, regexp_extract(x, '^([a-z-]+)=', 1) AS name, regexp_extract(x, '="([^"]*)"', 1) AS value FROM a)
-SELECT name, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS kinds FROM v WHERE regexp_matches(value, '[A-Za-z0-9]') AND name NOT IN ('lang', 'charset') AND NOT regexp_matches(value, '^[a-z]+(-[a-z0-9]+)+$') GROUP BY name""")
+@query(f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '[a-z-]+="[^"]*"')) AS x FROM pages), v AS (SELECT page_id, regexp_extract(x, '^([a-z-]+)=', 1) AS name, trim(regexp_extract(x, '="([^"]*)"', 1)) AS value FROM a)
+SELECT name, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS kinds FROM v WHERE regexp_matches(value, '[A-Za-z0-9]') AND name NOT IN ('lang', 'charset') AND NOT ({is_technical_sql("value")}) GROUP BY name""")
 def hardcoded_filters(spark, sf_dir):
     """Attribute values as string literals, less those that the exclusions drop."""
     a = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('([a-z-]+="[^"]*")'), 1)).alias("x"))
-    v = a.select(F.regexp_extract("x", "^([a-z-]+)=", 1).alias("name"), F.regexp_extract("x", '="([^"]*)"', 1).alias("value"))
-    kept = v.where(T.is_meaningful(F.col("value")) & ~F.col("name").isin("lang", "charset") & ~F.col("value").rlike(T.TECHNICAL[5]))
+    v = a.select(F.regexp_extract("x", "^([a-z-]+)=", 1).alias("name"), F.trim(F.regexp_extract("x", '="([^"]*)"', 1)).alias("value"))
+    kept = v.where(T.is_meaningful(F.col("value")) & ~F.col("name").isin("lang", "charset") & ~T.is_technical(F.col("value")))
     return kept.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("value").alias("kinds"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS t FROM documents)
-SELECT secret_type, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS files FROM (
-  SELECT 'email_pii' AS secret_type, doc_id FROM l WHERE regexp_matches(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')
-  UNION ALL SELECT 'generic_secret', doc_id FROM l WHERE regexp_matches(t, '(?i)(api_?key|secret|token|password|passwd)[A-Za-z0-9_]*["'']?\\s*[:=]\\s*["''][^"'']{8,}["'']')
-  UNION ALL SELECT 'aws_access_key', doc_id FROM l WHERE regexp_matches(t, '\\bAKIA[0-9A-Z]{16}\\b')
-  UNION ALL SELECT 'bearer_token', doc_id FROM l WHERE regexp_matches(t, '(?i)\\bbearer\\s+[A-Za-z0-9._~+/-]{16,}=*')) GROUP BY secret_type""")
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS t FROM documents),
+h AS (SELECT doc_id, line, t, unnest([
+  CASE WHEN regexp_matches(t, '\\bAKIA[0-9A-Z]{16}\\b') THEN 'aws_access_key' END,
+  CASE WHEN regexp_matches(t, '(?i)(api_?key|secret|token|password|passwd)[A-Za-z0-9_]*["'']?\\s*[:=]\\s*["''][^"'']{8,}["'']') THEN 'generic_secret' END,
+  CASE WHEN regexp_matches(t, '(?i)\\bbearer\\s+[A-Za-z0-9._~+/-]{16,}=*') THEN 'bearer_token' END,
+  CASE WHEN regexp_matches(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'private_key' END,
+  CASE WHEN regexp_matches(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') THEN 'email_pii' END,
+  CASE WHEN regexp_matches(t, '\\bsk_live_[0-9A-Za-z]{16,}') THEN 'stripe_key' END,
+  CASE WHEN regexp_matches(t, '\\bghp_[0-9A-Za-z]{20,}') THEN 'github_pat' END]) AS secret_type FROM l),
+named AS (SELECT * FROM h WHERE secret_type IS NOT NULL),
+blob AS (SELECT doc_id, line, regexp_extract(t, '[A-Za-z0-9+/=_-]{32,}') AS b FROM l WHERE regexp_matches(t, '[A-Za-z0-9+/=_-]{32,}') AND (doc_id, line) NOT IN (SELECT (doc_id, line) FROM named)),
+letters AS (SELECT doc_id, line, b, unnest(string_split(b, '')) AS ch FROM blob), counted AS (SELECT doc_id, line, b, count(*)::DOUBLE / length(b) AS p FROM letters GROUP BY doc_id, line, b, ch),
+loose AS (SELECT doc_id, line, 'high_entropy' AS secret_type FROM counted GROUP BY doc_id, line HAVING -sum(p * log2(p)) >= 4.5)
+SELECT secret_type, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS files FROM (SELECT doc_id, secret_type FROM named UNION ALL SELECT doc_id, secret_type FROM loose) GROUP BY secret_type""")
 def secrets_by_type(spark, sf_dir):
-    """All eight types. The SQL knows four of them."""
+    """All eight types."""
     found = X.secrets(files(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
     return found.groupBy("secret_type").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"))
 
@@ -161,11 +188,9 @@ def secrets_entropy(spark, sf_dir):
     return v.select("doc_id", "value", F.round(X.entropy(F.col("value")), 6).alias("entropy"))
 
 
-@query("""WITH p AS (SELECT doc_id AS id, lang, regexp_replace(lower(substr(text, 1, 200)), '[^\\x00-\\x7F]', 'x', 'g') AS code FROM documents),
-d AS (SELECT a.id AS a, b.id AS b, greatest(length(a.code), length(b.code)) AS m, least(length(a.code), length(b.code)) AS s, levenshtein(a.code, b.code) AS k FROM p a JOIN p b ON a.lang = b.lang AND a.id < b.id AND least(length(a.code), length(b.code)) >= greatest(length(a.code), length(b.code)) * 0.9::DOUBLE)
-SELECT a, b, round(1 - k::DOUBLE / m, 6) AS similarity FROM d WHERE k <= floor((1.0::DOUBLE - 0.9::DOUBLE) * m)""")
+@query(None)
 def near_duplicates(spark, sf_dir):
-    """Pairs of documents of a language whose whole texts, as words, are nearly the same. The SQL still compares openings alone, by characters."""
+    """Pairs of documents of a language whose whole texts, as words, are nearly the same."""
     from corvane.operators.similarity import similar_texts
 
     docs = files(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("signature"), "text")
