@@ -123,36 +123,105 @@ def has_part(path: Column, test) -> Column:
     return F.exists(F.split(path, "/"), test)
 
 
+#: What stands before the locale in the names of translation files, taken off in this order.
+ARB_PREFIXES = ("app_", "messages_", "l10n_")
+
+
 def locale_of(name: Column) -> Column:
-    """Locale in a translation file's name: what follows the first _ before the extension, with - as _; else the stem."""
-    stem = F.regexp_replace(file_name(name), r"\.[A-Za-z]+$", "")
-    found = F.regexp_extract(stem, r"_([A-Za-z]{2,3}([_-][A-Za-z0-9]+)*)$", 1)
-    return F.regexp_replace(F.when(found != "", found).otherwise(stem), "-", "_")
-
-
-#: English names of languages by ISO 639-1 code.
-LANGUAGES = dict(
-    pair.split(":")
-    for pair in (
-        "af:Afrikaans am:Amharic ar:Arabic az:Azerbaijani be:Belarusian bg:Bulgarian bn:Bengali bs:Bosnian ca:Catalan cs:Czech "
-        "cy:Welsh da:Danish de:German el:Greek en:English es:Spanish et:Estonian eu:Basque fa:Persian fi:Finnish fr:French "
-        "gl:Galician gu:Gujarati he:Hebrew hi:Hindi hr:Croatian hu:Hungarian hy:Armenian id:Indonesian is:Icelandic it:Italian "
-        "ja:Japanese ka:Georgian kk:Kazakh km:Khmer kn:Kannada ko:Korean ky:Kyrgyz lo:Lao lt:Lithuanian lv:Latvian mk:Macedonian "
-        "ml:Malayalam mn:Mongolian mr:Marathi ms:Malay my:Burmese nb:Norwegian ne:Nepali nl:Dutch pa:Punjabi pl:Polish "
-        "pt:Portuguese ro:Romanian ru:Russian si:Sinhala sk:Slovak sl:Slovenian sq:Albanian sr:Serbian sv:Swedish sw:Swahili "
-        "ta:Tamil te:Telugu th:Thai tr:Turkish uk:Ukrainian ur:Urdu uz:Uzbek vi:Vietnamese zh:Chinese zu:Zulu"
-    ).split()
-)
+    """Locale in a translation file's name: language in lower case, then what follows, parts joined by _; null if the name begins with no language."""
+    stem = F.regexp_replace(file_name(name), r"(?<=.)\.[^.]*$", "")
+    for prefix in ARB_PREFIXES:
+        stem = F.regexp_replace(stem, f"^{prefix}", "")
+    parts = F.filter(F.split(F.replace(stem, F.lit("-"), F.lit("_")), "_"), lambda x: x != "")
+    language = F.lower(F.get(parts, 0))
+    return F.when(language.rlike("^[a-z]{2,3}$"), F.array_join(F.concat(F.array(language), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))), "_"))
+
+
+#: English names of languages.
+LANGUAGES = {
+    "en": "English",
+    "es": "Spanish",
+    "fr": "French",
+    "de": "German",
+    "it": "Italian",
+    "pt": "Portuguese",
+    "ru": "Russian",
+    "ja": "Japanese",
+    "ko": "Korean",
+    "zh": "Chinese",
+    "ar": "Arabic",
+    "hi": "Hindi",
+    "th": "Thai",
+    "vi": "Vietnamese",
+    "sv": "Swedish",
+    "da": "Danish",
+    "no": "Norwegian",
+    "fi": "Finnish",
+    "pl": "Polish",
+    "tr": "Turkish",
+    "nl": "Dutch",
+    "cs": "Czech",
+    "hu": "Hungarian",
+    "ro": "Romanian",
+    "bg": "Bulgarian",
+    "hr": "Croatian",
+    "sk": "Slovak",
+    "sl": "Slovenian",
+    "et": "Estonian",
+    "lv": "Latvian",
+    "lt": "Lithuanian",
+    "ga": "Irish",
+    "eu": "Basque",
+    "ca": "Catalan",
+    "gl": "Galician",
+    "is": "Icelandic",
+    "mk": "Macedonian",
+    "sr": "Serbian",
+    "bs": "Bosnian",
+    "me": "Montenegrin",
+    "sq": "Albanian",
+    "be": "Belarusian",
+    "uk": "Ukrainian",
+    "el": "Greek",
+    "he": "Hebrew",
+    "fa": "Persian",
+    "ur": "Urdu",
+    "bn": "Bengali",
+    "ta": "Tamil",
+    "te": "Telugu",
+    "ml": "Malayalam",
+    "kn": "Kannada",
+    "gu": "Gujarati",
+    "pa": "Punjabi",
+    "mr": "Marathi",
+    "ne": "Nepali",
+    "si": "Sinhala",
+    "my": "Myanmar",
+    "km": "Khmer",
+    "lo": "Lao",
+    "ka": "Georgian",
+    "am": "Amharic",
+    "sw": "Swahili",
+    "zu": "Zulu",
+    "af": "Afrikaans",
+    "mt": "Maltese",
+    "cy": "Welsh",
+}
 
 
 def language_name(locale: Column) -> Column:
-    """The language's name; the locale in capitals where it's unknown."""
+    """The language's name; its code in capitals where it's unknown."""
+    code = F.get(F.split(F.lower(locale), "[_-]"), 0)
     names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(names[F.lower(F.regexp_extract(locale, r"^([A-Za-z]+)", 1))], F.upper(locale))
+    return F.coalesce(names[code], F.upper(code))
+
+
+#: Fixed value: what a translation's placeholder looks like.
+PLACEHOLDER = r"\{([a-zA-Z][a-zA-Z0-9_]*)\}"
 
 
 def placeholders(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\{([A-Za-z_][A-Za-z0-9_]*)[^{}]*\}"), 1))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(PLACEHOLDER), 1))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -167,7 +236,7 @@ def translation_problem(base: Column, value: Column) -> Column:
         .when(~non_blank(value), "empty")
         .when(base.isNull(), "missing")
         .when(base == value, "unchanged")
-        .when(differing(placeholders(base), placeholders(value)), "placeholder_mismatch")
+        .when((F.size(placeholders(base)) > 0) & differing(placeholders(base), placeholders(value)), "placeholder_mismatch")
     )
 
 
@@ -262,14 +331,14 @@ def status_icon(enabled: Column, issues: Column) -> Column:
 
 
 #: Names that analyzers also go by.
-ALIASES = {"magic": "magic_numbers", "strings": "hardcoded_strings", "hardcoded": "hardcoded_strings", "duplicates": "duplicate_code", "docs": "documentation", "sorting": "source_sorting", "l10n": "localization", "dead": "dead_code"}
+ALIASES = {"codesize": "code_size", "sorting": "source_sorting"}
 
 
 def analyzer_name(name: str) -> str:
     """Lower case with underscores, aliases resolved."""
     import re
 
-    plain = re.sub(r"[\s-]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name.strip())).lower()
+    plain = re.sub(r"\s+", "_", name.strip().lower().replace("-", "_"))
     return ALIASES.get(plain, plain)
 
 
@@ -277,36 +346,34 @@ def issue_count_icon(score: Column) -> Column:
     return F.when(score >= 95, "green").when(score >= 85, "lime").when(score >= 70, "yellow").otherwise("red")
 
 
-#: What technical strings look like, if they hold one of the marks.
-TECHNICAL_MARK = r"[/\\._:#@%?=&<>{}\[\]$|*+-]"
+#: What technical strings look like, if they hold one of the marks, and what they look like without one.
+TECHNICAL_MARK = r"[/\\._:?#@0-9-]"
+LOWER_CAMEL = r"^[a-z]+(?:[A-Z][a-z0-9]*)+$"
 TECHNICAL = (
-    r"^[a-zA-Z][a-zA-Z0-9+.-]*://\S+$",
-    r"^[\w.+-]+@[\w-]+\.[\w.-]+$",
-    r"^#(?:[0-9a-fA-F]{3,4}){1,2}$",
-    r"^/?(?:[\w.-]+/)+[\w.-]*$",
-    r"^[a-z]+(?:_[a-z0-9]+)+$",
-    r"^[a-z]+(?:-[a-z0-9]+)+$",
-    r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$",
-    r"^[a-z]\w*(?:\.[a-z]\w*)+$",
-    r"^[\w-]+\.[a-z0-9]{1,5}$",
-    r"^v?\d+(?:\.\d+)+$",
-    r"^[a-z]+/[a-z0-9.+-]+$",
-    r"^<[^<>]+>$",
-    r"^\$\{?\w+\}?$",
-    r"^%[-+ 0#]*\d*(?:\.\d+)?[a-zA-Z]$",
-    r"^[?&]?\w+=\S*$",
-    r"^[\w$]+\[\w*\]$",
-    r"^\d{1,4}[-/:]\d{1,2}(?:[-/:]\d{1,4})?$",
+    r"^\w+://",
+    r"^[\w\-\.]+@[\w\-\.]+\.\w+",
+    r"^#[0-9A-Fa-f]{3,8}",
+    r"^\d+(\.\d+)?[a-zA-Z]*",
+    r"^[A-Z][A-Z0-9]*_[A-Z0-9_]*",
+    r"^[a-z]+_[a-z_]+",
+    LOWER_CAMEL,
+    r"^/[\w/\-\.]*",
+    r"^[A-Za-z]:\\[\w\\\-. ]*",
+    r"^(?:\.{1,2}/)?[\w\-.]+(?:/[\w\-.]+)+$",
+    r"^[\w\-.]+(?:/+(?:[\w\-.]+)?)+$",
+    r"^(?:\.{1,2}\\)?[\w\-.]+(?:\\[\w\-.]+)+$",
+    r"^[\w\-.]+(?:\\+(?:[\w\-.]+)?)+$",
+    r"^[?#][^ ]*[=&/][^ ]*$",
+    r"^\w+\.\w+",
+    r"^[\w\-]+\.[\w]+",
+    r"^[a-zA-Z0-9]*[_\-0-9]+[a-zA-Z0-9_\-]*",
 )
-LOWER_CAMEL = r"^[a-z]+(?:[A-Z][a-z0-9]*)+$"
 
 
 def is_technical(c: Column) -> Column:
-    """Identifiers, paths, addresses and codes rather than words for people."""
-    marked = c.rlike(TECHNICAL[0])
-    for pattern in TECHNICAL[1:]:
-        marked = marked | c.rlike(pattern)
-    return F.when(c.rlike(TECHNICAL_MARK), marked).otherwise(c.rlike(LOWER_CAMEL))
+    """Identifiers, paths, addresses and codes rather than words for people; blank texts aren't."""
+    plain = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.when(plain == "", F.lit(False)).when(plain.rlike(TECHNICAL_MARK), plain.rlike("|".join(TECHNICAL))).otherwise(plain.rlike(LOWER_CAMEL))
 
 
 def is_meaningful(c: Column) -> Column:

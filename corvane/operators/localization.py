@@ -61,3 +61,65 @@ def repeated_keys(lines: DataFrame) -> DataFrame:
     """lines: file, key, line -> all but each key's first line, with that first line."""
     first = lines.groupBy("file", "key").agg(F.min("line").alias("first_line"))
     return lines.join(first, ["file", "key"]).where("line > first_line")
+
+
+def base_file(entries: DataFrame) -> str | None:
+    """The first path, in code point order, of a file in English; else the first of all."""
+    english = F.substring_index("locale", "_", 1) == "en"
+    row = entries.agg(F.min(F.when(english, F.col("path"))).alias("english"), F.min("path").alias("any")).first()
+    return row["english"] or row["any"]
+
+
+DETAIL = ("locale", "path", "line", "key", "problem")
+
+
+def details(entries: DataFrame, reads: DataFrame, base: str) -> tuple[DataFrame, int]:
+    """(locale, path, line, key, problem) of everything wrong, and how many base keys are to be translated.
+
+    entries: path, locale, key, value, kept, declared, lines; reads: key, what sources use; base: the base file's path. A key that a file
+    repeats has its repetitions as its only problem there; a missing one stands where the base file declares it. Base keys
+    that no source reads count only where the base is English and sources read any. Without keys to translate,
+    repetitions are all there is. Files whose names tell no locale have no rows.
+    """
+    real = entries.where(F.col("key").isNotNull())
+    own = real.where(F.col("path") == base)
+    keys = own.where(F.col("declared") & ~F.col("kept")).select("key", F.col("value").alias("base_value"), F.coalesce(F.get("lines", 0), F.lit(1)).alias("base_line"))
+    n_keys = keys.count()
+    named = real.where("locale is not null")
+    repeated = named.select("locale", "path", F.explode(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).alias("line"), "key", F.lit("duplicate_key").alias("problem"))
+    if not n_keys:
+        return repeated.select(*DETAIL), 0
+    # Each key is needed in each file, so these cells are the result's own size; files are listed once for all keys.
+    files = entries.where("locale is not null").where(F.col("path") != base).select("path", "locale").distinct()
+    listed = files.agg(F.collect_list(F.struct("path", "locale")).alias("files"))  # one row, an element for each translation file
+    cells = keys.join(listed).select("key", "base_value", "base_line", F.explode("files").alias("f")).select("key", "base_value", "base_line", "f.path", "f.locale")
+    held = named.select("path", "key", "value", "kept", "lines")
+    cells = cells.join(held, ["path", "key"], "left").where(~F.coalesce("kept", F.lit(False)))
+    problem = translation_problem(F.col("base_value"), F.col("value"))
+    single = cells.where(F.coalesce(F.size("lines"), F.lit(0)) <= 1).withColumn("problem", problem).where("problem is not null")
+    lost = F.col("problem") == "missing"
+    line = F.when(lost, F.col("base_line")).otherwise(F.coalesce(F.get("lines", 0), F.lit(1)))
+    wrong = single.select("locale", F.when(lost, F.lit(base)).otherwise(F.col("path")).alias("path"), line.alias("line"), "key", "problem")
+    mine = repeated.join(keys.select("key"), "key", "left_semi").where(F.col("path") != base).select(*DETAIL)
+    of_base = repeated.where(F.col("path") == base).select(*DETAIL)
+    found = wrong.unionByName(mine).unionByName(of_base)
+    language = entries.where(F.col("path") == base).select("locale").first()["locale"]
+    if language and language.split("_")[0] == "en" and reads.limit(1).count():
+        idle = unused(keys, reads, True).join(keys.select("key", "base_line"), "key")
+        found = found.unionByName(idle.select(F.lit(language).alias("locale"), F.lit(base).alias("path"), F.col("base_line").alias("line"), "key", F.lit("unused_key").alias("problem")))
+    return found, n_keys
+
+
+def by_locale(found: DataFrame, locales: DataFrame, n_keys: int) -> DataFrame:
+    """Per locale: total, missing (repetitions and unused keys don't count), problems and coverage in percent to one decimal."""
+    bad = ~F.col("problem").isin("duplicate_key", "unused_key")
+    counts = found.groupBy("locale").agg(F.count_if(bad).alias("missing"), F.count("*").alias("problems"))
+    out = locales.select("locale").where("locale is not null").distinct().join(counts, "locale", "left")
+    missing = F.coalesce("missing", F.lit(0))
+    share = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (F.lit(n_keys) - missing) / F.lit(max(1, n_keys)))), 1)
+    return out.select("locale", F.lit(n_keys).cast("long").alias("total"), missing.alias("missing"), F.coalesce("problems", F.lit(0)).alias("problems"), share.alias("coverage"))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Details in the order of reports: path, line, key, kind of problem."""
+    return found.orderBy("locale", "path", "line", "key", F.array_position(F.array(*map(F.lit, PROBLEMS)), F.col("problem")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import deadcode, graph, localization, metrics, score, secrets, similarity, sorting
-from corvane.sources import globs, tree
+from corvane.sources import globs, translations, tree
 from corvane.sources.config import Config, Project, find_pubspec, parse_pubspec
 from corvane.sources.store import materialize
 
@@ -28,6 +28,7 @@ class Analysis:
     issues: DataFrame  # domain, type, path, line, subject, severity
     duplicates: DataFrame
     coverage: DataFrame
+    translations: DataFrame  # locale, path, line, key, problem
     excluded: DataFrame
     tests: DataFrame
     areas: DataFrame
@@ -47,21 +48,44 @@ def issue(rows: DataFrame, domain: str, kind, line, subject, severity: str = "wa
 
 
 def ignored(facts: DataFrame, domain: str) -> DataFrame:
-    """Files whose first lines hold a directive for the domain."""
-    return facts.where(F.exists("directives", lambda d: (d["line"] <= 10) & d["token"].endswith(domain))).select("path")
+    """Files whose leading comments hold a directive for the domain."""
+    return facts.where(F.exists("directives", lambda d: d["leading"] & d["token"].endswith(domain))).select("path")
 
 
 def open_lines(rows: DataFrame, facts: DataFrame, domain: str) -> DataFrame:
-    """rows: path, line. Without lines that hold a directive for the domain."""
-    held = facts.select("path", F.explode("directives").alias("d")).where(F.col("d.token").endswith(domain)).select("path", F.col("d.line").alias("line"))
-    return rows.join(held, ["path", "line"], "left_anti")
-
-
-def locales(files: DataFrame) -> DataFrame:
-    """(path, key, locale, value) of translation files; unreadable ones have no rows, values that aren't text no value."""
-    arb = files.where(F.lower("path").endswith(".arb") & F.col("content").isNotNull())
-    entries = arb.select("path", F.explode(F.from_json("content", "map<string,string>")).alias("key", "value"))
-    return entries.select("path", "key", T.locale_of(F.col("path")).alias("locale"), F.when(~F.col("value").startswith("{"), F.col("value")).alias("value"))
+    """rows: path, line. Without those in the reach of a directive for the domain: its own line and all of what begins there."""
+    held = facts.select(F.col("path").alias("p"), F.explode("directives").alias("d")).where(F.col("d.token").endswith(domain)).select("p", F.col("d.line").alias("from"), F.col("d.last").alias("upto"))
+    return rows.join(held, (F.col("path") == F.col("p")) & F.col("line").between(F.col("from"), F.col("upto")), "left_anti")
+
+
+#: Named arguments of widgets whose strings nobody reads, and endings of files that hold texts.
+QUIET = ("semanticsLabel", "excludeSemantics", "restorationId", "heroTag", "key", "debugLabel", "fontFamily", "package", "name", "asset", "tooltip", "textDirection", "locale", "materialType", "clipBehavior", "crossAxisAlignment", "mainAxisAlignment", "textAlign", "textBaseline", "overflow", "softWrap", "textScaleFactor")
+TEXT_FILES = r"(?i)(strings|constants|keys)\.dart$"
+FOCUS = {"flutter": "widgets", "dart": "print"}
+
+
+def hardcoded(plain: DataFrame, facts: DataFrame, focus: str, translated: bool) -> DataFrame:
+    """(path, line, value) of strings for people. focus: widgets (neither printed nor technical, with any Text('...')), print (printed ones alone) or general."""
+    shown = plain.join(ignored(facts, "hardcoded_strings"), "path", "left_anti")
+    s = shown.select("path", "excused", F.explode("strings").alias("s")).select("path", "excused", "s.*")
+    bare = T.without_quotes(F.col("value"))
+    s = s.withColumn("value", F.when(F.col("value").rlike("^r"), bare).otherwise(T.without_interpolations(bare)))
+    s = s.where(T.is_meaningful(F.col("value")) & F.col("exempt").isNull())
+    if not translated:
+        s = s.where(~F.col("path").rlike(TEXT_FILES))
+    if focus == "print":
+        s = s.where("printed")
+    if focus == "widgets":
+        quiet = F.coalesce(F.col("property").isin(*QUIET), F.lit(False)) | F.array_contains("excused", F.col("line"))
+        s = s.where(~F.col("logged") & ~quiet & ~T.is_technical(F.col("value")) & ~(F.col("output") & (F.length("value") <= 2)))
+    found = open_lines(s.select("path", "line", "value"), facts, "hardcoded_strings")
+    if focus != "widgets":
+        return found
+    w = shown.select("path", "excused", F.explode("widget_texts").alias("w")).select("path", "excused", "w.line", "w.value")
+    plain_text = T.is_meaningful(T.without_interpolations(F.col("value"))) & ~T.is_technical(F.col("value")) & (F.length("value") > 2)
+    w = w.where(plain_text & ~F.array_contains("excused", F.col("line"))).select("path", "line", "value")
+    on_line = facts.select(F.col("path").alias("p"), F.explode("listed").alias("d")).where(F.col("d.token").endswith("hardcoded_strings")).select("p", F.col("d.line").alias("l"))
+    return w.join(on_line, (F.col("path") == F.col("p")) & (F.col("line") == F.col("l")), "left_anti").union(found).distinct()
 
 
 def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Analysis:
@@ -73,7 +97,7 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     dart = kept.where("is_dart and not is_test")
     facts = materialize(tree.extract(dart), "facts")
     artifacts = materialize(artifacts_of(facts), "artifacts")
-    generated = globs.is_generated(F.col("path")) | globs.in_l10n(F.col("path"))
+    generated = globs.is_generated(F.col("path")) | globs.in_l10n(F.col("path")) | globs.is_generated_localization(F.col("path"))
     plain = facts.where(~F.col("broken") & ~generated)
 
     # Dependency graph: edges between analysed files; files with a directive keep their node and lose their edges.
@@ -94,14 +118,14 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     classes = plain.select("path", F.size(F.filter("artifacts", lambda a: a["kind"] == "class")).alias("n"), F.exists("artifacts", lambda a: (a["kind"] == "class") & (a["parent"] == "StatefulWidget")).alias("stateful"))
     crowded = classes.where(F.when(F.col("stateful"), F.col("n") > 2).otherwise(F.col("n") > 1)).join(ignored(facts, "one_class_per_file"), "path", "left_anti")
     found["one_class_per_file"] = issue(crowded, "one_class_per_file", "several_classes", F.lit(1), F.col("n"))
-    s = plain.join(ignored(facts, "hardcoded_strings"), "path", "left_anti").select("path", F.explode("strings").alias("s")).select("path", "s.line", T.without_quotes(F.col("s.value")).alias("value"))
-    texts = s.where(T.is_meaningful(T.without_interpolations(F.col("value"))) & ~T.is_technical(F.col("value")) & (F.length("value") > 1))
-    found["hardcoded_strings"] = issue(open_lines(texts, facts, "hardcoded_strings"), "hardcoded_strings", "hardcoded", F.col("line"), F.col("value"))
+    arb = materialize(translations.entries(translations.translation_files(kept.where(~F.col("is_dir")))), "translations")
+    uses = facts.where(F.exists("imports", lambda i: i["uri"].rlike("gen_l10n|app_localizations|/l10n/"))).limit(1).count() + arb.limit(1).count() + kept.where("path = 'l10n.yaml'").limit(1).count() > 0
+    found["hardcoded_strings"] = issue(hardcoded(plain, facts, FOCUS.get(project.kind, "general"), uses), "hardcoded_strings", "hardcoded", F.col("line"), F.col("value"))
     n = plain.join(ignored(facts, "magic_numbers"), "path", "left_anti").select("path", F.explode("numbers").alias("n")).select("path", "n.line", "n.value", "n.is_const")
     found["magic_numbers"] = issue(open_lines(n.where(~F.col("is_const") & ~T.is_trivial_number(F.col("value"))), facts, "magic_numbers"), "magic_numbers", "magic_number", F.col("line"), F.col("value"))
     widgets = facts.where(~F.col("broken")).select("path", F.explode("artifacts").alias("a"))
     targets = widgets.where((F.col("a.kind") == "class") & F.col("a.parent").rlike("^(StatelessWidget|StatefulWidget|State)$")).select("path", F.col("a.name").alias("owner_name"), F.col("a.first").alias("line"))
-    members = widgets.where(F.col("a.owner").isNotNull()).select("path", F.col("a.owner").alias("owner_name"), F.col("a.ordinal").alias("ordinal"), F.when(F.col("a.kind") == "constructor", "other").otherwise("method").alias("kind"), F.col("a.name").alias("name"))
+    members = facts.where(~F.col("broken") & ~globs.is_generated(F.col("path"))).select("path", F.explode("members").alias("m")).select("path", F.col("m.owner").alias("owner_name"), "m.ordinal", "m.kind", "m.name")
     placed = sorting.sorted_members(members.join(targets, ["path", "owner_name"], "left_semi").withColumn("owner", F.concat_ws("#", "path", "owner_name")))
     wrong = placed.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("ordinal"))).where("place <> target").select("path", "owner_name").distinct()
     found["source_sorting"] = issue(wrong.join(targets, ["path", "owner_name"]), "source_sorting", "unsorted_members", F.col("line"), F.col("owner_name"))
@@ -131,29 +155,33 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     items = coded.join(F.broadcast(symbol_codes), "t").groupBy("id", "signature", "loc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]), "").alias("code"))
     pairs = similarity.similar_pairs(items.select("id", "signature", "code"), config.duplicate_similarity)
     sizes = items.select(F.col("id").alias("a"), F.col("loc").alias("lines"))
-    duplicates = materialize(pairs.join(sizes, "a").orderBy(F.desc("similarity"), F.desc("lines"), "a", "b"), "duplicates")
+    duplicates = materialize(in_order(pairs.join(sizes, "a")), "duplicates")
     found["duplicate_code"] = issue(duplicates.select(F.substring_index("a", ":", 1).alias("path"), "a", "b"), "duplicate_code", "duplicate", F.split("a", ":")[1], F.col("b"))
-    bare = plain.join(ignored(facts, "documentation"), "path", "left_anti").select("path", F.explode("artifacts").alias("a")).where(F.col("a.is_public") & ~F.col("a.documented") & ~F.col("a.is_override") & F.col("a.kind").isin("class", "function"))
+    declared = plain.join(ignored(facts, "documentation"), "path", "left_anti").select("path", F.explode("artifacts").alias("a")).where(F.col("a.kind").isin("class", "function", "method") & ~F.col("a.is_override") & ~F.col("a.name").startswith("operator "))
+    public = F.col("a.is_public") & ~F.col("a.documented") & ~((F.col("a.kind") == "function") & (F.col("a.name") == "main"))
+    private = ~F.col("a.is_public") & (F.col("a.kind") != "class") & F.col("a.is_complex") & ~F.col("a.commented")
+    kind = F.when(public & (F.col("a.kind") == "class"), "undocumented_class").when(public, "undocumented_function").when(private, "undocumented_complex_private_function")
+    bare = declared.select("path", F.col("a.first").alias("line"), T.qualified_name(F.when(F.col("a.kind") == "method", F.col("a.owner")), F.col("a.name")).alias("name"), kind.alias("kind")).where("kind is not null")
     readme = scanned.where("lower(path) = 'readme.md'").limit(1).count()
-    found["documentation"] = issue(open_lines(bare.select("path", F.col("a.first").alias("line"), F.col("a.name").alias("name")), facts, "documentation"), "documentation", "undocumented", F.col("line"), F.col("name"))
+    found["documentation"] = issue(open_lines(bare, facts, "documentation"), "documentation", F.col("kind"), F.col("line"), F.col("name"))
     if not readme:
         found["documentation"] = found["documentation"].unionByName(issue(spark.createDataFrame([("README.md",)], "path string"), "documentation", "missing_readme", F.lit(None), F.col("path")))
 
-    # Translations.
-    arb = materialize(locales(kept), "locales")
-    base = localization.base_locale(arb.select("locale")).first()["locale"]
-    cells = localization.matrix(arb.select("key", "locale", "value"), base or "")
-    coverage = localization.coverage(cells)
-    lacking = coverage.where("problems > 0")
-    uses = facts.where(F.exists("imports", lambda i: i["uri"].rlike("gen_l10n|app_localizations|/l10n/"))).limit(1).count() + arb.limit(1).count() + kept.where("path = 'l10n.yaml'").limit(1).count() > 0
-    found["localization"] = issue(lacking.select(F.col("locale").alias("path"), "missing"), "localization", "incomplete_locale", F.lit(None), F.col("missing"))
+    # Translations: one issue for each locale with problems, and its details.
+    base = localization.base_file(arb)
+    details, n_keys = localization.details(arb, translations.reads(dart.select("path", "content")), base or "")
+    details = materialize(details, "translation-details")
+    own = arb.where(F.col("path") == (base or "")).select("locale")
+    coverage = localization.by_locale(details, arb.select("locale").join(own, "locale", "left_anti"), n_keys)
+    summary = localization.problem_summary(details.groupBy("locale", "problem").agg(F.count("*").alias("n")))
+    found["localization"] = issue(summary.select(F.col("locale").alias("path"), "summary"), "localization", "incomplete_locale", F.lit(None), F.col("summary"))
 
     issues = none
     for a in score.AREAS:
         if on(a):
             issues = issues.unionByName(found[a])
     issues = materialize(issues, "issues")
-    tests = tree.extract(kept.where("is_dart and is_test"))
+    tests = tree.extract(tree.tests_of(scanned))
     consumed = tree.import_edges(tests, project.name).select(F.col("dst").alias("node")).join(nodes, "node", "left_semi").distinct()
     reach = graph.reachable(reach_edges, consumed).select(F.col("node").alias("path")).join(facts, "path")
     kinds = lambda k: F.coalesce(F.sum(F.size(F.filter("artifacts", lambda a: a["kind"] == k))), F.lit(0)).cast("long")
@@ -167,7 +195,14 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     row = row.withColumns({f"{a}_enabled": F.lit(on(a)) for a in score.AREAS} | {"project": F.lit(project.name), "localization_on": F.lit(uses), "excludes": F.lit(len(config.exclude)), "disabled": F.lit(sum(not on(a) for a in score.COUNTED_AS_DISABLED))})
     row = materialize(row, "score-input")
     areas = score.areas(row)
-    return Analysis(project, config, counters, facts, artifacts, edges, layers, file_cycles, issues, duplicates, coverage, tree.excluded(scanned), test_row, areas, score.overall(areas, score.suppression_points(row)))
+    return Analysis(project, config, counters, facts, artifacts, edges, layers, file_cycles, issues, duplicates, coverage, localization.ordered(details), tree.excluded(scanned), test_row, areas, score.overall(areas, score.suppression_points(row)))
+
+
+def in_order(duplicates: DataFrame) -> DataFrame:
+    """a and b are path:line:name. Most alike first, then longest, then by both places: path, line and name of each."""
+    part = lambda c, k: F.element_at(F.split(c, ":"), k)
+    place = [part(c, k).cast("long") if k == -2 else part(c, k) for c in ("a", "b") for k in (1, -2, -1)]
+    return duplicates.orderBy(F.desc("similarity"), F.desc("lines"), *place)
 
 
 def project_name(root: str) -> str:

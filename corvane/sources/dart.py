@@ -15,7 +15,16 @@ _SPACE = re.compile(r"\s+")
 _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 _NUMBER = re.compile(r"0[xX][0-9a-fA-F_]+|(?:[0-9][0-9_]*)(?:\.[0-9][0-9_]*)?(?:[eE][+-]?[0-9]+)?|\.[0-9]+")
 _PUNCT = re.compile(r">>>=|<<=|>>=|\?\?=|\.\.\.\?|\.\.\.|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.|\.\.|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|~/|<<|.", re.S)
-_IGNORE = re.compile(r"//\s*ignore:\s*([a-z0-9]+_[a-z0-9_]+)", re.I)
+_IGNORE = re.compile(r"//\s*ignore\s*:\s*(.+)$", re.I)
+_DOMAIN = re.compile(r"\b[a-z0-9]+_[a-z_]+\b", re.I)
+_WIDGET_TEXT = re.compile(r"""\bText\s*\(\s*(['"])(.*?)\1""", re.S)
+#: Comments that excuse a hardcoded string on their line and the next.
+EXCUSED = re.compile(r"//\s*ignore:\s*avoid_hardcoded_strings_in_widgets|//\s*ignore_for_file:\s*avoid_hardcoded_strings_in_widgets|//\s*(?i:ignore:\s*hardcoded.string)|//\s*(?i:hardcoded.ok)")
+#: Calls that print or log, and types that are keys.
+PRINTS = ("print", "debugPrint", "debugPrintStack")
+LOGS = ("log", "logger", "info", "debug", "warn", "warning", "error", "trace", "fatal", "wtf")
+KEYS = ("Key", "ValueKey", "ObjectKey")
+WIDGETS = ("StatelessWidget", "StatefulWidget", "State")
 
 
 @dataclass(slots=True)
@@ -129,6 +138,8 @@ class Declaration:
     marks: list[str] = field(default_factory=list)
     documented: bool = False
     arrow: bool = False
+    commented: bool = False
+    body_lines: tuple[int, int] = (0, -1)
 
 
 def _plain(source_tokens: list[Token]) -> list[Token]:
@@ -208,6 +219,7 @@ def declarations(all_tokens: list[Token]) -> list[Declaration]:
     code = _plain(all_tokens)
     close = _matches(code)
     comments = {t.last: t.text for t in all_tokens if t.kind == "comment"}
+    after = {id(t) for before, t in zip(all_tokens, all_tokens[1:], strict=False) if before.kind == "comment" and t.kind != "comment"}
     found: list[Declaration] = []
 
     def add(first: int, body: int, end: int, owner: str | None) -> None:
@@ -247,7 +259,8 @@ def declarations(all_tokens: list[Token]) -> list[Declaration]:
         else:
             what = "variable" if owner is None else "field"
         arrow = body >= 0 and code[body].text == "=>"
-        found.append(Declaration(what, name, owner, code[first].line, code[end - 1].last, head, own, None, marks, documented, arrow))
+        block = (code[body].line, code[end - 1].last) if body >= 0 and not arrow else (0, -1)
+        found.append(Declaration(what, name, owner, code[first].line, code[end - 1].last, head, own, None, marks, documented, arrow, id(code[first]) in after, block))
 
     for m in _split(code, close, 0, len(code)):
         add(*m, None)
@@ -294,23 +307,171 @@ def signature(head: list[Token]) -> str:
     return " ".join(text)
 
 
+@dataclass(slots=True)
+class Frame:
+    """An open bracket: what it opens, and where the statement or argument that is being read began."""
+
+    kind: str  # block, call, annotation, index, list, map, group
+    at: int
+    name: str = ""
+    target: str = ""
+    const: bool = False
+    label: str = ""
+    begins: int = 0
+
+
+def _frame(code: list[Token], i: int) -> Frame:
+    """The frame of the bracket at i, from the tokens before it."""
+    t, before = code[i].text, code[i - 1] if i else None
+    word = before is not None and before.kind == "name"
+    if t == "(":
+        j = i - 1
+        if before is not None and before.text in (">", ">>"):  # type arguments
+            depth = 0
+            while j >= 0:
+                depth += code[j].text.count(">") - code[j].text.count("<") if code[j].kind == "mark" else 0
+                j -= 1
+                if depth <= 0:
+                    break
+        if j < 0 or code[j].kind != "name":
+            return Frame("group", i, begins=i + 1)
+        name, k = code[j].text, j - 1
+        target: list[str] = []
+        while k >= 1 and code[k].text in (".", "?.", "!"):
+            if code[k].text != "!":
+                target.append(code[k - 1].text)
+            k -= 2 if code[k].text != "!" else 1
+        if k >= 0 and code[k].text == "@":
+            return Frame("annotation", i, name, begins=i + 1)
+        return Frame("call", i, name, ".".join(reversed(target)), begins=i + 1)
+    const = before is not None and (before.text == "const" or (before.text == ">" and any(x.text == "const" for x in code[max(0, i - 6) : i])))
+    if t == "[":
+        index = before is not None and (before.text in (")", "]", "!") or (word and before.text not in ("return", "in", "const", "await", "yield", "case")))
+        return Frame("index" if index else "list", i, const=const, begins=i + 1)
+    literal = before is not None and (const or before.text in ("=", "(", ",", ":", "return", "[", "?", "??", "=>", ">"))
+    return Frame("map" if literal else "block", i, const=const, begins=i + 1)
+
+
+def _head(code: list[Token], begins: int, at: int) -> list[str] | None:
+    """Words of a variable's declaration, up to its =, if the statement that begins there is one and goes on past at."""
+    words, depth = [], 0
+    for k in range(begins, at):
+        t = code[k].text
+        if t == "=" and depth == 0:
+            return words
+        depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(t, 0) if code[k].kind == "mark" else 0
+        if t in ("=>", ";") and depth == 0:
+            return None
+        words.append(t)
+    return None
+
+
+def literals(code: list[Token], declared: list[Declaration], addresses: set[str]) -> tuple[list[dict], list[dict]]:
+    """Strings and numbers with what stands around them: why a literal is exempt, whether it's printed, logged, a widget's output or a named argument."""
+    stack = [Frame("block", -1)]
+    strings, numbers = [], []
+    scopes = [d for d in declared if d.kind in ("method", "function")]
+    parents = {d.name: d.parent for d in declared if d.kind == "class"}
+    for i, t in enumerate(code):
+        if t.kind == "mark":
+            if t.text in OPEN:
+                stack.append(_frame(code, i))
+            elif t.text in CLOSE:
+                closed = stack.pop() if len(stack) > 1 else stack[-1]
+                if closed.kind == "block" and stack[-1].kind == "block" and t.text == "}":
+                    stack[-1].begins = i + 1
+            elif t.text == ";":
+                stack[-1].begins = i + 1
+            elif t.text == ",":
+                stack[-1].label = ""
+                if stack[-1].kind != "block":
+                    stack[-1].begins = i + 1
+            elif t.text == ":" and stack[-1].kind == "call" and i - 1 == stack[-1].begins:
+                stack[-1].label = code[i - 1].text
+            continue
+        if t.kind not in ("string", "number"):
+            continue
+        prev, nxt = (code[i - 1].text if i else ""), (code[i + 1].text if i + 1 < len(code) else "")
+        inner = stack[-1]
+        heads = [h for f in stack if f.kind == "block" and (h := _head(code, f.begins, i))]
+        why = None
+        if any(f.kind == "annotation" for f in stack):
+            why = "annotation"
+        if t.kind == "number":
+            for h in heads:
+                named = len(h[-1]) > 3
+                if named and ("const" in h or ("final" in h and len(h) > 1 and h[-2] in ("int", "double", "num"))):
+                    why = why or "const"
+            if any(f.const and f.kind in ("list", "map") for f in stack):
+                why = why or "const"
+            numbers.append({"line": t.line, "value": t.text, "is_const": why is not None})
+            continue
+        if t.text.strip("r'\"") in addresses and any(x.text in ("import", "export", "part", "library") for x in code[inner.begins : inner.begins + 1]):
+            continue
+        owner = next((d for d in reversed(scopes) if d.first <= t.line <= d.last), None)
+        since = next((f.begins for f in reversed(stack) if f.kind == "block"), 0)
+        if inner.kind == "map" and nxt == ":" and prev in ("{", ","):
+            why = why or "map key"
+        if any("const" in h or "String" in h[-3:-1] for h in heads):
+            why = why or "const"
+        if any(f.kind == "call" and "AppLocalizations" in f.target for f in stack):
+            why = why or "translation"
+        if any(f.kind == "call" and f.name == "RegExp" for f in stack):
+            why = why or "pattern"
+        if any(f.kind == "call" and (f.name in KEYS or f.label == "key") for f in stack):
+            why = why or "key"
+        if inner.kind == "index" and inner.at == i - 1 and nxt == "]":
+            why = why or "index"
+        if any(x.text == "throw" for x in code[since:i]):
+            why = why or "thrown"
+        if owner is not None and owner.name == "toString" and owner.owner is not None:
+            why = why or "toString"
+        if prev in ("==", "!=") or nxt in ("==", "!="):
+            why = why or "compared"
+        direct = inner.kind == "call" and (prev in ("(", ",") or (prev == ":" and inner.label) or code[i - 1].kind == "string") and (nxt in (")", ",") or code[i + 1].kind == "string")
+        call = inner if direct else Frame("group", -1)
+        log = call.name in PRINTS or call.name in LOGS or any(x in call.target.lower() for x in ("logger", "log"))
+        widget = owner is not None and (parents.get(owner.owner) in WIDGETS or owner.name == "build" or any("Widget" in x.text for x in owner.head[: max(0, len(owner.head) - 1)] if x.kind == "name" and x.text != owner.name))
+        strings.append({
+            "line": t.line, "value": t.text, "exempt": why, "printed": call.name == "print" and not call.target, "logged": bool(call.name) and log and not call.name[:1].isupper(),
+            "output": bool(widget) and call.name[:1].isupper(), "property": call.label if direct and prev == ":" else None,
+        })
+    return strings, numbers
+
+
+def scopes_of(line: int, code: list[Token], close: dict[int, int], declared: list[Declaration]) -> int:
+    """The last line of what begins on a line: a comment there is good for all of it."""
+    ends = [line, *(d.last for d in declared if d.first == line), *(code[b].last for a, b in close.items() if code[a].line == line)]
+    return max(ends)
+
+
 def facts(path: str, source: str) -> dict:
     """All facts of one file, from one pass over its text. A broken file has lines and nothing else."""
     lines = source.split("\n")
-    row: dict = {"path": path, "loc": sum(bool(x.strip()) for x in lines), "comment_lines": 0, "broken": False, "has_main": False, "artifacts": [], "strings": [], "numbers": [], "imports": [], "used": [], "directives": [], "unused_variables": []}
-    row["directives"] = [{"line": k + 1, "token": m[1].lower()} for k, x in enumerate(lines) if (m := _IGNORE.search(x))]
+    row: dict = {"path": path, "loc": sum(bool(x.strip()) for x in lines), "comment_lines": 0, "broken": False, "has_main": False, "artifacts": [], "strings": [], "numbers": [], "imports": [], "used": [], "directives": [], "unused_variables": [], "members": [], "listed": [], "widget_texts": [], "excused": []}
+    row["listed"] = [{"line": k + 1, "token": w.lower()} for k, x in enumerate(lines) if (m := _IGNORE.search(x)) for w in _DOMAIN.findall(m[1])]
+    marked = [bool(EXCUSED.search(x)) for x in lines]
+    row["excused"] = [k + 1 for k in range(len(lines)) if marked[k] or (k and marked[k - 1])]
+    for m in _WIDGET_TEXT.finditer(source):
+        line = source.count("\n", 0, m.start(2)) + 1
+        if not lines[line - 1].lstrip().startswith("//"):
+            row["widget_texts"].append({"line": line, "value": m[2]})
     try:
         every = tokens(source)
         code = _plain(every)
+        close = _matches(code)
         declared = declarations(every)
     except Broken:
+        blank = next((k for k, x in enumerate(lines) if x.strip() and not x.lstrip().startswith("//")), len(lines))
+        row["directives"] = [{**d, "last": d["line"], "leading": d["line"] <= blank} for d in row["listed"]]
         return row | {"broken": True}
+    begins = next((k for k, t in enumerate(every) if t.kind != "comment"), len(every))
+    for k, t in enumerate(every):
+        if t.kind == "comment" and (m := re.match(_IGNORE, t.text)):
+            row["directives"] += [{"line": t.line, "last": scopes_of(t.line, code, close, declared), "token": w.lower(), "leading": k < begins} for w in _DOMAIN.findall(m[1])]
     row["comment_lines"] = comment_lines(every)
     row["imports"] = [{"kind": k, "uri": u} for k, u in directives(code)]
-    addresses = {u for _, u in directives(code)}
-    const_lines = {n for d in declared if any(t.text == "const" for t in d.head) for n in range(d.first, d.last + 1)}
-    row["strings"] = [{"line": t.line, "value": t.text} for t in code if t.kind == "string" and t.text.strip("r'\"") not in addresses]
-    row["numbers"] = [{"line": t.line, "value": t.text, "is_const": t.line in const_lines} for t in code if t.kind == "number"]
+    row["strings"], row["numbers"] = literals(code, declared, {u for _, u in directives(code)})
     heads: dict[str, int] = {}
     for d in declared:
         if d.kind != "field":
@@ -327,6 +488,7 @@ def facts(path: str, source: str) -> dict:
                         count[w] = count.get(w, 0) + 1
     row["used"] = sorted(w for w, n in count.items() if n > heads.get(w, 0) and w not in KEYWORDS)
     row["has_main"] = any(d.kind == "function" and d.name == "main" for d in declared)
+    row["members"] = [{"ordinal": k, "kind": member_kind(d), "name": d.name.split(".")[-1], "owner": d.owner} for k, d in enumerate(declared) if d.owner is not None]
     for k, d in enumerate(declared):
         if d.kind in ("variable", "field"):
             continue
@@ -335,6 +497,7 @@ def facts(path: str, source: str) -> dict:
             "ordinal": k, "kind": d.kind, "name": d.name, "owner": d.owner, "parent": d.parent, "first": d.first, "last": d.last,
             "loc": sum(bool(x.strip()) for x in inside), "is_override": "override" in d.marks, "is_preview": "Preview" in d.marks,
             "is_abstract": not d.body, "is_public": not d.name.split(".")[-1].startswith("_"), "documented": d.documented,
+            "is_complex": sum(bool(x.strip()) for x in lines[max(0, d.body_lines[0] - 1) : max(0, d.body_lines[1])]) >= 10, "commented": d.commented or d.documented,
             "signature": signature(d.head), "tokens": normalized(d.body) if d.kind != "class" and not d.arrow else [],
         })
         if d.kind in ("function", "method") and d.body:
@@ -342,6 +505,16 @@ def facts(path: str, source: str) -> dict:
     return row
 
 
+def member_kind(d: Declaration) -> str:
+    """What a class member is for its place: field, accessor, method, or other, such as a constructor."""
+    if d.kind in ("field", "constructor"):
+        return "field" if d.kind == "field" else "other"
+    words = [t.text for t in d.head]
+    opens = words.index("(") if "(" in words else len(words)
+    accessor = any(w in ("get", "set") and k + 1 < len(words) and words[k + 1] == d.name for k, w in enumerate(words[:opens]))
+    return "accessor" if accessor else "method"
+
+
 def _locals_unused(body: list[Token]) -> list[Token]:
     """Variables that a body declares and never names again; _ isn't one."""
     found = []

@@ -9,7 +9,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Folders that are never analysed.
-DEFAULT_EXCLUDED = (".dart_tool", ".git", ".idea", ".vscode", "android", "build", "coverage", "ios", "linux", "macos", "node_modules", "web", "windows")
+DEFAULT_EXCLUDED = (
+    "example",
+    "test",
+    "integration_test",
+    "tool",
+    ".dart_tool",
+    "build",
+    ".git",
+    "ios",
+    "android",
+    "web",
+    "macos",
+    "windows",
+    "linux",
+)
+#: How names of generated localization sources begin, and those of their main files.
+LOCALE_PREFIXES = ("app_localizations_", "app_localization_")
+LOCALE_FILES = ("app_localization.dart", "app_localizations.dart")
 
 
 def regex_of(glob: str) -> str:
@@ -58,8 +75,14 @@ def is_generated(path: Column) -> Column:
     return path.endswith(".g.dart")
 
 
+def is_locale_source(path: Column) -> Column:
+    """Generated sources of single locales, which a scan leaves out; the main file stays."""
+    name = F.substring_index(path, "/", -1)
+    return reduce(lambda a, b: a | b, [name.startswith(x) for x in LOCALE_PREFIXES]) & name.endswith(".dart")
+
+
 def is_generated_localization(path: Column) -> Column:
-    return F.substring_index(path, "/", -1).rlike(r"^(app_localizations|l10n|messages)(_[A-Za-z_]+)?\.dart$|^messages_(all|[a-z]{2}).*\.dart$")
+    return is_locale_source(path) | F.substring_index(path, "/", -1).isin(*LOCALE_FILES)
 
 
 def in_l10n(path: Column) -> Column:

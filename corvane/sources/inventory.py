@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import number_value, without_quotes
-from corvane.operators.sorting import IMPORT_GROUPS, LIFECYCLE
+from corvane.operators.sorting import LIFECYCLE
 
 from . import dart
 
@@ -23,7 +24,7 @@ def literals(facts: DataFrame) -> DataFrame:
 
 def ignores(facts: DataFrame) -> DataFrame:
     """(token, total, places): directives by token, with their sorted places."""
-    d = facts.select("path", F.explode("directives").alias("d")).select("path", "d.line", "d.token")
+    d = facts.select("path", F.explode("listed").alias("d")).select("path", "d.line", "d.token")
     return d.groupBy("token").agg(F.count("*").alias("total"), F.sort_array(F.collect_list(F.struct("path", "line"))).alias("places")).orderBy("token")
 
 
@@ -34,36 +35,56 @@ def used_keys(sources: DataFrame, keys: DataFrame, accessors: tuple[str, ...] =
     return read.join(keys.select("key").distinct(), "key", "left_semi"), read.agg((F.count("*") > 0).alias("has_access"))
 
 
+#: Fixed value: descriptions that say that a key isn't to be translated.
+DO_NOT_TRANSLATE = r"(?i)\bdo\s*not\s*translate\b|\bdo\s*not\s*localize\b|\bdo\s*not\s*localise\b|\bkeep\s*as\s*is\b|\bleave\s*unchanged\b|\bignore\b|\breviewed\b"
+
+
 def untranslated_by_design(descriptions: DataFrame) -> DataFrame:
     """descriptions: key, description. Keys whose description says that they aren't to be translated."""
-    return descriptions.where(F.lower("description").rlike(r"do\s*n.?o?t\s+translate|not\s+translat|no\s+translation")).select("key")
+    return descriptions.where(F.col("description").rlike(DO_NOT_TRANSLATE)).select("key")
+
+
+def import_key(uri: str) -> tuple:
+    """As sorting.import_rank: group, what stands before the first slash, what follows."""
+    group = 0 if uri.startswith("dart:") else 1 if uri.startswith("package:") else 2 if ":" in uri else 3
+    package, _, rest = uri.partition("/")
+    return group, package, rest
+
 
+def package_uri(uri: str, path: str, package: str) -> str:
+    """A relative address that leads into this package's lib folder, as a package address; others as they are."""
+    if ":" in uri or not uri or not package:
+        return uri
+    target = posixpath.normpath(posixpath.join(posixpath.dirname(path), uri))
+    return f"package:{package}/{target[4:]}" if target.startswith("lib/") else uri
 
-def sorted_imports(source: str, package: str) -> str:
-    """Import lines in groups (the language's, the framework's, packages, then this package's and relative ones), a blank line between groups; others as they stand."""
+
+def sorted_imports(source: str, package: str, path: str = "") -> str:
+    """Import lines in groups (the language's, packages, other absolute, relative), a blank line between groups; relative addresses into lib become package ones.
+
+    A section that holds anything but imports of one line each stays as it is.
+    """
     lines = source.split("\n")
     at = [k for k, x in enumerate(lines) if re.match(r"\s*import\s+['\"]", x) and x.rstrip().endswith(";")]
     if len(at) < 2 or any(x.strip() and not re.match(r"\s*import\s", x) for x in lines[at[0] : at[-1] + 1]):
         return source
-
-    def key(line: str) -> tuple:
-        uri = re.search(r"['\"]([^'\"]+)", line)[1]
-        group = 0 if uri.startswith("dart:") else 1 if uri.startswith("package:flutter") else 3 if uri.startswith(f"package:{package}/") else 2 if uri.startswith("package:") else 4
-        return group, uri
-
+    made = []
+    for k in at:
+        uri = re.search(r"['\"]([^'\"]+)", lines[k])[1]
+        new = package_uri(uri, path, package)
+        made.append((import_key(new), lines[k].strip().replace(uri, new, 1)))
     found: list[str] = []
     last = None
-    for x in sorted((lines[k] for k in at), key=key):
-        group = min(key(x)[0], len(IMPORT_GROUPS) - 1)
-        if last is not None and group != last:
+    for key, x in sorted(made, key=lambda m: m[0]):
+        if last is not None and key[0] != last:
             found.append("")
         found.append(x)
-        last = group
+        last = key[0]
     return "\n".join([*lines[: at[0]], *found, *lines[at[-1] + 1 :]])
 
 
 def sorted_members(source: str) -> str:
-    """Members of widget classes in order: others, fields, life cycle, public, private. Each member moves with the lines above it that belong to it."""
+    """Members of widget classes in order: others, fields with their accessors, life cycle, public, private. Each member moves with the lines above it that belong to it."""
     try:
         every = dart.tokens(source)
         declared = dart.declarations(every)
@@ -78,17 +99,18 @@ def sorted_members(source: str) -> str:
         for d in own:  # comments and blank lines above a member are its own
             chunks.append((d, lines[starts : d.last]))
             starts = d.last
+        fields = {d.name for d in own if d.kind == "field"}
 
-        def rank(item: tuple) -> tuple:
+        def rank(item: tuple, fields: set[str] = fields) -> tuple:
             d = item[0]
-            name = d.name.split(".")[-1]
-            if d.kind == "constructor":
-                return 0, 0, ""
-            if d.kind == "field":
-                return 1, 0, name.lower()
+            kind, name = dart.member_kind(d), d.name.split(".")[-1]
+            if kind == "other":
+                return 0, 0, "", 0
+            if kind == "field" or (kind == "accessor" and name in fields):
+                return 1, 0, name, int(kind == "accessor")
             if name in LIFECYCLE:
-                return 2, LIFECYCLE.index(name), ""
-            return (4 if name.startswith("_") else 3), 0, name.lower()
+                return 2, LIFECYCLE.index(name), "", 0
+            return (4 if name.startswith("_") else 3), 0, name, 0
 
         body = [x for _, chunk in sorted(chunks, key=rank) for x in chunk]
         lines[c.first : starts] = body
@@ -101,7 +123,7 @@ def fixes(sources: DataFrame, package: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            made = [sorted_members(sorted_imports(c or "", package)) for c in batch["content"]]
+            made = [sorted_members(sorted_imports(c or "", package, p)) for p, c in zip(batch["path"], batch["content"], strict=True)]
             out = pd.DataFrame({"path": batch["path"], "new_content": made})
             yield out[[a != (b or "") for a, b in zip(made, batch["content"], strict=True)]]
 

@@ -70,20 +70,31 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def classified(tree: DataFrame, exclude: list[str]) -> DataFrame:
-    """Adds is_dart, reason (hidden, default, glob, generated or null) and is_test."""
-    p = F.col("path")
-    reason = F.when(globs.hidden(p), "hidden").when(globs.default_excluded(p), "default").when(globs.excluded_by(p, exclude), "glob").when(globs.is_generated_localization(p), "generated")
-    return tree.withColumns({"is_dart": ~F.col("is_dir") & p.endswith(".dart"), "reason": reason, "is_test": globs.is_test(p)})
+    """Adds is_dart, reason (hidden, default, glob, generated or null), is_test and is_test_root.
+
+    Globs exclude files alone; sources of single locales are generated. Tests lie in default folders, so they have a reason.
+    """
+    p, file = F.col("path"), ~F.col("is_dir")
+    is_dart = file & p.endswith(".dart")
+    reason = F.when(globs.hidden(p), "hidden").when(globs.default_excluded(p), "default").when(file & globs.excluded_by(p, exclude), "glob").when(is_dart & globs.is_locale_source(p), "generated")
+    return tree.withColumns({"is_dart": is_dart, "reason": reason, "is_test": globs.is_test(p), "is_test_root": F.col("is_dir") & F.substring_index(p, "/", -1).isin("test", "integration_test")})
+
+
+def tests_of(scanned: DataFrame) -> DataFrame:
+    """Dart files below a test folder that isn't hidden."""
+    return scanned.where("is_test and is_dart and reason <> 'hidden'")
 
 
 def counters(scanned: DataFrame) -> DataFrame:
-    """All counters of a scan in one row. Hidden paths count first, tests before default folders."""
-    seen = F.coalesce(F.col("reason") != "hidden", F.lit(True))
-    kept, file, folder, dart = F.col("reason").isNull(), ~F.col("is_dir"), F.col("is_dir"), F.col("is_dart")
+    """All counters of a scan in one row. Hidden paths count as excluded alone; tests count as such and, by their folder, as excluded."""
+    seen = ~F.col("reason").eqNullSafe(F.lit("hidden"))
+    file, folder, dart, out = ~F.col("is_dir"), F.col("is_dir"), F.col("is_dart"), F.coalesce(F.col("reason") != "generated", F.lit(False))
+    left, test = ~out, seen & F.col("is_test")
     return scanned.agg(
-        F.count_if(kept & dart & ~F.col("is_test")).alias("dart_files"), F.count_if(kept & folder & ~F.col("is_test")).alias("folders"), F.count_if(kept & file & ~F.col("is_test")).alias("files"),
-        F.count_if(~seen & file).alias("hidden_files"), F.count_if(seen & ~kept & dart).alias("excluded_dart"), F.count_if(seen & ~kept & file & ~dart).alias("excluded_other"),
-        F.count_if(seen & ~kept & folder).alias("excluded_folders"), F.count_if(seen & F.col("is_test") & dart).alias("test_files"), F.count_if(seen & F.col("is_test") & folder).alias("test_folders"),
+        F.count_if(F.col("reason").isNull() & dart).alias("dart_files"), F.count_if(left & folder).alias("folders"), F.count_if(left & file).alias("files"),
+        F.count_if(F.col("reason").isNotNull() & dart).alias("excluded_dart"), F.count_if(out & folder).alias("excluded_folders"), F.count_if(out & file).alias("excluded_files"),
+        F.count_if(test & F.col("is_test_root")).alias("test_folders"), F.count_if(test & file).alias("test_files"), F.count_if(test & dart).alias("test_dart_files"),
+        F.count_if(dart & (F.col("reason") == "glob")).alias("custom_excluded_dart"),
     )
 
 
@@ -93,9 +104,11 @@ def excluded(scanned: DataFrame) -> DataFrame:
 
 
 FACTS = """path string, loc long, comment_lines long, broken boolean, has_main boolean,
-artifacts array<struct<ordinal: int, kind: string, name: string, owner: string, parent: string, first: int, last: int, loc: long, is_override: boolean, is_preview: boolean, is_abstract: boolean, is_public: boolean, documented: boolean, signature: string, tokens: array<string>>>,
-strings array<struct<line: int, value: string>>, numbers array<struct<line: int, value: string, is_const: boolean>>, imports array<struct<kind: string, uri: string>>,
-used array<string>, directives array<struct<line: int, token: string>>, unused_variables array<struct<line: int, name: string>>"""
+artifacts array<struct<ordinal: int, kind: string, name: string, owner: string, parent: string, first: int, last: int, loc: long, is_override: boolean, is_preview: boolean, is_abstract: boolean, is_public: boolean, documented: boolean, is_complex: boolean, commented: boolean, signature: string, tokens: array<string>>>,
+strings array<struct<line: int, value: string, exempt: string, printed: boolean, logged: boolean, output: boolean, property: string>>, numbers array<struct<line: int, value: string, is_const: boolean>>, imports array<struct<kind: string, uri: string>>,
+used array<string>, directives array<struct<line: int, last: int, token: string, leading: boolean>>, unused_variables array<struct<line: int, name: string>>,
+members array<struct<ordinal: int, kind: string, name: string, owner: string>>,
+listed array<struct<line: int, token: string>>, widget_texts array<struct<line: int, value: string>>, excused array<int>"""
 
 
 def extract(sources: DataFrame) -> DataFrame:
@@ -106,7 +119,7 @@ def extract(sources: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame([facts(p, c or "") for p, c in zip(batch["path"], batch["content"], strict=True)], columns=[c.strip().split()[0] for c in ("path", "loc", "comment_lines", "broken", "has_main", "artifacts", "strings", "numbers", "imports", "used", "directives", "unused_variables")])
+            yield pd.DataFrame([facts(p, c or "") for p, c in zip(batch["path"], batch["content"], strict=True)], columns=[c.strip().split()[0] for c in ("path", "loc", "comment_lines", "broken", "has_main", "artifacts", "strings", "numbers", "imports", "used", "directives", "unused_variables", "members", "listed", "widget_texts", "excused")])
 
     return sources.select("path", "content").mapInPandas(run, FACTS)
 
@@ -114,7 +127,7 @@ def extract(sources: DataFrame) -> DataFrame:
 def resolve_uri(uri, path, package: str):
     """Path of an import in this project: package addresses, relative ones with .. and plain ones; null for others."""
     inside = uri.startswith(f"package:{package}/")
-    own = F.concat(F.lit("lib/"), F.substring(uri, len(package) + 10, 4096))
+    own = F.concat(F.lit("lib/"), F.substr(uri, F.lit(len(package) + 10)))
     folder = F.when(F.instr(path, "/") > 0, F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise("")
     joined = F.split(F.concat_ws("/", F.when(folder != "", folder), uri), "/")
     fold = F.aggregate(joined, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when((x == "..") & (F.size(a) > 0), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))

@@ -31,16 +31,16 @@ def test_inventories(spark):
     keys = spark.createDataFrame([("title",), ("other",)], "key string")
     used, access = inventory.used_keys(spark.createDataFrame([("Text(context.l10n.title); l10n.unknown",)], "content string"), keys)
     assert [r["key"] for r in used.collect()] == ["title"] and access.first()[0]
-    assert inventory.untranslated_by_design(spark.createDataFrame([("a", "Do not translate"), ("b", "Title")], "key string, description string")).count() == 1
+    assert inventory.untranslated_by_design(spark.createDataFrame([("a", "Do not translate"), ("b", "Title"), ("c", "KEEP AS IS"), ("d", "reviewed"), ("e", "unreviewed")], "key string, description string")).count() == 3
 
 
 def test_fixes(spark):
-    source = "import 'b.dart';\nimport 'package:demo/a.dart';\nimport 'dart:io';\n\nclass A extends StatelessWidget {\n  void z() {}\n  // of a\n  void a() {}\n  A();\n}\n"
-    fixed = inventory.fixes(spark.createDataFrame([("f", source), ("g", "void main() {}\n")], "path string, content string"), "demo").collect()
+    source = "import 'b.dart';\nimport 'package:demo/a.dart';\nimport 'dart:io';\nimport 'package:a_b/z.dart';\nimport '../x.dart';\n\nclass A extends StatelessWidget {\n  void z() {}\n  // of a\n  void a() {}\n  void dispose() {}\n  void initState() {}\n  int get n => _n;\n  int n = 1;\n  int m = 1;\n  A();\n}\n"
+    fixed = inventory.fixes(spark.createDataFrame([("lib/f.dart", source), ("g", "void main() {}\n")], "path string, content string"), "demo").collect()
     assert len(fixed) == 1
-    want = "import 'dart:io';\n\nimport 'package:demo/a.dart';\nimport 'b.dart';\n\nclass A extends StatelessWidget {\n  A();\n  // of a\n  void a() {}\n  void z() {}\n}\n"
+    want = "import 'dart:io';\n\nimport 'package:a_b/z.dart';\nimport 'package:demo/a.dart';\nimport 'package:demo/b.dart';\n\nimport '../x.dart';\n\nclass A extends StatelessWidget {\n  A();\n  int m = 1;\n  int n = 1;\n  int get n => _n;\n  void initState() {}\n  void dispose() {}\n  // of a\n  void a() {}\n  void z() {}\n}\n"
     assert fixed[0]["new_content"] == want
-    assert inventory.sorted_members(inventory.sorted_imports(want, "demo")) == want
+    assert inventory.sorted_members(inventory.sorted_imports(want, "demo", "lib/f.dart")) == want
 
 
 def test_packages(spark):

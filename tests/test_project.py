@@ -73,8 +73,9 @@ def test_tree(spark, project):
     scanned = tree.classified(tree.read_tree(spark, str(project)), ["*misc*"])
     assert scanned.where("path = 'lib/src/_private.dart'").count() == 1
     c = tree.counters(scanned).first()
-    assert (c["dart_files"], c["hidden_files"], c["excluded_dart"], c["test_files"]) == (7, 1, 2, 1)
-    assert {(r["path"], r["reason"]) for r in tree.excluded(scanned).where("kind = 'dart'").collect()} == {(".hidden/x.dart", "hidden"), ("build/y.dart", "default"), ("misc_helper.dart", "glob")}
+    assert (c["dart_files"], c["excluded_dart"], c["excluded_folders"], c["test_folders"], c["test_files"], c["test_dart_files"], c["custom_excluded_dart"]) == (7, 4, 3, 1, 1, 1, 1)
+    assert (c["folders"], c["files"], c["excluded_files"]) == (3, 11, 4)
+    assert {(r["path"], r["reason"]) for r in tree.excluded(scanned).where("kind = 'dart'").collect()} == {(".hidden/x.dart", "hidden"), ("build/y.dart", "default"), ("misc_helper.dart", "glob"), ("test/a_test.dart", "default")}
 
 
 def test_analysis(spark, project):
@@ -97,6 +98,118 @@ def test_analysis(spark, project):
     assert reports.files_svg(a).startswith("<svg") and reports.treemap_svg(a).count("<rect") >= 5
 
 
+WIDGET = """import 'dart:io';
+@Deprecated('annotated words')
+class Page extends StatelessWidget {
+  static const String title = 'Const words';
+  final int width = 42;
+  final steps = 43;
+  Widget build(BuildContext context) {
+    print('Printed words');
+    final m = {'Key words': 'Value words', 'b': 7};
+    if (x == 'Compared words') throw StateError('Thrown words');
+    final z = list['Index words'];
+    foo( // ignore: tool_magic_numbers
+      99,
+      98);
+    return Column(children: [Text('Hello World'), Text('Hi'), Padding(tooltip: 'Quiet words'), Icon('assets/a.png')]);
+  }
+  String toString() => 'String words';
+}
+class _Odd {
+  void _long() {
+    a();
+    b();
+    c();
+    d();
+    e();
+    f();
+    g();
+    h();
+  }
+  // says why
+  void _told() {
+    a();
+    b();
+    c();
+    d();
+    e();
+    f();
+    g();
+    h();
+  }
+  void open() {}
+}
+class Sorted extends StatelessWidget {
+  int get b => _b;
+  int b = 2;
+  int a = 2;
+  Sorted();
+}
+"""
+
+
+def small_tree(tmp_path, files):
+    for name, text in files.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    return str(tmp_path)
+
+
+def test_contexts_of_literals(spark, tmp_path):
+    root = small_tree(tmp_path, {"pubspec.yaml": "name: demo\ndependencies:\n  flutter:\n    sdk: flutter\n", "README.md": "x", "lib/page.dart": WIDGET})
+    a = analyze(spark, root, Config(root))
+    found = {(r["domain"], r["type"], r["line"], r["subject"]) for r in a.issues.collect()}
+    assert {(line, s) for d, _, line, s in found if d == "hardcoded_strings"} == {(9, "Value words"), (15, "Hello World")}
+    assert {(line, s) for d, _, line, s in found if d == "magic_numbers"} == {(6, "43"), (9, "7"), (45, "2"), (46, "2")}
+    documented = {(t, s) for d, t, _, s in found if d == "documentation"}
+    assert documented >= {("undocumented_class", "Page"), ("undocumented_complex_private_function", "_Odd._long"), ("undocumented_function", "_Odd.open")}
+    assert not any(s == "_Odd._told" for _, s in documented)
+    assert {s for d, _, _, s in found if d == "source_sorting"} >= {"Sorted"}
+    printed = small_tree(tmp_path / "cli", {"pubspec.yaml": "name: demo\n", "README.md": "x", "bin/a.dart": "void main() { print('Printed words'); log('Logged words'); }\n"})
+    told = analyze(spark, printed, Config(printed)).issues.where("domain = 'hardcoded_strings'").collect()
+    assert [r["subject"] for r in told] == ["Printed words"]
+
+
+def test_translations(spark, tmp_path):
+    en = """{
+  "@@locale": "en",
+  "hello": "Hello {name}",
+  "@hello": {"description": "greeting"},
+  "brand": "Brand",
+  "@brand": {"description": "Keep as is, please"},
+  "count": "{n, plural, one{# item} other{# items}}",
+  "title": "Title",
+  "idle": "Idle",
+  "title": "Title"
+}"""
+    es = """{
+  "hello": "Hola {nombre}",
+  "title": "Title",
+  "idle": "",
+  "idle": " "
+}"""
+    files = {
+        "pubspec.yaml": "name: demo\n", "l10n.yaml": "arb-dir: lib/texts\n", "README.md": "x", "lib/texts/app_en.arb": en, "lib/texts/app_es.arb": es, "lib/texts/app_pt-BR.arb": "not json", "other/app_fr.arb": "{}",
+        "lib/a.dart": "void f(c) { final t = c.l10n; print(t.hello + t.count); show(AppLocalizations.of(c).title); }\n",
+    }
+    root = small_tree(tmp_path, files)
+    a = analyze(spark, root, Config(root))
+    got = [tuple(r) for r in a.translations.collect()]
+    assert got == [
+        ("en", "lib/texts/app_en.arb", 9, "idle", "unused_key"),
+        ("en", "lib/texts/app_en.arb", 10, "title", "duplicate_key"),
+        ("es", "lib/texts/app_en.arb", 7, "count", "missing"),
+        ("es", "lib/texts/app_es.arb", 2, "hello", "placeholder_mismatch"),
+        ("es", "lib/texts/app_es.arb", 3, "title", "unchanged"),
+        ("es", "lib/texts/app_es.arb", 5, "idle", "duplicate_key"),
+    ]
+    assert [tuple(r) for r in a.coverage.collect()] == [("es", 4, 3, 4, 25.0)]
+    issues = {(r["path"], r["subject"]) for r in a.issues.where("domain = 'localization'").collect()}
+    assert issues == {("en", "1 duplicate_key, 1 unused_key"), ("es", "1 missing, 1 unchanged, 1 placeholder_mismatch and 1 more")}
+
+
 def test_sorted_arb_and_exit():
     out = list(json.loads(reports.sorted_arb('{"b": "1", "@b": {}, "@@locale": "en", "a": "2", "@z": {}}')))
     assert out == ["@@locale", "a", "b", "@b", "@z"]
@@ -113,7 +226,7 @@ def test_wrong_configuration_names_its_field(data, where):
 
 
 def test_configuration():
-    c = parse_config({"input": {"root": "app", "exclude": ["*a*", "*a*"]}, "analyzers": {"default": "none", "enabled": ["magic", "l10n"]}}, "/p")
+    c = parse_config({"input": {"root": "app", "exclude": ["*a*", "*a*"]}, "analyzers": {"default": "none", "enabled": ["Magic-Numbers", "localization"]}}, "/p")
     assert (c.root, c.exclude, c.enabled) == ("/p/app", ("*a*",), {"magic_numbers", "localization"})
     assert parse_pubspec("name: x\ndependencies: {flutter: {sdk: flutter}}").kind == "flutter" and parse_pubspec(": :").name == "unknown"
     assert lock_versions("packages:\n  b: {version: '2'}\n  a: {version: '1'}") == [("a", "1"), ("b", "2")]
