@@ -31,3 +31,36 @@ def test_pipeline(spark):
     assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2]
     packed = corpus_pipeline.run(spark, SF).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_stand_odd_rows(spark, name):
+    """Nulls in any column, empty and very long texts, repeated rows, an empty table, columns with clashing names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    long = " ".join(f"w{k}" for k in range(60_000))
+    plain = "Some words that nobody minds, written twice over for all to read."
+    texts = [None, "", " \n\t", plain, plain, f"{plain} a@b.example", long, long + " end", "x", "漢字 😀"]
+    rows = [(k if k != 3 else None, t, None if k % 3 else "en", None if k % 4 else f"s{k}", None if k % 2 else 7, "a", 1, 2.0, "b", "c", 3) for k, t in enumerate(texts)]
+    rows += [rows[8], rows[8]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, h int, p double, host string, label string, text_hash int"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    got = stage(spark, docs, SF)
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.count() == 0
+    kept = got.collect()
+    if name == "packing":
+        assert sum(r["length"] for r in kept if r["doc_id"] == 6) == next(r["doc_tokens"] for r in kept if r["doc_id"] == 6) > 60_000
+        assert {r["doc_id"] for r in kept} == {r[0] for r in rows}
+        return
+    assert got.columns == docs.columns == empty.columns
+    assert {r["label"] for r in kept} == {"c"} and {r["size"] for r in kept} == {"a"}
+    found = [r["text"] for r in kept]
+    if name == "near_duplicates":
+        assert sorted(t or "" for t in found) == sorted(["", "", " \n\t", plain, f"{plain} a@b.example", long, "x", "漢字 😀"])
+    if name == "private_data":
+        assert sorted(t or "" for t in found) == sorted((r[1] or "").replace("a@b.example", "[EMAIL]") for r in rows)
+        assert all(r["n_chars"] == len(r["text"]) for r in kept if r["text"] is not None) and None in found
+    if name == "mixing":
+        assert set(found) <= set(texts) and {None, "", " \n\t"} <= set(found)
+    if name == "quality":
+        assert set(found) <= set(texts)
