@@ -1,4 +1,4 @@
-"""python -m corvane FOLDER [--json] [--list N|full|none] [--mermaid F] [--plantuml F] [--svg F] [--treemap F] [--strict]"""
+"""python -m corvane FOLDER [--json] [--list N|full|none] [--mermaid F] [--plantuml F] [--svg F] [--treemap F] [--strict] [--fix]"""
 
 from __future__ import annotations
 
@@ -29,6 +29,28 @@ def show(spark, config, what: str, as_json: bool, listed: int | None) -> int:
     return 0
 
 
+def fix(spark, config) -> int:
+    """Write sorted members and imports of sources and sorted keys of translation files back; returns how many files change.
+
+    New contents are made on the executors and come to the driver one part at a time, where they're written.
+    """
+    import os
+
+    from corvane.sources import inventory, tree, translations
+    from corvane.sources.config import Project, find_pubspec, parse_pubspec
+
+    pubspec = find_pubspec(config.root)
+    project = parse_pubspec(open(pubspec, encoding="utf-8").read()) if pubspec else Project()
+    kept = tree.classified(tree.read_tree(spark, config.root), list(config.exclude)).where("reason is null")
+    made = inventory.fixes(kept.where("is_dart and content is not null and not endswith(path, '.g.dart')"), project.name)
+    changed = 0
+    for r in made.unionByName(inventory.fixed_translations(translations.translation_files(kept.where("not is_dir")))).toLocalIterator():
+        with open(os.path.join(config.root, r["path"]), "w", encoding="utf-8") as f:
+            f.write(r["new_content"])
+        changed += 1
+    return changed
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="corvane", description="Quality of a source tree, as Spark queries over its facts.")
     p.add_argument("folder", nargs="?", default=".")
@@ -36,6 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--list", type=mode, default=10)
     p.add_argument("--exclude", action="append", default=[])
     p.add_argument("--strict", action="store_true")
+    p.add_argument("--fix", action="store_true", help="sort members, imports and translation files first, in place")
     p.add_argument("--show", choices=("literals", "ignores", "excluded"), help="an inventory instead of the report")
     for sink in ("mermaid", "plantuml", "svg", "treemap", "issues"):
         p.add_argument(f"--{sink}")
@@ -53,6 +76,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("corvane").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     config = load_config(args.folder)
     config = replace(config, exclude=tuple(dict.fromkeys([*config.exclude, *args.exclude])), strict=config.strict or args.strict)
+    if args.fix:
+        print(f"{fix(spark, config)} files changed")
     if args.show:
         return show(spark, config, args.show, args.json, args.list)
     a = analyze(spark, config.root, config)

@@ -88,6 +88,32 @@ def hardcoded(plain: DataFrame, facts: DataFrame, focus: str, translated: bool)
     return w.join(on_line, (F.col("path") == F.col("p")) & (F.col("line") == F.col("l")), "left_anti").union(found).distinct()
 
 
+def magic_numbers(plain: DataFrame, facts: DataFrame) -> DataFrame:
+    """(path, line, value) of numbers that are neither trivial nor named, in an annotation or excused."""
+    n = plain.join(ignored(facts, "magic_numbers"), "path", "left_anti").select("path", F.explode("numbers").alias("n")).select("path", "n.line", "n.value", "n.is_const")
+    return open_lines(n.where(~F.col("is_const") & ~T.is_trivial_number(F.col("value"))), facts, "magic_numbers").select("path", "line", "value")
+
+
+def unsorted_members(facts: DataFrame) -> DataFrame:
+    """(path, line, owner_name) of widget classes whose members aren't in order."""
+    whole = facts.where(~F.col("broken") & ~globs.is_generated(F.col("path")))
+    targets = whole.select("path", F.explode("artifacts").alias("a")).where((F.col("a.kind") == "class") & F.col("a.parent").rlike("^(StatelessWidget|StatefulWidget|State)$")).select("path", F.col("a.name").alias("owner_name"), F.col("a.first").alias("line"))
+    members = whole.select("path", F.explode("members").alias("m")).select("path", F.col("m.owner").alias("owner_name"), "m.ordinal", "m.kind", "m.name")
+    placed = sorting.sorted_members(members.join(targets, ["path", "owner_name"], "left_semi").withColumn("owner", F.concat_ws("#", "path", "owner_name")))
+    wrong = placed.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("ordinal"))).where("place <> target").select("path", "owner_name").distinct()
+    return wrong.join(targets, ["path", "owner_name"]).select("path", "line", "owner_name")
+
+
+def undocumented(plain: DataFrame, facts: DataFrame) -> DataFrame:
+    """(path, line, name, kind) of public classes and callables without documentation, and of private ones of ten lines or more without any comment."""
+    declared = plain.join(ignored(facts, "documentation"), "path", "left_anti").select("path", F.explode("artifacts").alias("a")).where(F.col("a.kind").isin("class", "function", "method") & ~F.col("a.is_override") & ~F.col("a.name").startswith("operator "))
+    public = F.col("a.is_public") & ~F.col("a.documented") & ~((F.col("a.kind") == "function") & (F.col("a.name") == "main"))
+    private = ~F.col("a.is_public") & (F.col("a.kind") != "class") & F.col("a.is_complex") & ~F.col("a.commented")
+    kind = F.when(public & (F.col("a.kind") == "class"), "undocumented_class").when(public, "undocumented_function").when(private, "undocumented_complex_private_function")
+    bare = declared.select("path", F.col("a.first").alias("line"), T.qualified_name(F.when(F.col("a.kind") == "method", F.col("a.owner")), F.col("a.name")).alias("name"), kind.alias("kind")).where("kind is not null")
+    return open_lines(bare, facts, "documentation")
+
+
 def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Analysis:
     config = config or Config(root)
     pubspec = find_pubspec(root)
@@ -121,14 +147,8 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     arb = materialize(translations.entries(translations.translation_files(kept.where(~F.col("is_dir")))), "translations")
     uses = facts.where(F.exists("imports", lambda i: i["uri"].rlike("gen_l10n|app_localizations|/l10n/"))).limit(1).count() + arb.limit(1).count() + kept.where("path = 'l10n.yaml'").limit(1).count() > 0
     found["hardcoded_strings"] = issue(hardcoded(plain, facts, FOCUS.get(project.kind, "general"), uses), "hardcoded_strings", "hardcoded", F.col("line"), F.col("value"))
-    n = plain.join(ignored(facts, "magic_numbers"), "path", "left_anti").select("path", F.explode("numbers").alias("n")).select("path", "n.line", "n.value", "n.is_const")
-    found["magic_numbers"] = issue(open_lines(n.where(~F.col("is_const") & ~T.is_trivial_number(F.col("value"))), facts, "magic_numbers"), "magic_numbers", "magic_number", F.col("line"), F.col("value"))
-    widgets = facts.where(~F.col("broken")).select("path", F.explode("artifacts").alias("a"))
-    targets = widgets.where((F.col("a.kind") == "class") & F.col("a.parent").rlike("^(StatelessWidget|StatefulWidget|State)$")).select("path", F.col("a.name").alias("owner_name"), F.col("a.first").alias("line"))
-    members = facts.where(~F.col("broken") & ~globs.is_generated(F.col("path"))).select("path", F.explode("members").alias("m")).select("path", F.col("m.owner").alias("owner_name"), "m.ordinal", "m.kind", "m.name")
-    placed = sorting.sorted_members(members.join(targets, ["path", "owner_name"], "left_semi").withColumn("owner", F.concat_ws("#", "path", "owner_name")))
-    wrong = placed.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("ordinal"))).where("place <> target").select("path", "owner_name").distinct()
-    found["source_sorting"] = issue(wrong.join(targets, ["path", "owner_name"]), "source_sorting", "unsorted_members", F.col("line"), F.col("owner_name"))
+    found["magic_numbers"] = issue(magic_numbers(plain, facts), "magic_numbers", "magic_number", F.col("line"), F.col("value"))
+    found["source_sorting"] = issue(unsorted_members(facts), "source_sorting", "unsorted_members", F.col("line"), F.col("owner_name"))
     cycle_rows = file_cycles.select(F.col("src").alias("path"), "dst").unionByName(folder_cycles.select(F.col("src").alias("path"), "dst"))
     found["layers"] = issue(cycle_rows, "layers", "cyclicDependency", F.lit(None), F.col("dst"), "error").unionByName(issue(graph.violations(edges, layers).select(F.col("src").alias("path"), "dst"), "layers", "wrongFolderLayer", F.lit(None), F.col("dst")))
     found["secrets"] = issue(secrets.secrets(dart.select("path", "content")), "secrets", F.col("secret_type"), F.col("line"), F.lit("hidden"), "error")
@@ -157,13 +177,8 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     sizes = items.select(F.col("id").alias("a"), F.col("loc").alias("lines"))
     duplicates = materialize(in_order(pairs.join(sizes, "a")), "duplicates")
     found["duplicate_code"] = issue(duplicates.select(F.substring_index("a", ":", 1).alias("path"), "a", "b"), "duplicate_code", "duplicate", F.split("a", ":")[1], F.col("b"))
-    declared = plain.join(ignored(facts, "documentation"), "path", "left_anti").select("path", F.explode("artifacts").alias("a")).where(F.col("a.kind").isin("class", "function", "method") & ~F.col("a.is_override") & ~F.col("a.name").startswith("operator "))
-    public = F.col("a.is_public") & ~F.col("a.documented") & ~((F.col("a.kind") == "function") & (F.col("a.name") == "main"))
-    private = ~F.col("a.is_public") & (F.col("a.kind") != "class") & F.col("a.is_complex") & ~F.col("a.commented")
-    kind = F.when(public & (F.col("a.kind") == "class"), "undocumented_class").when(public, "undocumented_function").when(private, "undocumented_complex_private_function")
-    bare = declared.select("path", F.col("a.first").alias("line"), T.qualified_name(F.when(F.col("a.kind") == "method", F.col("a.owner")), F.col("a.name")).alias("name"), kind.alias("kind")).where("kind is not null")
     readme = scanned.where("lower(path) = 'readme.md'").limit(1).count()
-    found["documentation"] = issue(open_lines(bare, facts, "documentation"), "documentation", F.col("kind"), F.col("line"), F.col("name"))
+    found["documentation"] = issue(undocumented(plain, facts), "documentation", F.col("kind"), F.col("line"), F.col("name"))
     if not readme:
         found["documentation"] = found["documentation"].unionByName(issue(spark.createDataFrame([("README.md",)], "path string"), "documentation", "missing_readme", F.lit(None), F.col("path")))
 

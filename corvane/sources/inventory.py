@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
 
@@ -130,6 +131,27 @@ def fixes(sources: DataFrame, package: str) -> DataFrame:
     return sources.select("path", "content").mapInPandas(run, "path string, new_content string")
 
 
+def fixed_translations(arb: DataFrame) -> DataFrame:
+    """arb: path, content -> (path, new_content) of translation files that sorting changes; those that hold no JSON object stay."""
+    import pandas as pd
+
+    from .reports import sorted_arb
+
+    def made(content: str) -> str:
+        try:
+            return sorted_arb(content) if isinstance(json.loads(content), dict) else content
+        except ValueError:
+            return content
+
+    def run(batches):
+        for batch in batches:
+            new = [made(c) for c in batch["content"]]
+            out = pd.DataFrame({"path": batch["path"], "new_content": new})
+            yield out[[a != b for a, b in zip(new, batch["content"], strict=True)]]
+
+    return arb.select("path", "content").mapInPandas(run, "path string, new_content string")
+
+
 def package_graph(pub_deps: DataFrame) -> DataFrame:
     """pub_deps: one JSON document in content, as `pub deps --json` gives it -> (package, version, kind, needs)."""
     shape = "struct<packages: array<struct<name: string, version: string, kind: string, dependencies: array<string>>>>"

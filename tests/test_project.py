@@ -210,6 +210,17 @@ def test_translations(spark, tmp_path):
     assert issues == {("en", "1 duplicate_key, 1 unused_key"), ("es", "1 missing, 1 unchanged, 1 placeholder_mismatch and 1 more")}
 
 
+def test_fix_writes_sorted_files(spark, tmp_path):
+    from corvane.__main__ import fix
+
+    source = "import 'package:demo/b.dart';\nimport 'dart:io';\n\nclass A extends StatelessWidget {\n  void z() {}\n  void a() {}\n}\n"
+    root = small_tree(tmp_path, {"pubspec.yaml": "name: demo\n", "lib/a.dart": source, "lib/b.dart": "void b() {}\n", "lib/l10n/app_en.arb": '{"b": "1", "A": "2", "@@locale": "en"}', "lib/l10n/app_es.arb": "broken"})
+    assert fix(spark, Config(root)) == 2
+    assert (tmp_path / "lib/a.dart").read_text() == "import 'dart:io';\n\nimport 'package:demo/b.dart';\n\nclass A extends StatelessWidget {\n  void a() {}\n  void z() {}\n}\n"
+    assert list(json.loads((tmp_path / "lib/l10n/app_en.arb").read_text())) == ["@@locale", "A", "b"]
+    assert (tmp_path / "lib/l10n/app_es.arb").read_text() == "broken" and fix(spark, Config(root)) == 0
+
+
 def test_sorted_arb_and_exit():
     out = list(json.loads(reports.sorted_arb('{"b": "1", "@b": {}, "@@locale": "en", "a": "2", "@z": {}}')))
     assert out == ["@@locale", "a", "b", "@b", "@z"]
