@@ -1,4 +1,4 @@
-"""python -m corvane FOLDER [--json] [--list N|full|none] [--mermaid F] [--plantuml F] [--svg F] [--treemap F] [--strict] [--fix]"""
+"""python -m corvane FOLDER [--json] [--list N|full|none] [--mermaid F] [--plantuml F] [--svg F] [--folders F] [--treemap F] [--strict] [--fix]"""
 
 from __future__ import annotations
 
@@ -60,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--strict", action="store_true")
     p.add_argument("--fix", action="store_true", help="sort members, imports and translation files first, in place")
     p.add_argument("--show", choices=("literals", "ignores", "excluded"), help="an inventory instead of the report")
-    for sink in ("mermaid", "plantuml", "svg", "treemap", "issues"):
+    for sink in ("mermaid", "plantuml", "svg", "folders", "treemap", "issues"):
         p.add_argument(f"--{sink}")
     args = p.parse_args(argv)
 
@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None) -> int:
         if path:
             with open(path, "w", encoding="utf-8") as f:
                 f.writelines(r["text"] + "\n" for r in make(placed, a.layers).collect())
-    for path, make in ((args.svg, reports.files_svg), (args.treemap, reports.treemap_svg)):
+    for path, make in ((args.svg, reports.files_svg), (args.folders, reports.folders_svg), (args.treemap, reports.treemap_svg)):
         if path:
             with open(path, "w", encoding="utf-8") as f:
                 f.write(make(a))

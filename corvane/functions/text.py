@@ -394,3 +394,25 @@ KEYWORDS = tuple(
     "mixin new null on operator part required rethrow return sealed set show static super switch sync this throw true try typedef var "
     "void when while with yield".split()
 )
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """Line, from 1, of the character at an offset from 0: line ends before it are counted, none is searched for twice."""
+    return (F.regexp_count(F.substr(text, F.lit(1), offset.cast("int")), F.lit("\n")) + 1).cast("long")
+
+
+def target_of(message: Column) -> Column:
+    """The path that a message about a wrong layer ends in, in double quotes; null if it holds none."""
+    found = F.regexp_extract(message, r'"([^"]+)"[^"]*$', 1)
+    return F.when(found != "", found)
+
+
+def text_width(c: Column, size: float) -> Column:
+    """Estimated width of a text in a font of a size: narrow letters count a third, wide and capital ones more than the rest."""
+    narrow, wide = F.regexp_count(c, F.lit(r"[iljtfr.,:;|'!() ]")), F.regexp_count(c, F.lit(r"[A-Z@%&mwMW]"))
+    return (F.length(c) * 0.55 - narrow * 0.25 + wide * 0.15) * size
+
+
+def fitted(c: Column, size: float, width: float) -> Column:
+    """The font size at which a text fits a width, at most the size given."""
+    return F.least(F.lit(float(size)), F.lit(float(width)) * size / F.greatest(text_width(c, size), F.lit(1e-9)))

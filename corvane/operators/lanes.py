@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,33 +66,61 @@ def treemap(sizes: list[tuple[str, float]], x: float, y: float, w: float, h: flo
 
 
 def kahn_levels(edges: Iterable[tuple[str, str, int]], nodes: Iterable[str]) -> dict[str, int]:
-    """Levels from sources down; a cycle is broken at the node with the fewest incoming edges, then the strongest outgoing weight, then the name."""
-    left = sorted(set(nodes))
-    weight = {(s, d): w for s, d, w in edges if s != d}
-    level = {}
+    """Levels from sources down; a cycle is broken at the node with the fewest incoming edges, then the strongest outgoing weight, then the name.
+
+    Degrees are kept up as nodes leave, so each edge is met once.
+    """
+    left = set(nodes)
+    ahead: dict[str, dict[str, int]] = {n: {} for n in left}
+    n_in, out = dict.fromkeys(left, 0), dict.fromkeys(left, 0)
+    back: dict[str, list[str]] = {n: [] for n in left}
+    for (s, d), w in {(s, d): w for s, d, w in edges if s != d and s in left and d in left}.items():
+        ahead[s][d] = w
+        back[d].append(s)
+        n_in[d] += 1
+        out[s] += w
+    level: dict[str, int] = {}
     depth = 0
+    ready = [n for n in left if not n_in[n]]
     while left:
-        alive = set(left)
-        n_in = {n: sum(1 for s, d in weight if d == n and s in alive) for n in left}
-        ready = [n for n in left if not n_in[n]]
         if not ready:
-            out = {n: sum(w for (s, d), w in weight.items() if s == n and d in alive) for n in left}
             ready = [min(left, key=lambda n: (n_in[n], -out[n], n))]
+        following = set()
         for n in ready:
             level[n] = depth
-        left = [n for n in left if n not in level]
+            left.discard(n)
+        for n in ready:
+            for d in ahead[n]:
+                n_in[d] -= 1
+                if d in left:
+                    following.add(d)
+            for s in back[n]:
+                out[s] -= ahead[s][n]
+        ready = [n for n in following if not n_in[n]]
         depth += 1
     return level
 
 
 def topological(nodes: Iterable[str], edges: Iterable[tuple[str, str]]) -> list[str]:
-    """Nodes so that edges go forward where they can; ties and cycles by the number of incoming edges, then by name."""
-    pairs = set(edges)
-    left, out = sorted(set(nodes)), []
-    while left:
-        alive = set(left)
-        n_in = {n: sum(1 for s, d in pairs if d == n and s in alive and s != n) for n in left}
-        nxt = min(left, key=lambda n: (n_in[n], n))
-        out.append(nxt)
-        left.remove(nxt)
-    return out
+    """Nodes so that edges go forward where they can; ties and cycles by the number of incoming edges, then by name. A heap holds the degrees."""
+    left = set(nodes)
+    ahead: dict[str, list[str]] = {n: [] for n in left}
+    n_in = dict.fromkeys(left, 0)
+    for s, d in set(edges):
+        if s != d and s in left and d in left:
+            ahead[s].append(d)
+            n_in[d] += 1
+    heap = [(k, n) for n, k in n_in.items()]
+    heapq.heapify(heap)
+    found = []
+    while heap:
+        k, n = heapq.heappop(heap)
+        if n not in left or k != n_in[n]:
+            continue
+        left.discard(n)
+        found.append(n)
+        for d in ahead[n]:
+            if d in left:
+                n_in[d] -= 1
+                heapq.heappush(heap, (n_in[d], d))
+    return found

@@ -110,9 +110,9 @@ def details(entries: DataFrame, reads: DataFrame, base: str) -> tuple[DataFrame,
     return found, n_keys
 
 
-def by_locale(found: DataFrame, locales: DataFrame, n_keys: int) -> DataFrame:
-    """Per locale: total, missing (repetitions and unused keys don't count), problems and coverage in percent to one decimal."""
-    bad = ~F.col("problem").isin("duplicate_key", "unused_key")
+def by_locale(found: DataFrame, locales: DataFrame, n_keys: int, every: bool = False) -> DataFrame:
+    """Per locale: total, missing (repetitions and unused keys don't count, unless every problem does), problems and coverage in percent to one decimal."""
+    bad = F.lit(True) if every else ~F.col("problem").isin("duplicate_key", "unused_key")
     counts = found.groupBy("locale").agg(F.count_if(bad).alias("missing"), F.count("*").alias("problems"))
     out = locales.select("locale").where("locale is not null").distinct().join(counts, "locale", "left")
     missing = F.coalesce("missing", F.lit(0))

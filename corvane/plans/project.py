@@ -31,6 +31,7 @@ class Analysis:
     translations: DataFrame  # locale, path, line, key, problem
     excluded: DataFrame
     tests: DataFrame
+    widgets: DataFrame  # kind, n
     areas: DataFrame
     result: DataFrame
 
@@ -201,6 +202,8 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     reach = graph.reachable(reach_edges, consumed).select(F.col("node").alias("path")).join(facts, "path")
     kinds = lambda k: F.coalesce(F.sum(F.size(F.filter("artifacts", lambda a: a["kind"] == k))), F.lit(0)).cast("long")
     test_row = reach.agg(F.count("*").alias("consumed"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"), kinds("class").alias("classes"), kinds("method").alias("methods"), kinds("function").alias("functions"))
+    test_row = test_row.join(tests.agg(F.coalesce(F.sum("test_cases"), F.lit(0)).alias("test_cases")))  # a row each
+    widgets = graph.widget_totals(facts.select(F.explode("artifacts").alias("a")).where("a.kind = 'class'").select("a.name", T.plain_type_name(F.col("a.parent")).alias("parent")))
 
     counters = tree.counters(scanned)
     total = facts.agg(F.count("*").alias("files"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"), F.coalesce(F.sum(F.size("directives")), F.lit(0)).cast("long").alias("directives"))
@@ -210,7 +213,7 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     row = row.withColumns({f"{a}_enabled": F.lit(on(a)) for a in score.AREAS} | {"project": F.lit(project.name), "localization_on": F.lit(uses), "excludes": F.lit(len(config.exclude)), "disabled": F.lit(sum(not on(a) for a in score.COUNTED_AS_DISABLED))})
     row = materialize(row, "score-input")
     areas = score.areas(row)
-    return Analysis(project, config, counters, facts, artifacts, edges, layers, file_cycles, issues, duplicates, coverage, localization.ordered(details), tree.excluded(scanned), test_row, areas, score.overall(areas, score.suppression_points(row)))
+    return Analysis(project, config, counters, facts, artifacts, edges, layers, file_cycles, issues, duplicates, coverage, localization.ordered(details), tree.excluded(scanned), test_row, widgets, areas, score.overall(areas, score.suppression_points(row)))
 
 
 def in_order(duplicates: DataFrame) -> DataFrame:

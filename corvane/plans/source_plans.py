@@ -170,3 +170,85 @@ def locale_names(spark, sf_dir):
     names = F.array(F.concat(F.lit("app_"), lang, F.lit(".arb")), F.concat(lang, F.lit("_BR.arb")), F.concat(F.lit("messages_"), F.upper(lang), F.lit("-x-y.arb")), F.concat(F.lit("other_"), lang, F.lit(".arb")))
     n = table(spark, sf_dir, "documents").select("lang").distinct().select(F.explode(names).alias("name"))
     return n.select("name", T.locale_of(F.col("name")).alias("locale")).withColumn("language", T.language_name(F.col("locale")))
+
+
+@query(f"WITH {C_SQL} SELECT 'file' AS of, path AS name, 10 + (k % 50 = 0)::INT AS loc FROM c UNION ALL SELECT 'class', 'C' || k, 10 FROM c")
+def source_sizes(spark, sf_dir):
+    """Files by the sum of their groups, and classes as groups."""
+    from corvane.operators.folders import file_groups, file_sizes
+
+    artifacts = materialize(P.artifacts_of(facts(spark, sf_dir)), "source-artifacts")
+    groups = file_groups(artifacts)
+    sizes = file_sizes(artifacts.where("kind = 'file'").select("path", "loc"), groups)
+    return sizes.select(F.lit("file").alias("of"), F.col("path").alias("name"), "loc").unionByName(groups.where("owner <> ''").select(F.lit("class").alias("of"), F.col("owner").alias("name"), "loc"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'StatelessWidget' WHEN 1 THEN 'StatefulWidget' WHEN 2 THEN 'C' || (s_suppkey - 1) END AS parent, 'C' || s_suppkey AS name FROM supplier),
+up AS (SELECT name, parent AS top FROM d WHERE parent IS NOT NULL UNION ALL SELECT up.name, d.parent FROM up JOIN d ON d.name = up.top WHERE d.parent IS NOT NULL),
+l AS (SELECT d.name, (SELECT any_value(top) FROM up WHERE up.name = d.name AND up.top IN ('StatelessWidget', 'StatefulWidget')) AS top FROM d)
+SELECT CASE top WHEN 'StatelessWidget' THEN 'stateless' WHEN 'StatefulWidget' THEN 'stateful' ELSE 'other' END AS kind, count(*)::BIGINT AS n FROM l GROUP BY 1""")
+def widget_totals(spark, sf_dir):
+    """Suppliers as classes, some of which extend the one before: what widget each is in the end."""
+    from corvane.operators.graph import widget_totals as totals
+
+    k = F.col("s_suppkey")
+    parent = F.when(k % 4 == 0, "StatelessWidget").when(k % 4 == 1, "StatefulWidget").when(k % 4 == 2, F.concat(F.lit("C"), (k - 1).cast("string")))
+    return totals(table(spark, sf_dir, "supplier").select(F.concat(F.lit("C"), k.cast("string")).alias("name"), parent.alias("parent")))
+
+
+def placed_files(spark, sf_dir) -> DataFrame:
+    """Documents as files below app, source and language; every tenth directly below its source."""
+    tenth = F.col("doc_id") % 10 == 0
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.lit("app"), "source", F.when(~tenth, F.col("lang")), F.col("doc_id").cast("string")).alias("path"))
+
+
+PLACED_SQL = "f AS (SELECT doc_id, 'app/' || source AS top, CASE WHEN doc_id % 10 > 0 THEN lang END AS lang, 'app/' || source || CASE WHEN doc_id % 10 > 0 THEN '/' || lang ELSE '' END AS folder FROM documents)"
+
+
+@query(f"WITH {PLACED_SQL} SELECT DISTINCT folder, parent, depth FROM (SELECT folder, top AS parent, 3 AS depth FROM f WHERE lang IS NOT NULL UNION ALL SELECT top, 'app', 2 FROM f UNION ALL SELECT 'app', NULL, 1)")
+def folder_tree(spark, sf_dir):
+    from corvane.operators.folders import hierarchy
+
+    return hierarchy(placed_files(spark, sf_dir))
+
+
+@query(f"WITH {PLACED_SQL}, m AS (SELECT DISTINCT top FROM f WHERE lang IS NOT NULL) SELECT f.folder || '/' || doc_id AS path, f.folder || CASE WHEN m.top IS NOT NULL THEN '/...' ELSE '' END AS \"group\" FROM f LEFT JOIN m ON m.top = f.folder")
+def loose_files(spark, sf_dir):
+    """Files by folder; those beside folders are in a group of their own."""
+    from corvane.operators.folders import with_loose_files
+
+    return with_loose_files(placed_files(spark, sf_dir))
+
+
+@query(f"""WITH {PLACED_SQL}, e AS (SELECT a.top AS top_a, b.top AS top_b, a.folder AS af, b.folder AS bf FROM f a JOIN f b ON b.doc_id = a.doc_id + 1),
+x AS (SELECT CASE WHEN top_a <> top_b THEN top_a ELSE af END AS src, CASE WHEN top_a <> top_b THEN top_b ELSE bf END AS dst FROM e) SELECT DISTINCT src, dst FROM x WHERE src <> dst""")
+def sibling_folders(spark, sf_dir):
+    """Edges from each document to the next, between the folders just below the deepest one that both share."""
+    from corvane.operators.folders import sibling_edges
+
+    f = placed_files(spark, sf_dir)
+    after = f.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("dst"))
+    return sibling_edges(f.join(after, "doc_id").select(F.col("path").alias("src"), "dst"))
+
+
+@query("SELECT CASE WHEN min(source) = max(source) THEN 'app/' || min(source) ELSE 'app' END AS root FROM documents WHERE lang = 'en'")
+def shared_root(spark, sf_dir):
+    """The deepest folder of all documents in English."""
+    from corvane.operators.folders import shared_root as root
+
+    return root(placed_files(spark, sf_dir).join(table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), "doc_id"))
+
+
+@query("SELECT doc_id, (length(substr(text, 1, strpos(text, 'ing') - 1)) - length(replace(substr(text, 1, strpos(text, 'ing') - 1), chr(10), '')) + 1)::BIGINT AS line FROM documents WHERE strpos(text, 'ing') > 0")
+def line_offsets(spark, sf_dir):
+    """Lines of offsets: where each document first says ing."""
+    d = table(spark, sf_dir, "documents").withColumn("at", F.instr("text", "ing")).where("at > 0")
+    return d.select("doc_id", T.line_of(F.col("text"), F.col("at") - 1).alias("line"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN 'lib/' || p_name || '.dart' END AS target FROM part")
+def message_targets(spark, sf_dir):
+    """Paths read back out of messages about layers."""
+    p = table(spark, sf_dir, "part")
+    said = F.concat(F.lit('File "a/b.dart" is below what it imports: "lib/'), F.col("p_name"), F.lit('.dart" (layer 3)'))
+    return p.select(F.col("p_partkey").alias("id"), T.target_of(F.when(F.col("p_partkey") % 3 > 0, said).otherwise("no path here")).alias("target"))

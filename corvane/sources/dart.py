@@ -448,7 +448,7 @@ def scopes_of(line: int, code: list[Token], close: dict[int, int], declared: lis
 def facts(path: str, source: str) -> dict:
     """All facts of one file, from one pass over its text. A broken file has lines and nothing else."""
     lines = source.split("\n")
-    row: dict = {"path": path, "loc": sum(bool(x.strip()) for x in lines), "comment_lines": 0, "broken": False, "has_main": False, "artifacts": [], "strings": [], "numbers": [], "imports": [], "used": [], "directives": [], "unused_variables": [], "members": [], "listed": [], "widget_texts": [], "excused": []}
+    row: dict = {"path": path, "loc": sum(bool(x.strip()) for x in lines), "comment_lines": 0, "broken": False, "has_main": False, "artifacts": [], "strings": [], "numbers": [], "imports": [], "used": [], "directives": [], "unused_variables": [], "members": [], "listed": [], "widget_texts": [], "excused": [], "test_cases": 0}
     row["listed"] = [{"line": k + 1, "token": w.lower()} for k, x in enumerate(lines) if (m := _IGNORE.search(x)) for w in _DOMAIN.findall(m[1])]
     marked = [bool(EXCUSED.search(x)) for x in lines]
     row["excused"] = [k + 1 for k in range(len(lines)) if marked[k] or (k and marked[k - 1])]
@@ -472,6 +472,7 @@ def facts(path: str, source: str) -> dict:
     row["comment_lines"] = comment_lines(every)
     row["imports"] = [{"kind": k, "uri": u} for k, u in directives(code)]
     row["strings"], row["numbers"] = literals(code, declared, {u for _, u in directives(code)})
+    row["test_cases"] = test_cases(code)
     heads: dict[str, int] = {}
     for d in declared:
         if d.kind != "field":
@@ -505,6 +506,16 @@ def facts(path: str, source: str) -> dict:
     return row
 
 
+def test_cases(code: list[Token]) -> int:
+    """Calls of test and testWidgets: names before a parenthesis that are neither members nor declared there."""
+    found = 0
+    for i, t in enumerate(code[:-1]):
+        if t.kind == "name" and t.text in ("test", "testWidgets") and code[i + 1].text == "(":
+            before = code[i - 1] if i else None
+            found += before is None or not (before.text in (".", "?.", "..") or (before.kind == "name" and before.text not in ("return", "await", "else", "do")))
+    return found
+
+
 def member_kind(d: Declaration) -> str:
     """What a class member is for its place: field, accessor, method, or other, such as a constructor."""
     if d.kind in ("field", "constructor"):

@@ -108,7 +108,7 @@ artifacts array<struct<ordinal: int, kind: string, name: string, owner: string,
 strings array<struct<line: int, value: string, exempt: string, printed: boolean, logged: boolean, output: boolean, property: string>>, numbers array<struct<line: int, value: string, is_const: boolean>>, imports array<struct<kind: string, uri: string>>,
 used array<string>, directives array<struct<line: int, last: int, token: string, leading: boolean>>, unused_variables array<struct<line: int, name: string>>,
 members array<struct<ordinal: int, kind: string, name: string, owner: string>>,
-listed array<struct<line: int, token: string>>, widget_texts array<struct<line: int, value: string>>, excused array<int>"""
+listed array<struct<line: int, token: string>>, widget_texts array<struct<line: int, value: string>>, excused array<int>, test_cases int"""
 
 
 def extract(sources: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def extract(sources: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame([facts(p, c or "") for p, c in zip(batch["path"], batch["content"], strict=True)], columns=[c.strip().split()[0] for c in ("path", "loc", "comment_lines", "broken", "has_main", "artifacts", "strings", "numbers", "imports", "used", "directives", "unused_variables", "members", "listed", "widget_texts", "excused")])
+            yield pd.DataFrame([facts(p, c or "") for p, c in zip(batch["path"], batch["content"], strict=True)], columns=[c.strip().split()[0] for c in ("path", "loc", "comment_lines", "broken", "has_main", "artifacts", "strings", "numbers", "imports", "used", "directives", "unused_variables", "members", "listed", "widget_texts", "excused", "test_cases")])
 
     return sources.select("path", "content").mapInPandas(run, FACTS)
 

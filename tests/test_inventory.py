@@ -57,3 +57,21 @@ def test_packages(spark):
     assert tuple(roots.first()) == ("a", "/x/a")
     flags = inventory.platform_folders(spark.createDataFrame([("android", True), ("lib/web", True), ("ios", False)], "path string, is_dir boolean")).first()
     assert flags["android"] and not flags["web"] and not flags["ios"]
+
+
+def test_drawings_and_colours(tmp_path, spark):
+    from corvane.sources import reports
+
+    deps = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "package string, needs string")
+    svg = reports.packages_svg(deps, spark.createDataFrame([("a",)], "package string"))
+    assert svg.count("<rect") == 3 and svg.count("<path") == 2
+    assert reports.colored("x", "good", {}) == "\x1b[36mx\x1b[0m" and reports.colored("x", "good", {"NO_COLOR": "1"}) == "x" and reports.colored("x", "?", {}) == "x"
+    assert reports.output_path(None, "/a", "r.json") == "/a/r.json" and reports.output_path("/b/x.json", "/a", "r.json") == "/b/x.json"
+    assert reports.output_path("out/", "/a", "r.json") == "/a/out/r.json" and reports.output_path(str(tmp_path), "/a", "r.json") == f"{tmp_path}/r.json"
+
+
+def test_test_cases():
+    from corvane.sources import dart
+
+    source = "void main() { test('a', () {}); group('g', () { testWidgets('b', (t) async {}); x.test('no'); }); }\nvoid test(int a) {}\n"
+    assert dart.facts("a_test.dart", source)["test_cases"] == 2
