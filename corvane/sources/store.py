@@ -22,7 +22,21 @@ def work_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this process has materialized, once no returned DataFrame is read any more; returns how many tables went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
