@@ -44,10 +44,24 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this process has materialized, once no returned DataFrame is read any more; returns how many tables went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: later steps neither recompute it nor depend on one executor's disk."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
