@@ -421,6 +421,9 @@ def test_linked_vectors(spark):
     want = sorted((rows[k][0], n[k], min(least[find(k)]), rows[k][0] == min(least[find(k)])) for k in range(len(rows)))
     assert sorted(map(tuple, embedding_duplicates.link_vectors(df).collect())) == want
     assert embedding_duplicates.link_vectors(df.limit(0)).count() == 0
+    loose = spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0]), (5, [2.0, 4.0]), (None, [9.0, -1.0])], "vec_id long, embedding array<double>")
+    found = sorted(map(repr, map(tuple, embedding_duplicates.link_vectors(loose).collect())))
+    assert found == sorted(map(repr, [(None, 2, 5, False), (None, 2, 5, False), (5, 2, 5, True), (None, 0, None, True)]))
 
 
 def test_binary_codes_are_unbiased():
