@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,12 +19,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"), F.lit(True).alias("changed")), "labels")
+    n = labels.count()  # no round adds nodes, so lookups by node are broadcast while these are few
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
+        near = both.join(small(labels.select(F.col("node").alias("b"), "component"), n), "b").groupBy("a").agg(F.min("component").alias("m"))
+        lower = labels.join(small(near, n), F.col("node") == F.col("a")).select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         lower = materialize(lower, "labels-lower")
         jump = lower.select(F.col("node").alias("j"), F.col("component").alias("further"))
-        labels = lower.join(jump, F.col("component") == F.col("j"), "left").select("node", F.least("component", "further").alias("component"), "was")
+        labels = lower.join(small(jump, n), F.col("component") == F.col("j"), "left").select("node", F.least("component", "further").alias("component"), "was")
         labels = materialize(labels.select("node", "component", (F.col("component") != F.col("was")).alias("changed")), "labels")
         if not labels.where("changed").limit(1).count():
             return labels.select("node", "component")
