@@ -61,22 +61,21 @@ def without_interpolations(c: Column) -> Column:
 
 
 def strip_interpolations(text: str) -> str:
-    """Text without $name and ${...} parts, braces counted."""
+    """Text without $name and ${...} parts, braces counted; a dollar after a backslash stays."""
     out, i = [], 0
     while i < len(text):
-        if text[i] == "$" and text[i + 1 : i + 2] == "{":
-            depth, j = 1, i + 2
-            while j < len(text) and depth:
-                depth += {"{": 1, "}": -1}.get(text[j], 0)
-                j += 1
-            i = j
-        elif text[i] == "$" and (text[i + 1 : i + 2].isalpha() or text[i + 1 : i + 2] == "_"):
+        if text[i] != "$" or (i and text[i - 1] == "\\"):
+            out.append(text[i])
             i += 1
-            while i < len(text) and (text[i].isalnum() or text[i] == "_"):
+        elif text[i + 1 : i + 2] == "{":
+            depth, i = 1, i + 2
+            while i < len(text) and depth:
+                depth += {"{": 1, "}": -1}.get(text[i], 0)
                 i += 1
         else:
-            out.append(text[i])
             i += 1
+            while i < len(text) and text[i].isascii() and (text[i].isalnum() or text[i] == "_"):
+                i += 1
     return "".join(out)
 
 

@@ -69,9 +69,7 @@ def hardcoded(plain: DataFrame, facts: DataFrame, focus: str, translated: bool)
     """(path, line, value) of strings for people. focus: widgets (neither printed nor technical, with any Text('...')), print (printed ones alone) or general."""
     shown = plain.join(ignored(facts, "hardcoded_strings"), "path", "left_anti")
     s = shown.select("path", "excused", F.explode("strings").alias("s")).select("path", "excused", "s.*")
-    bare = T.without_quotes(F.col("value"))
-    s = s.withColumn("value", F.when(F.col("value").rlike("^r"), bare).otherwise(T.without_interpolations(bare)))
-    s = s.where(T.is_meaningful(F.col("value")) & F.col("exempt").isNull())
+    s = s.withColumn("value", F.col("bare")).where(T.is_meaningful(F.col("value")) & F.col("exempt").isNull())
     if not translated:
         s = s.where(~F.col("path").rlike(TEXT_FILES))
     if focus == "print":

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from corvane.functions.text import KEYWORDS
+from corvane.functions.text import KEYWORDS, strip_interpolations
 
 _SPACE = re.compile(r"\s+")
 _IDENT = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
@@ -366,6 +366,14 @@ def _head(code: list[Token], begins: int, at: int) -> list[str] | None:
     return None
 
 
+def bare_text(literal: str) -> str:
+    """What a literal says: without its raw prefix, its quotes and its interpolations."""
+    raw = literal[:1] in ("r", "R")
+    body = literal[raw:]
+    q = 3 if body[:3] in ("'''", '"""') and len(body) >= 6 else 1
+    return body[q:-q] if raw else strip_interpolations(body[q:-q])
+
+
 def literals(code: list[Token], declared: list[Declaration], addresses: set[str]) -> tuple[list[dict], list[dict]]:
     """Strings and numbers with what stands around them: why a literal is exempt, whether it's printed, logged, a widget's output or a named argument."""
     stack = [Frame("block", -1)]
@@ -433,7 +441,7 @@ def literals(code: list[Token], declared: list[Declaration], addresses: set[str]
         log = call.name in PRINTS or call.name in LOGS or any(x in call.target.lower() for x in ("logger", "log"))
         widget = owner is not None and (parents.get(owner.owner) in WIDGETS or owner.name == "build" or any("Widget" in x.text for x in owner.head[: max(0, len(owner.head) - 1)] if x.kind == "name" and x.text != owner.name))
         strings.append({
-            "line": t.line, "value": t.text, "exempt": why, "printed": call.name == "print" and not call.target, "logged": bool(call.name) and log and not call.name[:1].isupper(),
+            "line": t.line, "value": t.text, "bare": bare_text(t.text), "exempt": why, "printed": call.name == "print" and not call.target, "logged": bool(call.name) and log and not call.name[:1].isupper(),
             "output": bool(widget) and call.name[:1].isupper(), "property": call.label if direct and prev == ":" else None,
         })
     return strings, numbers

@@ -105,7 +105,7 @@ def excluded(scanned: DataFrame) -> DataFrame:
 
 FACTS = """path string, loc long, comment_lines long, broken boolean, has_main boolean,
 artifacts array<struct<ordinal: int, kind: string, name: string, owner: string, parent: string, first: int, last: int, loc: long, is_override: boolean, is_preview: boolean, is_abstract: boolean, is_public: boolean, documented: boolean, is_complex: boolean, commented: boolean, signature: string, tokens: array<string>>>,
-strings array<struct<line: int, value: string, exempt: string, printed: boolean, logged: boolean, output: boolean, property: string>>, numbers array<struct<line: int, value: string, is_const: boolean>>, imports array<struct<kind: string, uri: string>>,
+strings array<struct<line: int, value: string, bare: string, exempt: string, printed: boolean, logged: boolean, output: boolean, property: string>>, numbers array<struct<line: int, value: string, is_const: boolean>>, imports array<struct<kind: string, uri: string>>,
 used array<string>, directives array<struct<line: int, last: int, token: string, leading: boolean>>, unused_variables array<struct<line: int, name: string>>,
 members array<struct<ordinal: int, kind: string, name: string, owner: string>>,
 listed array<struct<line: int, token: string>>, widget_texts array<struct<line: int, value: string>>, excused array<int>, test_cases int"""

@@ -41,6 +41,30 @@ def test_sentinels_are_not_duplicates(spark):
         (T.locale_of, "lib/l10n/app_pt-BR.arb", "pt_BR"),
         (T.language_name, "es_MX", "Spanish"),
         (T.language_name, "xx", "XX"),
+        (T.language_name, "xx_YY", "XX"),
+        (T.language_name, "MY-Zawgyi", "Myanmar"),
+        (T.locale_of, "a/pt_BR.arb", "pt_BR"),
+        (T.locale_of, "en_US.arb", "en_US"),
+        (T.locale_of, "EN.arb", "en"),
+        (T.locale_of, "messages_zh__Hans.arb", "zh_Hans"),
+        (T.locale_of, "l10n_de.arb", "de"),
+        (T.locale_of, "texts_en.arb", None),
+        (T.locale_of, "app_.arb", None),
+        (T.placeholders, "{n, plural, one{# a} other{# b}} {x1} {_y}", ["x1"]),
+        (T.is_technical, "https://x.example", True),
+        (T.is_technical, " snake_case ", True),
+        (T.is_technical, "10px", True),
+        (T.is_technical, "SOME_NAME", True),
+        (T.is_technical, "camelCase", True),
+        (T.is_technical, "assets/a.png", True),
+        (T.is_technical, "C:\\dir\\x", True),
+        (T.is_technical, "?a=b", True),
+        (T.is_technical, "Hello world", False),
+        (T.is_technical, "Hello. World", False),
+        (T.is_technical, "What now?", False),
+        (T.is_technical, "Save", False),
+        (T.is_technical, "  ", False),
+        (T.target_of, 'x "a/b.dart" to "c/d.dart" (2)', "c/d.dart"),
         (T.clean_location, "a:12:", "a:12"),
         (T.location_line, "lib/a.dart:12:3", 12),
         (T.lib_label, "lib/src/a.dart", "src/a.dart"),
@@ -64,7 +88,8 @@ def test_python_scalars():
     assert T.strip_interpolations("a ${b {c} d} $e!") == "a  !"
     assert T.normalized_path("a/./b/../c") == "a/c" and T.normalized_path("../a") == "../a" and T.normalized_path("/x/..") in ("", "/")
     assert T.dart_quoted("it's $5\n") == "'it\\'s \\$5\\n'"
-    assert T.analyzer_name("magicNumbers") == "magic_numbers" and T.analyzer_name("l10n") == "localization"
+    assert T.strip_interpolations(r"costs \$5 or $ 5, ${a}${b['x']}") == r"costs \$5 or  5, "
+    assert T.analyzer_name(" Magic-Numbers") == "magic_numbers" and T.analyzer_name("codesize") == "code_size" and T.analyzer_name("sorting") == "source_sorting"
 
 
 def test_shared_folder(spark):
