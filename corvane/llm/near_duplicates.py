@@ -388,9 +388,10 @@ def keep_first(docs: DataFrame, threshold: Fraction, width: int = 5) -> DataFram
     """
     grouped = materialize(_grouped(docs, threshold, width).where("digest is not null").select("label", "doc_id", "text_hash"), "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = grouped.groupBy("label").agg(F.min(rank).alias("first")).select(F.col("label").alias("l"), "first")
+    first = grouped.groupBy("label").agg(F.min(rank).alias("first"), F.count("*").alias("rows")).where("rows > 1").select(F.col("label").alias("l"), "first")
+    first = materialize(first, "groups-first")  # rows of groups of one stay in any case
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    told = grouped.join(first, F.col("label") == F.col("l")).select(F.col("doc_id").alias(GONE_ID), F.col("text_hash").alias(GONE_HASH), stays.alias("stays"))
+    told = grouped.join(small(first, first.count()), F.col("label") == F.col("l")).select(F.col("doc_id").alias(GONE_ID), F.col("text_hash").alias(GONE_HASH), stays.alias("stays"))
     key = [F.col(f"`{GONE_ID}`"), F.col(f"`{GONE_HASH}`")]
     gone = materialize(told.where("not stays").select(*key).distinct(), "groups-gone")
     again = materialize(told.where("stays").groupBy(*key).count().where("count > 1").select(*key), "groups-again")
