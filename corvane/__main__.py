@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
     for path, make in ((args.mermaid, graph_text.mermaid), (args.plantuml, graph_text.plantuml)):
         if path:
             with open(path, "w", encoding="utf-8") as f:
-                f.writelines(r["text"] + "\n" for r in make(placed, a.layers).collect())
+                f.writelines(r["text"] + "\n" for r in make(placed, a.layers).toLocalIterator())
     for path, make in ((args.svg, reports.files_svg), (args.folders, reports.folders_svg), (args.treemap, reports.treemap_svg)):
         if path:
             with open(path, "w", encoding="utf-8") as f:
