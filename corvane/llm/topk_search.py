@@ -138,6 +138,13 @@ def _meet(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return left.cogroup(right).applyInArrow(_search(k), FOUND)
 
 
+def _ranged(rows: DataFrame, name: str, n: int, *order: str | Column) -> DataFrame:
+    """rows, written, with a number from 0 to n - 1 by ranges of order: the engine may cut more ranges than asked for, neighbours of which then share a number."""
+    cut = materialize(rows.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), f"topk-{name}")
+    made = max(n, (cut.agg(F.max(name)).first()[0] or 0) + 1)
+    return cut.withColumn(name, F.floor(F.col(name) * n / F.lit(made)).cast("int"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0) -> DataFrame:
     """query_id, rank, vec_id and score: the k best other rows for each query row of vectors (vec_id, embedding).
 
@@ -150,7 +157,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("uid", F.monotonically_increasing_id()).where(finite("embedding"))
     packed = materialize(integers(rows, scale), "topk-vectors")
     n_buckets = max(1, math.ceil(packed.count() / BUCKET_ROWS))
-    binned = materialize(packed.repartitionByRange(n_buckets, F.desc("norm"), "uid").withColumn("bucket", F.spark_partition_id()), "topk-buckets")
+    binned = _ranged(packed, "bucket", n_buckets, F.desc("norm"), "uid")
     asked = materialize(packed.where(is_query), "topk-queries")
     n_groups = max(1, math.ceil(asked.count() / GROUP_ROWS))
 
@@ -161,8 +168,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     told = asked.join(known.withColumnRenamed("query_uid", "uid"), "uid", "left").withColumn("known", F.coalesce("score", F.lit(-math.inf))).drop("n", "score")
 
     need = F.when(F.col("norm") > 0, F.col("known") * (1 - 1e-9) / F.col("norm")).otherwise(F.lit(-math.inf))  # no shorter vector can reach it
-    again = told.withColumn("need", need).repartitionByRange(n_groups, "need", "uid").withColumn("grp", F.spark_partition_id())
-    again = materialize(again, "topk-queries-told")
+    again = _ranged(told.withColumn("need", need), "grp", n_groups, "need", "uid")
     needs = dict(again.groupBy("grp").agg(F.min("need")).collect())  # a number for each GROUP_ROWS queries
     longest = dict(binned.where("bucket > 0").groupBy("bucket").agg(F.max("norm")).collect())  # and for each BUCKET_ROWS vectors
     grps, bins = sorted(needs), sorted(longest)
