@@ -415,3 +415,9 @@ def text_width(c: Column, size: float) -> Column:
 def fitted(c: Column, size: float, width: float) -> Column:
     """The font size at which a text fits a width, at most the size given."""
     return F.least(F.lit(float(size)), F.lit(float(width)) * size / F.greatest(text_width(c, size), F.lit(1e-9)))
+
+
+def relative_to(path: Column, root: Column) -> Column:
+    """path below root, as it is where it isn't; . for root itself."""
+    bare = F.regexp_replace(root, "/+$", "")
+    return F.when(path == bare, ".").when(path.startswith(F.concat(bare, F.lit("/"))), F.substr(path, F.length(bare) + 2)).otherwise(path)

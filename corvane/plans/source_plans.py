@@ -89,6 +89,13 @@ def source_ignores(spark, sf_dir):
     return found.select("token", "total", F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["path"], p["line"].cast("string"))), " ").alias("places"))
 
 
+@query(f"WITH {C_SQL}, d AS (SELECT path, (k % 10 = 0)::INT + (k % 7 = 0)::INT AS n FROM c) SELECT path, n::BIGINT AS n, (SELECT max(length(path)) FROM d WHERE n > 0)::BIGINT AS width FROM d WHERE n > 0")
+def source_directives(spark, sf_dir):
+    """Directives by file, with the width that a listing of the files needs."""
+    found = inventory.directive_counts(facts(spark, sf_dir))
+    return found.join(inventory.display_width(found, "path"))  # one row
+
+
 @query(f"WITH {C_SQL} SELECT path AS src, 'lib/src/n' || n || '/shared.dart' AS dst FROM c UNION ALL SELECT path, 'lib/src/c' || (k + 1) || '.dart' FROM c")
 def source_edges(spark, sf_dir):
     """Imports as edges between files, addresses resolved."""

@@ -36,6 +36,17 @@ def used_keys(sources: DataFrame, keys: DataFrame, accessors: tuple[str, ...] =
     return read.join(keys.select("key").distinct(), "key", "left_semi"), read.agg((F.count("*") > 0).alias("has_access"))
 
 
+def directive_counts(facts: DataFrame) -> DataFrame:
+    """(path, n) of files with directives in comments, keyed by paths without a leading ./, in order of paths."""
+    path = F.regexp_replace("path", r"^(\./)+", "")
+    return facts.groupBy(path.alias("path")).agg(F.sum(F.size("directives")).alias("n")).where("n > 0").orderBy("path")
+
+
+def display_width(rows: DataFrame, column: str, least: int = 0) -> DataFrame:
+    """One row: the width that a column of a listing needs."""
+    return rows.agg(F.greatest(F.coalesce(F.max(F.length(column)), F.lit(0)), F.lit(least)).cast("long").alias("width"))
+
+
 #: Fixed value: descriptions that say that a key isn't to be translated.
 DO_NOT_TRANSLATE = r"(?i)\bdo\s*not\s*translate\b|\bdo\s*not\s*localize\b|\bdo\s*not\s*localise\b|\bkeep\s*as\s*is\b|\bleave\s*unchanged\b|\bignore\b|\breviewed\b"
 

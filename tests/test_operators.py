@@ -92,6 +92,12 @@ def test_python_scalars():
     assert T.analyzer_name(" Magic-Numbers") == "magic_numbers" and T.analyzer_name("codesize") == "code_size" and T.analyzer_name("sorting") == "source_sorting"
 
 
+def test_relative_paths(spark):
+    call = lambda a, b: one(spark, T.relative_to(F.lit(a), F.lit(b)))
+    assert call("/p/a/x", "/p/") == "a/x" and call("/p", "/p") == "." and call("/pq/x", "/p") == "/pq/x"
+    assert 0 < one(spark, T.fitted(F.lit("A long label of a node"), 14, 60)) < 14 and one(spark, T.fitted(F.lit("ab"), 14, 60)) == 14
+
+
 def test_shared_folder(spark):
     r = spark.range(1).select(T.without_shared_folder(F.lit("/p/a/x.dart"), F.lit("/p/b/y.dart"))).first()[0]
     assert r == "a/x.dart"
