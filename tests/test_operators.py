@@ -236,7 +236,7 @@ def test_secrets(spark):
 def test_members(spark):
     rows = [("A", "method", "_p", 0), ("A", "method", "z", 1), ("A", "method", "dispose", 2), ("A", "method", "build", 3), ("A", "field", "f", 4), ("A", "other", "A", 5)]
     got = sorting.sorted_members(spark.createDataFrame(rows, "owner string, kind string, name string, ordinal int")).orderBy("target").collect()
-    assert [r["name"] for r in got] == ["A", "f", "build", "dispose", "z", "_p"]
+    assert [r["name"] for r in got] == ["A", "f", "dispose", "build", "z", "_p"]
 
 
 def test_written_tables_can_be_cleared(spark):
