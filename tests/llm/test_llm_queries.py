@@ -66,7 +66,8 @@ def test_stages_stand_odd_rows(spark, name):
     assert {r["label"] for r in kept} == {"c"} and {r["size"] for r in kept} == {"a"}
     found = [r["text"] for r in kept]
     if name == "near_duplicates":
-        assert sorted(t or "" for t in found) == sorted(["", "", " \n\t", plain, f"{plain} a@b.example", long, "x", "漢字 😀"])
+        # Eight of the nine shingles of the mailed text are the plain one's, over the threshold.
+        assert sorted(t or "" for t in found) == sorted(["", "", " \n\t", plain, long, "x", "漢字 😀"])
     if name == "private_data":
         assert sorted(t or "" for t in found) == sorted((r[1] or "").replace("a@b.example", "[EMAIL]") for r in rows)
         assert all(r["n_chars"] == len(r["text"]) for r in kept if r["text"] is not None) and None in found
