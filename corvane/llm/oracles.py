@@ -1,5 +1,7 @@
 """DuckDB SQL for the contract queries that SQL can express."""
 
+from . import license_scan
+
 OP4 = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -68,4 +70,20 @@ r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score
 SELECT * FROM r WHERE rank <= 10
 """
 
-ORACLES = {"op4_mixing": OP4, "op5_chat_format": OP5, "op6_near_duplicates": OP6, "op7_embedding_duplicates": OP7, "op10_topk_search": OP10}
+_strings = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+phrases(label, words) AS (VALUES {", ".join(f"('{label}', {_strings(p.split())})" for p, label in license_scan.PHRASES)}),
+place AS (SELECT row, label, i FROM (SELECT row, w, unnest(range(len(w))) AS i FROM d) x JOIN phrases p ON w[i + 1] = p.words[1] AND w[i + 1:i + len(p.words)] = p.words),
+base AS (SELECT row, count(*) AS n, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM place GROUP BY row),
+sections(label, words) AS (VALUES {", ".join(f"('{label}', {_strings(ws)})" for label, ws in license_scan.sections(license_scan.TEMPLATES))}),
+block AS (SELECT row, list_distinct(w[{license_scan.STRIDE} * k + 1:{license_scan.STRIDE} * k + {license_scan.WINDOW}]) AS words FROM (SELECT row, w, unnest(range(greatest(ceil((len(w) - {license_scan.WINDOW}) / {license_scan.STRIDE}.0), 0)::BIGINT + 1)) AS k FROM d)),
+met AS (SELECT row, label, len(list_intersect(b.words, s.words)) AS shared, len(s.words) AS n FROM block b JOIN sections s ON 100 * len(list_intersect(b.words, s.words)) >= {license_scan.PERCENT} * len(s.words)),
+own AS (SELECT row, max(shared::DOUBLE / n) AS most, list(DISTINCT label) AS labels FROM met GROUP BY row)
+SELECT doc_id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(most, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base ON base.row = d.row LEFT JOIN own ON own.row = d.row
+"""
+
+ORACLES = {"op4_mixing": OP4, "op5_chat_format": OP5, "op6_near_duplicates": OP6, "op7_embedding_duplicates": OP7, "op10_topk_search": OP10, "op13_license_scan": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_duplicates, mixing, near_duplicates, packing, private_data, quality, resharding, token_counts, topk_search
+from . import chat_format, embedding_duplicates, license_scan, mixing, near_duplicates, packing, private_data, quality, resharding, token_counts, topk_search
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -74,6 +74,10 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,5 +91,6 @@ QUERIES = {
         op8_resharding,
         op9_quality,
         op10_topk_search,
+        op13_license_scan,
     )
 }
