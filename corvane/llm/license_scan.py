@@ -91,7 +91,7 @@ def _places(spaced: Column, phrase: str) -> tuple[Column, Column, Column]:
     wanted = F.lit(f" {phrase} ")
     spaces = lambda s: (F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
     there = F.contains(spaced, wanted)
-    count = F.when(there, F.regexp_count(spaced, F.lit(f" {phrase}(?= )"))).otherwise(0).cast("long")
+    count = F.when(there, F.regexp_count(spaced, F.lit(f"(?= {phrase} )"))).otherwise(0).cast("long")
     first = F.when(there, spaces(F.substring_index(spaced, f" {phrase} ", 1)))
     last = F.when(there, spaces(spaced) - 1 - spaces(F.substring_index(spaced, f" {phrase} ", -1)) - len(phrase.split()))
     return count, first, last
