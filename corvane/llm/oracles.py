@@ -70,6 +70,39 @@ r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score
 SELECT * FROM r WHERE rank <= 10
 """
 
+OP11 = """
+WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS place, md5(length(role) || ':' || role || text) AS m, strlen(text) AS size
+           FROM (SELECT conv_id::BIGINT AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+b AS (SELECT conv_id, count(*) AS n, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT) AS bytes FROM r GROUP BY conv_id),
+c AS (SELECT conv_id, n, conv_id - conv_id % 5 AS source, xor(list_reduce(bytes, lambda crc, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, xor(crc, x)), 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h FROM b),
+p AS (SELECT c.conv_id, c.source, c.h, least(c.h, coalesce(s.n, 0)) AS head FROM c LEFT JOIN c s ON s.conv_id = c.source),
+t AS (SELECT p.conv_id, place AS depth, m, size FROM p JOIN r ON r.conv_id = source AND place <= head UNION ALL SELECT p.conv_id, place - h + head, m, size FROM p JOIN r ON r.conv_id = p.conv_id AND place > h),
+y AS (SELECT conv_id, depth, size, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM t UNION ALL SELECT conv_id, 0, 0, '' FROM p),
+e AS (SELECT conv_id, max(depth) AS last FROM y GROUP BY conv_id),
+n AS (SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256 FROM y JOIN e USING (conv_id) GROUP BY path),
+k AS (SELECT left(path, 32 * (depth - 1)::INT) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path),
+u AS (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.size) AS saved FROM f a JOIN f b ON starts_with(b.path, a.path) GROUP BY a.path)
+SELECT f.conv_id, f.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN u ON u.path = f.path LEFT JOIN f o ON f.depth > 0 AND o.path = left(f.path, 32 * (f.depth - 1)::INT)
+"""
+
+OP12 = """
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+c AS (SELECT t.lang, t.source, t.term, count(*)::HUGEINT AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(n, 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + v.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (v.n + v.v) AS q
+      FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM x)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
 _strings = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 OP13 = f"""
@@ -86,4 +119,4 @@ SELECT doc_id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0):
 FROM d LEFT JOIN base ON base.row = d.row LEFT JOIN own ON own.row = d.row
 """
 
-ORACLES = {"op4_mixing": OP4, "op5_chat_format": OP5, "op6_near_duplicates": OP6, "op7_embedding_duplicates": OP7, "op10_topk_search": OP10, "op13_license_scan": OP13}
+ORACLES = {"op4_mixing": OP4, "op5_chat_format": OP5, "op6_near_duplicates": OP6, "op7_embedding_duplicates": OP7, "op10_topk_search": OP10, "op11_prefix_trie": OP11, "op12_source_divergence": OP12, "op13_license_scan": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_duplicates, license_scan, mixing, near_duplicates, packing, private_data, quality, resharding, token_counts, topk_search
+from . import chat_format, embedding_duplicates, license_scan, mixing, near_duplicates, packing, prefix_trie, private_data, quality, resharding, source_divergence, token_counts, topk_search
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -74,6 +74,14 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -91,6 +99,8 @@ QUERIES = {
         op8_resharding,
         op9_quality,
         op10_topk_search,
+        op11_prefix_trie,
+        op12_source_divergence,
         op13_license_scan,
     )
 }
