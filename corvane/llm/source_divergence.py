@@ -30,7 +30,7 @@ from .common import lean, materialize, small
 SCALE = 1_000_000_000
 LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 #: Entries that a task combines before it hands them on, and rows of a batch that it hands on.
-HELD, BATCH = 200_000, 20_000
+HELD, BATCH = 600_000, 20_000
 #: Pairs of a run that are computed at once.
 PAIRS = 1 << 20
 
