@@ -5,7 +5,8 @@ of digits whose twin elsewhere was found. Its nodes are the tokens that hold a d
 kind. A node's own potential comes from its shape; neighbours in the text share a transition potential (the chain); tokens
 that are equal, or similar once separators, case and trailing digits are left out, share an agreement potential however
 far apart they are (the skips). All members of such a set are tied to one node of their own, so messages are linear in
-the tokens. Loopy message passing with damping then gives each token's marginal.
+the tokens. Loopy message passing with damping then gives each token's marginal. Tokens and messages are arrays, some 150
+bytes for each token however often it recurs, and messages are sent CHUNK edges at a time.
 
 Potentials are trained here, on the whole table: the patterns' labels are counted by shape, by transition and by agreement,
 in tables of fixed size, with sums on every task; tokens that no pattern took but that could be of a kind by themselves
@@ -18,9 +19,12 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from array import array
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +37,16 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0 is none
 SHAPES = 4096
 ROUNDS, DAMPING, SURE, CLAMP = 8, 0.5, 0.9, 12.0
+#: Edges whose messages are computed at once.
+CHUNK = 1 << 16
+#: Longest card: 19 digits, 18 separators.
+CARD_CHARS = 37
 
 _TRIGGER = re.compile(r"[0-9@]")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -76,27 +84,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", low)
     found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(octet, m.groups()))]
     for m in _CARD.finditer(text):
+        if m.end() - m.start() > CARD_CHARS:
+            continue
         digits = _OTHER.sub("", m[0])
         if 14 <= len(digits) <= 19 and luhn(digits):
             found.append((m.start(), 2, m.end()))
     if "+" in text:
-        found += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= len(_OTHER.sub("", m[0])) <= 15]
+        found += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= _count_digits(m[0]) <= 15]
     return sorted(found)
 
 
+def _count_digits(text: str) -> int:
+    data = text.encode()
+    return len(data) - len(data.translate(None, b"0123456789"))
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 @dataclass
-class Token:
-    start: int
-    end: int
-    place: int  # among all tokens of the text
-    shape: int
-    key: str
-    like: str
-    label: int  # by the base spans
+class Tokens:
+    """A text's tokens as columns: where they stand, place among all tokens, shape, label by the base spans, and the number of
+    the set of equal (key) and of similar (like) ones that each is in, -1 where it's alone."""
+
+    start: np.ndarray
+    end: np.ndarray
+    place: np.ndarray
+    shape: np.ndarray
+    label: np.ndarray
+    key: np.ndarray
+    like: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+
+def sets(hashes: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for values that stand more than once; -1 for those that don't, and for 0."""
+    out = np.full(len(hashes), -1, np.int32)
+    order = np.argsort(hashes, kind="stable")
+    value = hashes[order]
+    first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(value)))
+    many = (size > 1) & (value[first] != 0)
+    number = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
+    out[order] = np.repeat(number, size)
+    return out
+
+
+def _hash(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
 
 
 def shape_of(token: str) -> str:
@@ -107,35 +145,42 @@ def shape_of(token: str) -> str:
     return some + ("L" if luhn(digits) else "l") * (13 <= len(digits) <= 19)
 
 
-def tokens_of(text: str, base: list[tuple[int, int, int]]) -> list[Token]:
-    found, b = [], 0
-    for place, m in enumerate(_TOKEN.finditer(text)):
+def tokens_of(text: str, base: list[tuple[int, int, int]]) -> Tokens:
+    """The tokens that hold a digit or an @, without marks at their edges.
+
+    Equal: addresses but for case, numbers of six digits or more but for separators, all else as it stands. Similar: addresses but
+    for digits before the @, numbers of twelve digits or more with the same first eight (one issuer's). Sets are told by 64-bit hashes.
+    """
+    start, end, place, shape, label, key, like = (array(c) for c in "qqqHbQQ")
+    b = 0
+    for at, m in enumerate(_TOKEN.finditer(text)):
         word = m[0]
         if not _TRIGGER.search(word):
             continue
-        lead = len(word) - len(word.lstrip(EDGES))
         core = word.strip(EDGES)
-        start, end = m.start() + lead, m.start() + lead + len(core)
-        while b < len(base) and base[b][2] <= start:
+        first = m.start() + len(word) - len(word.lstrip(EDGES))
+        last = first + len(core)
+        while b < len(base) and base[b][2] <= first:
             b += 1
-        label = next((k + 1 for s, k, e in base[b : b + 4] if s < end and e > start), 0)
-        digits = _OTHER.sub("", core)
-        key = core.lower() if "@" in core else digits if len(digits) >= 6 else core
-        like = re.sub(r"[0-9.]+(?=@)", "", core.lower()) if "@" in core else digits[:8] if len(digits) >= 12 else ""
-        found.append(Token(start, end, place, zlib.crc32(shape_of(core).encode()) % SHAPES, key, like, label))
-    return found
-
-
-def skips(tokens: list[Token]) -> list[tuple[list[int], float]]:
-    """Sets of tokens that share potentials, with their weight: equal ones in full, similar ones in half."""
-    found = []
-    for name, weight in (("key", 1.0), ("like", 0.5)):
-        groups = defaultdict(list)
-        for i, t in enumerate(tokens):
-            if value := getattr(t, name):
-                groups[value].append(i)
-        found += [(g, weight) for g in groups.values() if len(g) > 1]
-    return found
+        own = 0
+        for s, k, e in islice(base, b, None):  # sorted by their beginnings
+            if s >= last:
+                break
+            if e > first:
+                own = k + 1
+                break
+        plain = core.isascii() and core.isdigit() and len(core) < 13
+        digits = core if plain else _OTHER.sub("", core)
+        mail = "@" in core
+        start.append(first)
+        end.append(last)
+        place.append(at)
+        shape.append(zlib.crc32((f"9{len(core)}" if plain else shape_of(core)).encode("utf-8", "surrogatepass")) % SHAPES)
+        label.append(own)
+        key.append(_hash(core.lower() if mail else digits if len(digits) >= 6 else core))
+        like.append(_hash(re.sub(r"[0-9.]+(?=@)", "", core.lower())) if mail else _hash(digits[:8]) if len(digits) >= 12 else 0)
+    whole = lambda a, kind: np.frombuffer(a, kind) if len(a) else np.zeros(0, kind)
+    return Tokens(whole(start, np.int64), whole(end, np.int64), whole(place, np.int64), whole(shape, np.uint16), whole(label, np.int8), sets(whole(key, np.uint64)), sets(whole(like, np.uint64)))
 
 
 @dataclass
@@ -160,44 +205,58 @@ class Field:
         odds = (agree[1] + 1) / (agree[0] + 1)
         return Field(np.log(own / own.sum(1, keepdims=True)), np.clip(ratio, -2, 2), float(np.clip(math.log(odds), 0.5, 3.0)))
 
-    def marginals(self, tokens: list[Token]) -> np.ndarray:
+    def marginals(self, tokens: Tokens) -> np.ndarray:
+        """A row for each token: the probability of each label."""
         n = len(tokens)
-        groups = skips(tokens)
-        own = np.concatenate([self.own[[t.shape for t in tokens]], np.zeros((len(groups), LABELS))])
-        for i, t in enumerate(tokens):
-            if t.label:
-                own[i, t.label] += CLAMP
-        same = np.eye(LABELS)
-        ends, tables = [], []
-        for i in range(n - 1):
-            if tokens[i + 1].place == tokens[i].place + 1:
-                ends.append((i, i + 1))
-                tables.append(self.step)
-        for g, (members, weight) in enumerate(groups):
-            for i in members:
-                ends.append((i, n + g))
-                tables.append(same * self.agree * weight)
-        if not ends:
-            return _normal(own)[:n]
-        a, b = np.array(ends).T
-        source, target = np.r_[a, b], np.r_[b, a]
-        m = len(a)
-        table = np.array(tables)
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
-        back = np.r_[np.arange(m, 2 * m), np.arange(m)]
-        message = np.zeros((2 * m, LABELS))
-        for _ in range(ROUNDS):
-            belief = own.copy()
-            np.add.at(belief, target, message)
-            out = belief[source] - message[back]
-            x = out[:, :, None] + table
-            top = x.max(1, keepdims=True)
-            new = np.log(np.exp(x - top).sum(1)) + top[:, 0]
-            new -= new.max(1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-        belief = own.copy()
-        np.add.at(belief, target, message)
-        return _normal(belief)[:n]
+        ties = [(np.flatnonzero(ids >= 0), ids[ids >= 0], float(self.agree * weight), int(ids.max(initial=-1)) + 1) for ids, weight in ((tokens.key, 1.0), (tokens.like, 0.5))]
+        link = np.flatnonzero(tokens.place[1:] == tokens.place[:-1] + 1)
+        # Messages in both directions of each edge, against label 0's, which is left out.
+        room = lambda edges: np.zeros((2, len(edges), LABELS - 1), np.float32)
+        chain, skip = room(link), [room(members) for members, *_ in ties]
+        for r in range(ROUNDS + 1):
+            belief = np.empty((n, LABELS), np.float32)
+            for low in range(0, n, CHUNK):
+                some = slice(low, low + CHUNK)
+                belief[some] = self.own[tokens.shape[some]]
+                marked = np.flatnonzero(tokens.label[some])
+                belief[low + marked, tokens.label[some][marked]] += CLAMP
+            for low in range(0, len(link), CHUNK):
+                some = slice(low, low + CHUNK)
+                belief[link[some] + 1, 1:] += chain[0, some]
+                belief[link[some], 1:] += chain[1, some]
+            hubs = []
+            for (members, hub, _, count), message in zip(ties, skip, strict=True):
+                held = np.zeros((count, LABELS), np.float32)
+                for low in range(0, len(members), CHUNK):
+                    some = slice(low, low + CHUNK)
+                    belief[members[some], 1:] += message[1, some]
+                    np.add.at(held, (hub[some], slice(1, None)), message[0, some])
+                hubs.append(held)
+            if r == ROUNDS:
+                break
+            for low in range(0, len(link), CHUNK):
+                some = slice(low, low + CHUNK)
+                _exchange(chain[:, some], belief[link[some]], belief[link[some] + 1], self.step)
+            for (members, hub, agree, _), message, held in zip(ties, skip, hubs, strict=True):
+                table = np.eye(LABELS) * agree
+                for low in range(0, len(members), CHUNK):
+                    some = slice(low, low + CHUNK)
+                    _exchange(message[:, some], belief[members[some]], held[hub[some]], table)
+        for low in range(0, n, CHUNK):
+            belief[low : low + CHUNK] = _normal(belief[low : low + CHUNK].astype(np.float64))
+        return belief
+
+
+def _exchange(message: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> None:
+    """Renew the messages a -> b (message[0]) and b -> a (message[1]) of some edges from both ends' beliefs; table[i, j] for a's i and b's j."""
+    sent = []
+    for own, back, t in ((a, message[1], table), (b, message[0], table.T)):
+        out = own.astype(np.float64)
+        out[:, 1:] -= back
+        new = np.log(np.exp(out - out.max(1, keepdims=True)) @ np.exp(t))
+        sent.append(new[:, 1:] - new[:, :1])
+    for k in range(2):
+        message[k] = DAMPING * message[k] + (1 - DAMPING) * sent[k]
 
 
 def _normal(log_p: np.ndarray) -> np.ndarray:
@@ -218,23 +277,25 @@ def holds(kind: int, value: str) -> bool:
     return not _DIGITS.sub("", value).strip(" ().+-") and 10 <= len(digits) <= 15 and any(c in value for c in "+(")
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], tokens: list[Token], field: Field) -> list[tuple[int, int, int]]:
+def added_spans(text: str, base: list[tuple[int, int, int]], tokens: Tokens, field: Field) -> list[tuple[int, int, int]]:
     """Runs of neighbouring tokens of one kind, surely so by their marginals, that no base span touches."""
-    if not tokens:
+    if not len(tokens):
         return []
     p = field.marginals(tokens)
-    label, sure = p.argmax(1), p.max(1)
+    label = p.argmax(1)
+    likely = np.flatnonzero((label > 0) & (tokens.label == 0) & (p.max(1) >= SURE))
+    del p
+    begins = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))
     found, i = [], 0
-    while i < len(tokens):
-        k = int(label[i])
-        if tokens[i].label or not k or sure[i] < SURE:
-            i += 1
-            continue
+    while i < len(likely):
+        k = int(label[likely[i]])
         j = i + 1
-        while k == 4 and j < len(tokens) and tokens[j].place == tokens[j - 1].place + 1 and label[j] == k and not tokens[j].label and sure[j] >= SURE:
+        while k == 4 and j < len(likely) and likely[j] == likely[j - 1] + 1 and tokens.place[likely[j]] == tokens.place[likely[j - 1]] + 1 and label[likely[j]] == k:
             j += 1
-        start, end = tokens[i].start, tokens[j - 1].end
-        if holds(k - 1, text[start:end]) and not any(s < end and e > start for s, _, e in base):
+        start, end = int(tokens.start[likely[i]]), int(tokens.end[likely[j - 1]])
+        before = bisect_left(begins, end)  # base spans that begin before this one ends
+        if holds(k - 1, text[start:end]) and not (before and reach[before - 1] > start):
             found.append((start, k - 1, end))
         i = j
     return found
@@ -253,17 +314,20 @@ def train(docs: DataFrame) -> Field:
                 text = value.as_py()
                 if text and _TRIGGER.search(text):
                     tokens = tokens_of(text, base_spans(text))
-                    told = [bool(t.label) or not any(holds(k, text[t.start : t.end]) for k in range(len(KINDS))) for t in tokens]
-                    for i, t in enumerate(tokens):
-                        if told[i]:
-                            seen[0, t.shape, t.label] += 1
-                            if i and told[i - 1] and t.place == tokens[i - 1].place + 1:
-                                seen[1, tokens[i - 1].label, t.label] += 1
-                    for members, weight in skips(tokens):
-                        if weight == 1.0 and (marked := [tokens[i].label for i in members]).count(0) < len(marked):
-                            most = Counter(marked).most_common(1)[0][1]
-                            seen[2, 1, 0] += most - 1
-                            seen[2, 0, 0] += len(marked) - most
+                    label = tokens.label.astype(np.int64)
+                    told = label > 0
+                    for i in np.flatnonzero(~told).tolist():
+                        own = text[tokens.start[i] : tokens.end[i]]
+                        told[i] = not any(holds(k, own) for k in range(len(KINDS)))
+                    step = np.flatnonzero(told[1:] & told[:-1] & (tokens.place[1:] == tokens.place[:-1] + 1))
+                    for kind, pairs in ((0, tokens.shape[told].astype(np.int64) * LABELS + label[told]), (1, label[step] * LABELS + label[step + 1])):
+                        for pair, n in zip(*np.unique(pairs, return_counts=True), strict=True):
+                            seen[kind, int(pair) // LABELS, int(pair) % LABELS] += int(n)
+                    held = tokens.key >= 0
+                    groups = np.bincount(tokens.key[held].astype(np.int64) * LABELS + label[held], minlength=LABELS * (int(tokens.key.max(initial=-1)) + 1)).reshape(-1, LABELS)
+                    marked = groups[groups[:, 1:].any(1)]
+                    seen[2, 1, 0] += int((marked.max(1, initial=0) - 1).sum())
+                    seen[2, 0, 0] += int((marked.sum(1) - marked.max(1, initial=0)).sum())
         if seen:
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([seen[k] for k in keys], pa.int64())], names=["kind", "a", "b", "n"])
