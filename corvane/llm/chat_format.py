@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOSS_ROLE = "assistant"
-#: Roles as other layouts name them.
+#: Roles as layouts that give a turn's sender (from, value) name them; everywhere else a role stands as it is.
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
 
 
@@ -141,7 +141,8 @@ def turns_of(record: object, known: Registry) -> tuple[str | None, str | None, l
     if layout.each:
         rows, role, text = layout.each
         found += [(_text(_at(r, role)), _text(_at(r, text))) for r in ((_at(record, rows) or []) if rows else [record])]
-    return print_, layout.name, [(ROLES.get(r, r), t) for r, t in found]
+    named = ROLES if layout.each and layout.each[1] == "from" else {}
+    return print_, layout.name, [(named.get(r, r), t) for r, t in found]
 
 
 def canonical_turns(records: DataFrame, payload: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
