@@ -67,6 +67,7 @@ class Encoder:
         return self.core.encode(text, allowed_special=self.special, disallowed_special=())
 
 
+LEAST_CHUNK = 64
 #: Every proven offset stands after the first byte of such a pair.
 MAY_BE_PROVEN = re.compile(rb"[!-~\x80-\xff][\t-\r ]")
 
@@ -127,8 +128,11 @@ def count_tokens(docs: DataFrame, id_col: str, text_col: str, ranks_path: str, s
 
     A null or empty text has 0 of both; special strings inside a text count as their one token; texts of any length are
     counted whole, also those of white space alone; repeated rows each give a row, also with null or equal ids; other
-    columns are dropped, whatever their names. An empty table gives an empty one.
+    columns are dropped, whatever their names. An empty table gives an empty one. chunk is in bytes, LEAST_CHUNK at least, and four
+    overlaps at least, so that every chunk holds whole characters beside its overlap.
     """
+    if chunk < LEAST_CHUNK or not 4 <= overlap <= chunk // 4:
+        raise ValueError(f"a chunk needs {LEAST_CHUNK} bytes, an overlap 4 to a quarter of the chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_path, special, pattern)
