@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, materialize
 
 CAPACITY, GRAIN, BUCKET_ROWS, SHIFT = 2048, 512, 4096, 24
 #: Texts with none of these are encoded by word; the others, by the library as a whole. Up to U+024F, no character composes with its neighbours or lowers by context.
@@ -182,4 +182,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain:
         return rows.drop(columns="bucket").assign(sequence_id=(np.int64(key[0]) << SHIFT) + window, offset=before - before[first])
 
     pieces = lean(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long")
+    pieces = materialize(pieces, "packing-cuts")  # buckets follow rows' places in a task, which a task that's run again needn't keep
     return pieces.groupBy("bucket").applyInPandas(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
