@@ -94,7 +94,7 @@ def transfers(blocks: list[tuple[int, int, int, int]], n_new: int) -> list[tuple
     n = len(blocks)
     source, pool, more, sink = n, n + 1, n + 2, n + 3
     shard = lambda j: n + 4 + j
-    scale = math.lcm(*{max(1, b[2]) for b in blocks}) if n < 64 else 1 << 20  # means as integers
+    scale = math.lcm(*{max(1, b[2]) for b in blocks})  # means as integers, exact however many blocks there are
     net = Flow(n + 4 + n_new)
     stay, move = {}, []
     for k, (old, _, rows, size) in enumerate(blocks):
