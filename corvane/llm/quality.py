@@ -28,11 +28,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import lean, materialize, small
 
 SAMPLE_ROWS = 20_000
-LEXICON_WORDS = 500
 #: Lengths in bytes of the beginnings of words that may enter the lexicon besides whole words, so that inflected forms count.
 STEMS = (5, 6, 7, 8)
-#: Documents that a word must be in, and the share of them that must be rejected ones, to enter the lexicon.
-WORD_DOCS, WORD_PURITY = 8, 0.98
+#: Rejected documents that a word must be in, as a number and as a share of all rejected ones in the sample, and the share
+#: of the word's documents that must be rejected, to enter the lexicon. Words of a few copies of one text don't.
+WORD_DOCS, WORD_SHARE, WORD_PURITY = 8, 0.01, 0.98
 FEATURES = 12
 
 UPPER, LOWER, DIGIT, SPACE_BYTES = (np.isin(np.arange(256), np.frombuffer(s, np.uint8)) for s in (bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b" \t\n\r\x0b\x0c"))
@@ -118,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([accept] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "accept", "n"])
 
     counts = known.mapInArrow(spell, "word binary, accept int, n long").groupBy("word").agg(F.sum(F.when(F.col("accept") == 0, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
-    listed = counts.where((F.col("bad") >= WORD_DOCS) & (F.col("bad") >= WORD_PURITY * F.col("n")) & (F.octet_length("word") >= 3)).orderBy(F.desc("bad"), "word").limit(LEXICON_WORDS).collect()
+    least = max(WORD_DOCS, WORD_SHARE * known.where("accept = 0").count())
+    listed = counts.where((F.col("bad") >= least) & (F.col("bad") >= WORD_PURITY * F.col("n")) & (F.octet_length("word") >= 3)).collect()  # a hundred times the words of a document at most
     lexicon = frozenset(bytes(r["word"]) for r in listed)
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
