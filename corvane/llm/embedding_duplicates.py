@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import lean, materialize, small
 from .components import components
 from .vectors import finite, groups_by_length
 
@@ -87,7 +87,7 @@ def _sides(size: int) -> tuple[int, int]:
 def _signs(size: int) -> np.ndarray:
     """Hadamard's matrix by Sylvester's rule: the sign is that of the parity of the places' common bits."""
     at = np.arange(size)
-    return 1.0 - 2.0 * (np.bitwise_count(at[:, None] & at) & 1)
+    return (1 - 2 * (np.bitwise_count(at[:, None] & at) & 1).astype(np.int8)).astype(np.float32)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -101,23 +101,24 @@ def turned(x: np.ndarray, count: int, seed: int, made: dict) -> np.ndarray:
     n, d = x.shape
     if d <= DENSE:
         if (seed, d) not in made:
-            made[seed, d] = rotations(d, count, seed)
+            made[seed, d] = rotations(d, count, seed).astype(np.float32)
         return (x @ made[seed, d]).reshape(n, count, d)
     size = 1 << (d - 1).bit_length()
     if (seed, d) not in made:
-        made[seed, d] = np.random.default_rng((seed, d)).choice([-1.0, 1.0], (count, 3, size))
+        made[seed, d] = np.random.default_rng((seed, d)).choice(np.array([-1, 1], np.float32), (count, 3, size))
     found = []
     for signs in made[seed, d]:
-        y = np.zeros((n, size))
+        y = np.zeros((n, size), np.float32)
         y[:, :d] = x
         for s in signs:
-            y = hadamard(y * s) / math.sqrt(size)
+            y = hadamard(y * s) / np.float32(math.sqrt(size))
         found.append(y)
     return np.stack(found, 1)
 
 
 def cells(x: np.ndarray, count: int, per: int, seed: int, made: dict) -> np.ndarray:
-    """count cell numbers for each row of x, from per rotations each."""
+    """count cell numbers for each row of x, from per rotations each, in single precision: cells only offer pairs, links are computed exactly."""
+    x = x.astype(np.float32)
     n, d = x.shape
     key = np.full((n, count), d, np.int64)
     for t in range(count):
@@ -156,7 +157,7 @@ def codes(vectors: DataFrame, plans: dict[int, tuple[int, int, int]]) -> DataFra
                 unit = [r.tobytes() for r in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), listed(bands), listed(lead), pa.array(signs, pa.binary()), pa.array(factor.astype(np.float32)), pa.array(unit, pa.binary())], names=["uid", "cells", "lead", "signs", "factor", "unit"])
 
-    return vectors.select("uid", "embedding").mapInArrow(run, "uid long, cells array<long>, lead array<long>, signs binary, factor float, unit binary")
+    return lean(vectors).select("uid", "embedding").mapInArrow(run, "uid long, cells array<long>, lead array<long>, signs binary, factor float, unit binary")
 
 
 def rotated(x: np.ndarray, made: dict) -> np.ndarray:
