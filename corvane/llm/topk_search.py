@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 from .vectors import finite, groups_by_length
 
 BUCKET_ROWS = 8192
@@ -45,7 +45,7 @@ def integers(vectors: DataFrame, scale: float) -> DataFrame:
                 taken = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(norm, pa.float64()), pa.array([r.tobytes() for r in v], pa.binary())], names=["uid", "vec_id", "norm", "packed"])
 
-    return vectors.select("uid", "vec_id", "embedding").mapInArrow(run, "uid long, vec_id long, norm double, packed binary")
+    return lean(vectors).select("uid", "vec_id", "embedding").mapInArrow(run, "uid long, vec_id long, norm double, packed binary")
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
