@@ -71,6 +71,12 @@ def test_long_white_space_is_counted_as_the_library_does(text):
     assert token_counts.spliced_count(e.ids, e.sizes, text, 1 << 16, 1 << 9) == len(library("byte_bpe_50k.json").encode(text, add_special_tokens=False))
 
 
+@pytest.mark.parametrize("sizes", [(8, 2), (64, 2), (64, 32), (63, 8)])
+def test_too_small_chunks_are_refused(docs, sizes):
+    with pytest.raises(ValueError, match="chunk"):
+        token_counts.count_tokens(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), {}, public_tokenizers.PATTERN, *sizes)
+
+
 def test_token_counts(docs, nothing, rows):
     call = lambda d: token_counts.count_tokens(d, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}, public_tokenizers.PATTERN, 2000, 64)
     t = library("byte_bpe_50k.json")
@@ -206,6 +212,8 @@ def test_escapes_are_reversible():
     ("record", "layout", "turns"),
     [
         ({"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": None}]}, "messages", [("user", "hi"), ("assistant", "")]),
+        ({"role": "human", "text": "q"}, "turn", [("human", "q")]),
+        ({"messages": [{"role": "bot", "content": "q"}, {"role": "assistant", "content": "a"}]}, "messages", [("bot", "q"), ("assistant", "a")]),
         ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, "conversations", [("user", "q"), ("assistant", "a")]),
         ({"instruction": "do", "input": "x", "output": "y"}, "instruction", [("user", "do\nx"), ("assistant", "y")]),
         ({"system": "s", "prompt": "p", "response": "r"}, "prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
@@ -550,6 +558,30 @@ def test_flow_moves_the_fewest_bytes(spark, seed):
     assert got[got.moved]["size"].sum() == fewest_bytes(shards, n_new)
 
 
+def test_flow_is_exact_with_many_blocks():
+    """Three blocks of each of 48 shards, whose means need a common denominator of many digits."""
+    r = random.Random(4)
+    shards = {j: [r.randrange(1, 5000) for _ in range(r.randrange(20, 60))] for j in range(48)}
+    shards[0] += [9] * ((2 - sum(map(len, shards.values()))) % 48)
+    low = sum(map(len, shards.values())) // 48
+    blocks = []
+    for j, own in shards.items():
+        own = sorted(own, reverse=True)
+        edge = own[low] if len(own) > low else None
+        parts = defaultdict(list)
+        for s in own:
+            parts[2 if edge is None or s > edge else 1 if s == edge else 0].append(s)
+        blocks += [(j, c, len(v), sum(v)) for c, v in parts.items()]
+    assert len(blocks) > 64
+    stays = defaultdict(int)
+    for old, block, first, end, new, _ in resharding.transfers(blocks, 48):
+        if old == new:
+            stays[old, block] += end - first
+    held = {(j, c): (n, size) for j, c, n, size in blocks}
+    moved = sum((n - stays[k]) * Fraction(size, n) for k, (n, size) in held.items())
+    assert moved == fewest_bytes(shards, 48)
+
+
 def test_resharding(spark, docs, nothing, rows):
     got = resharding.reshard_documents(docs, 6, 4).toPandas()
     assert sorted(got.doc_id) == sorted(r[0] for r in rows)
@@ -607,6 +639,29 @@ def test_quality(spark, docs, nothing):
     assert quality.keep_accepted(nothing, known).count() == 0
 
 
+def test_evidence_equals_a_plain_sum_of_features(spark):
+    """p of a fixed model, from each feature's definition by plain counting."""
+    r = np.random.default_rng(3)
+    model = quality.Model(frozenset([b"bad", b"terri*"]), r.normal(size=quality.FEATURES), r.uniform(0.5, 2, quality.FEATURES), r.normal(size=quality.FEATURES + 1))
+    texts = [None, "", "BAD, BAD news! 12 | x", "terrible Terribly fine; (ok) ok", "ÄÖ 漢字 #tag a_b {x} 😀", prose(8, 400), "a " * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: x["logit"] for x in quality.evidence(df, model).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        words = data.lower().split()
+        n, size, kinds = max(1, len(words)), max(1, len(data)), set(words)
+        count = lambda those: sum(b in those for b in data)  # noqa: B023, E731
+        upper, letters = count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+        bare = {w.strip(b".,;:!?'\"()-") for w in kinds}
+        hit = b"bad" in bare or any(len(w) > 5 and w.startswith(b"terri") for w in bare)
+        x = [
+            math.log(len(words) + 1) / 5, upper / max(1, letters), min(1, count(b"#$%&*@^~`_=+<>\\/{}[]") / n), min(1, count(b"!") / n), min(1, count(b"|") / n), min(1, count(b"0123456789") / size),
+            min(1, count(b".,;:?'\"()-") / n), math.log(1 + (len(data) - count(b" \t\n\r\x0b\x0c")) / n), len(kinds) / n, (1 - len(kinds) / n) * math.log(n + 1) / 5, sum(a == b for a, b in zip(words, words[1:])) / n, hit,
+        ]
+        want = sum(w * (v - m) / s for v, m, s, w in zip(x, model.mean, model.spread, model.weights)) + model.weights[-1]
+        assert got[i] == pytest.approx(max(-30, min(30, want))), (i, t)
+
+
 def brute_sites(rows):
     """The priors and each row's site posterior, straight from their definitions."""
     p = np.array([r[2] for r in rows])
@@ -716,9 +771,35 @@ def test_private_data(spark, docs, nothing, rows):
     assert [r["text"] for r in masked.where("doc_id = 12").collect()] == ["mail [EMAIL] or [IP]"]
 
 
+def test_masking_millions_of_numbers_in_little_memory():
+    """A text of 40 MB, all numbers, in a process of its own: its memory is the text's and some 150 bytes a token."""
+    import subprocess
+    import sys
+
+    run = """
+import random, resource
+import numpy as np
+from corvane.llm import private_data as P
+text = " ".join(map(str, random.Random(1).choices(range(1_000_000, 9_999_999), k=5_000_000))) + " a@b.cd 4539578763621486"
+field = P.Field(np.log(np.full((P.SHAPES, P.LABELS), 0.2)), np.eye(P.LABELS) * 0.3, 1.5)
+base, every = P.all_spans(text, field)
+masked = P.masked(text, every)
+assert len(base) == 2 and masked.endswith("[EMAIL] [CARD]"), (len(base), masked[-60:])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    done = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, timeout=900, check=True)
+    assert int(done.stdout) < 1_000_000  # kB
+
+
+def test_sets_of_equal_tokens():
+    assert private_data.sets(np.array([7, 0, 5, 7, 0, 9, 5, 7], np.uint64)).tolist() == [1, -1, 0, 1, -1, -1, 0, 1]
+    assert private_data.sets(np.zeros(0, np.uint64)).tolist() == []
+
+
 def test_messages_agree_with_exact_marginals():
     """On a tree, loopy messages are exact."""
-    tokens = [private_data.Token(i, i + 1, i * 2, i, "same" if i in (0, 2) else f"k{i}", "", 1 if i == 0 else 0) for i in range(3)]
+    n = np.arange(3)
+    tokens = private_data.Tokens(n, n + 1, n * 2, n.astype(np.uint16), np.array([1, 0, 0], np.int8), np.array([0, -1, 0], np.int32), np.full(3, -1, np.int32))
     r = np.random.default_rng(0)
     field = private_data.Field(np.log(r.dirichlet(np.ones(5), private_data.SHAPES)), np.zeros((5, 5)), 1.5)
     p = np.exp(field.own[[0, 1, 2]])
