@@ -2,8 +2,8 @@
 
 Sort-based streaming. Each task counts the terms of its own documents by (lang, source, term) first, with the number of those
 documents, and hands on what it holds whenever that reaches HELD entries; so a frequent term comes to the shuffle as a row
-for each task, not for each document. The rows are dealt by (lang, term) and sorted by (lang, term, source) within a
-partition; a scan that holds one run at a time adds up document frequencies and counts, keeps the terms that enough
+for each task, not for each document. The rows are dealt by (lang, term) and sorted by (term, lang, source) within a
+partition (the term first, as its first bytes tell most rows apart); a scan that holds one run at a time adds up document frequencies and counts, keeps the terms that enough
 documents have, and gives a row for each source that has the term. These rows give each group's total and vocabulary.
 
 With those, a count becomes a share p. Dealt and sorted once more, now with shares, each run gives partial sums for the pairs of
@@ -128,7 +128,7 @@ def kept_runs(parts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
         if held is not None:
             yield from told(held)
 
-    return parts.repartition("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(run, KEPT)
+    return parts.repartition("lang", "term").sortWithinPartitions("term", "lang", "source").mapInArrow(run, KEPT)
 
 
 def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ def shared_terms(rows: DataFrame) -> DataFrame:
             sums(rest, codes, held)
         yield from told(codes, held)
 
-    dealt = rows.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    dealt = rows.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
     return dealt.mapInArrow(run, "lang string, source string, item string, value long")
 
 
