@@ -30,14 +30,14 @@ from .common import lean, materialize, small
 SCALE = 1_000_000_000
 LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 #: Entries that a task combines before it hands them on, and rows of a batch that it hands on.
-HELD, BATCH = 600_000, 20_000
+HELD, BATCH = 1_000_000, 20_000
 #: Pairs of a run that are computed at once.
 PAIRS = 1 << 20
 
 #: ASCII letters in lower case, all other ASCII a blank; what isn't ASCII stands, byte by byte.
 _FOLD = bytes(c if c > 127 else c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
-#: Above a term's count in a task: the documents that hold it.
-_ONE = 1 << 48
+#: Above a term's count in a task: the documents that hold it, handed on before they are too many for 64 bits.
+_ONE, _DOCUMENTS = 1 << 40, 1 << 22
 
 PARTIAL = "lang string, term string, source string, docs long, n long"
 KEPT = "lang string, term string, source string, n long, total long, head boolean"
@@ -48,18 +48,15 @@ def partial_runs(docs: DataFrame) -> DataFrame:
 
     def rows(held: dict[tuple[str, str], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
         for (lang, source), own in held.items():
-            terms, counts = list(own), list(own.values())
+            terms, counts = pa.array(list(own), pa.binary()).cast(pa.string()), np.fromiter(own.values(), np.int64, len(own))
             for at in range(0, len(terms), BATCH):
-                part = terms[at : at + BATCH]
-                docs_n = [divmod(x, _ONE) for x in counts[at : at + BATCH]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([source] * len(part), pa.string()), pa.array([d for d, _ in docs_n], pa.int64()), pa.array([n for _, n in docs_n], pa.int64())],
-                    names=["lang", "term", "source", "docs", "n"],
-                )
+                part, both = terms.slice(at, BATCH), counts[at : at + BATCH]
+                named = [pa.repeat(pa.scalar(x, pa.string()), len(part)) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([named[0], part, named[1], pa.array(both // _ONE), pa.array(both % _ONE)], names=["lang", "term", "source", "docs", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], dict[bytes, int]] = {}
-        size = 0
+        size = documents = 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = held.setdefault((lang, source), {})
@@ -67,10 +64,10 @@ def partial_runs(docs: DataFrame) -> DataFrame:
                 for term, n in Counter(text.as_buffer().to_pybytes().translate(_FOLD).split(b" ")).items():
                     own[term] = own.get(term, 0) + _ONE + n
                 own.pop(b"", None)
-                size += len(own)
-                if size >= HELD:
+                size, documents = size + len(own), documents + 1
+                if size >= HELD or documents >= _DOCUMENTS:
                     yield from rows(held)
-                    held, size = {}, 0
+                    held, size, documents = {}, 0, 0
         yield from rows(held)
 
     return lean(docs).select("lang", "source", "text").mapInArrow(run, PARTIAL)
