@@ -120,7 +120,15 @@ def scc(spark, sf_dir):
     types = table(spark, sf_dir, "events").select(F.col("event_type").alias("node")).distinct()
     parts = G.components_of_cycles(event_edges(spark, sf_dir))
     every = types.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    return every.withColumn("size", F.count("*").over(Window.partitionBy("component")))
+    return every.join(every.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
+
+
+@query(f"WITH RECURSIVE {EDGES_SQL}, {NODES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), r AS (SELECT node AS a, node AS b FROM nodes UNION SELECT a, dst FROM r JOIN e ON src = b), c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), z AS (SELECT component, count(*) AS size FROM c GROUP BY component) SELECT size::BIGINT AS size, count(*)::BIGINT AS components, min(component) AS first FROM z GROUP BY size")
+def component_sizes(spark, sf_dir):
+    """Strongly connected components of all entities by their size: entities point one way, so each is one of its own."""
+    parts = G.components_of_cycles(entity_edges(spark, sf_dir))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("components"), F.min("component").alias("first"))
 
 
 @query(f"{SCC_SQL} SELECT e.src, e.dst, a.component FROM edges e JOIN scc a ON a.node = e.src JOIN scc b ON b.node = e.dst WHERE a.component = b.component")

@@ -1,6 +1,7 @@
 """Operators and functions on small tables."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +144,27 @@ def test_components_of_cycles(spark):
     assert edges == {(s, d) for s, d in pairs if want[s] == want[d]}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_graphs(spark, seed):
+    r = random.Random(seed)
+    n = (6, 20, 30)[seed]
+    pairs = [(f"n{r.randrange(n):02d}", f"n{r.randrange(n):02d}") for _ in range(int(n * (1.1, 1.3, 2.0)[seed]))] + [("n00", "n00"), ("n01", "n02"), ("n01", "n02")]
+    assert {x["node"]: x["component"] for x in G.components_of_cycles(graph(spark, pairs)).collect()} == brute_components(pairs)
+
+
+def test_components_of_long_chains(spark):
+    """A chain of 1000 nodes goes in one peel; two rings with a chain between them take rounds by the logarithm of their length."""
+    began = time.monotonic()
+    chain = [(f"{k:04d}", f"{k + 1:04d}") for k in range(1000)]
+    got = G.components_of_cycles(graph(spark, chain))
+    assert got.where("node <> component").count() == 0 and got.count() == 1001
+    assert time.monotonic() - began < 120
+    rings = [(f"{r}{k:03d}", f"{r}{(k + 1) % 16:03d}") for r in "az" for k in range(16)] + [(f"m{k:03d}", f"m{k + 1:03d}") for k in range(20)] + [("a005", "m000"), ("m020", "z010")]
+    found = {x["node"]: x["component"] for x in G.components_of_cycles(graph(spark, rings)).collect()}
+    assert found == {n: f"{n[0]}000" if n[0] in "az" else n for e in rings for n in e}
+    assert G.components_of_cycles(graph(spark, [("a", "b")]).where("false")).count() == 0
+
+
 def test_layers_and_reach(spark):
     e = graph(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("d", "c")])
     assert {r["node"]: r["layer"] for r in G.layers(e).collect()} == {"a": 1, "b": 2, "c": 3, "d": 1}
