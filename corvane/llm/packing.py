@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import lean, materialize
 
 CAPACITY, GRAIN, BUCKET_ROWS, SHIFT = 2048, 512, 4096, 24
-#: Texts with none of these are encoded by word; the others, by the library as a whole. Up to U+024F, no character composes with its neighbours or lowers by context.
-BEYOND_WORDS = re.compile("[^\x00-ɏ]|<\\|")
+#: Texts with none of these are encoded by word; the others, by the library as a whole. Up to U+024F, no character composes with its
+#: neighbours or lowers by context; U+001C to U+001F are white space to Python alone.
+BEYOND_WORDS = re.compile("[^\x00-\x1b\x20-ɏ]|<\\|")
 #: Fixed value: the tokenizer's own pattern for words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -97,7 +98,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Words(dict):
-    """Ids of each word as little-endian 32-bit bytes; forgets all when it holds too many.
+    """Ids of each word, and of each run without white space, as little-endian 32-bit bytes; forgets all when it holds too many.
 
     Words are merged by a faster engine with the library's own vocabulary, the end of a word as a blank, which no word
     holds. It may join two parts to any token of the vocabulary, not just by that token's own merge. That's the same: once
@@ -110,6 +111,7 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.runs: dict[str, bytes] = {}
         self.core, self.most, self.find = Tokenizer.from_file(path), most, regex.compile(WORD).findall
         letters = byte_letters()
         raw = lambda t: bytes(letters[c] for c in t)
@@ -129,7 +131,15 @@ class Words(dict):
     def ids(self, text: str) -> bytes:
         if BEYOND_WORDS.search(text):
             return self.bytes_of(text)
-        return b"".join(map(self.__getitem__, self.find(text.lower())))
+        runs = text.lower().split()  # no word holds white space
+        found = list(map(self.runs.get, runs))
+        if None in found:
+            if len(self.runs) >= 3 * self.most:
+                self.runs.clear()
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self.runs[runs[k]] = b"".join(map(self.__getitem__, self.find(runs[k])))
+        return b"".join(found)
 
 
 END = (1).to_bytes(4, "little")
