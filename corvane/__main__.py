@@ -36,12 +36,13 @@ def fix(spark, config) -> int:
     """
     import os
 
+    from corvane.plans.project import project_of
     from corvane.sources import inventory, tree, translations
-    from corvane.sources.config import Project, find_pubspec, parse_pubspec
+    from corvane.sources.store import materialize
 
-    pubspec = find_pubspec(config.root)
-    project = parse_pubspec(open(pubspec, encoding="utf-8").read()) if pubspec else Project()
-    kept = tree.classified(tree.read_tree(spark, config.root), list(config.exclude)).where("reason is null")
+    scanned = materialize(tree.classified(tree.read_tree(spark, config.root), list(config.exclude)), "tree")
+    project, _ = project_of(scanned, config.root)
+    kept = scanned.where("reason is null")
     made = inventory.fixes(kept.where("is_dart and content is not null and not endswith(path, '.g.dart')"), project.name)
     changed = 0
     for r in made.unionByName(inventory.fixed_translations(translations.translation_files(kept.where("not is_dir")))).toLocalIterator():

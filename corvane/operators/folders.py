@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import common_prefix_size, folder
+from corvane.operators.lanes import ranked_lanes
 
 
 def shared_root(files: DataFrame) -> DataFrame:
@@ -39,6 +40,31 @@ def sibling_edges(edges: DataFrame) -> DataFrame:
     return edges.select(below(a).alias("src"), below(b).alias("dst")).where("src <> dst").distinct()
 
 
+def depth_first(folders: DataFrame) -> DataFrame:
+    """folders: folder, with all folders above each but for the nameless root -> (folder, depth, pre, post, size).
+
+    pre and post are places from 1 in the order in which a depth-first walk comes to a folder and leaves it, children by name; size
+    counts the folder and all below it. So the folders below f are those with pre in (f.pre, f.pre + f.size). Names' order is that of
+    the lists of their parts, in which the whole is numbered by ranges; post = pre + size - depth follows from the ancestors that
+    are still open.
+    """
+    parts = F.split("folder", "/")
+    plain = folders.select("folder").distinct().withColumn("parts", parts)
+    upto = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))
+    sizes = plain.select(F.explode(upto).alias("folder")).groupBy("folder").agg(F.count("*").alias("size"))
+    numbered = ranked_lanes(plain.withColumn("whole", F.lit(0)), ["whole"], [F.col("parts")])
+    told = numbered.join(sizes, "folder").select("folder", F.size("parts").cast("long").alias("depth"), (F.col("lane") + 1).cast("long").alias("pre"), "size")
+    return told.select("folder", "depth", "pre", (F.col("pre") + F.col("size") - F.col("depth")).alias("post"), "size")
+
+
+def folder_metrics(folders: DataFrame, edges: DataFrame) -> DataFrame:
+    """(folder, incoming, outgoing): edges (src, dst, n) at each of folders, 0 where there are none."""
+    out = edges.groupBy(F.col("src").alias("folder")).agg(F.sum("n").alias("o"))
+    into = edges.groupBy(F.col("dst").alias("folder")).agg(F.sum("n").alias("i"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return folders.select("folder").distinct().join(into, "folder", "left").join(out, "folder", "left").select("folder", zero("i", "incoming"), zero("o", "outgoing"))
+
+
 def weighted(edges: DataFrame, a: Column, b: Column) -> DataFrame:
     return edges.groupBy(a.alias("src"), b.alias("dst")).agg(F.count("*").alias("weight"))
 

@@ -1,4 +1,4 @@
-"""Package dependencies: two levels under the roots, versions, use counts."""
+"""Package dependencies: two levels under the roots, versions, use counts; the package that a file belongs to."""
 
 from __future__ import annotations
 
@@ -35,3 +35,22 @@ def platforms(support: DataFrame) -> DataFrame:
     """Union of platform flags, package by package."""
     flags = [c for c in support.columns if c != "package"]
     return support.groupBy("package").agg(*[F.bool_or(c).alias(c) for c in flags])
+
+
+def nearest(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """files: path; manifests: folder ('' is the root) -> (path, manifest): the deepest folder above each distinct path that has one, null if none has.
+
+    A path's folders are made and joined by equality, so no pair is tested in vain.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("folder")))
+    paths = files.select("path").distinct()
+    tried = paths.select("path", F.explode(above).alias("a")).select("path", "a.depth", "a.folder")
+    held = tried.join(manifests.select("folder").distinct(), "folder").groupBy("path").agg(F.max_by("folder", "depth").alias("manifest"))
+    return paths.join(held, "path", "left")
+
+
+def sole(nearest_ones: DataFrame) -> DataFrame:
+    """nearest_ones: path, manifest -> one row (manifest): the tree's package, if every file belongs to one and to the same; else null."""
+    t = nearest_ones.agg(F.count("*").alias("n"), F.count("manifest").alias("held"), F.min("manifest").alias("low"), F.max("manifest").alias("high"))
+    return t.select(F.when((F.col("n") > 0) & (F.col("held") == F.col("n")) & (F.col("low") == F.col("high")), F.col("low")).alias("manifest"))

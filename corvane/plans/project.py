@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import deadcode, graph, localization, metrics, score, secrets, similarity, sorting
+from corvane.operators import deadcode, graph, intervals, localization, metrics, packages, score, secrets, similarity, sorting, syntax
 from corvane.sources import globs, translations, tree
 from corvane.sources.config import Config, Project, find_pubspec, parse_pubspec
 from corvane.sources.store import materialize
@@ -55,8 +55,8 @@ def ignored(facts: DataFrame, domain: str) -> DataFrame:
 
 def open_lines(rows: DataFrame, facts: DataFrame, domain: str) -> DataFrame:
     """rows: path, line. Without those in the reach of a directive for the domain: its own line and all of what begins there."""
-    held = facts.select(F.col("path").alias("p"), F.explode("directives").alias("d")).where(F.col("d.token").endswith(domain)).select("p", F.col("d.line").alias("from"), F.col("d.last").alias("upto"))
-    return rows.join(held, (F.col("path") == F.col("p")) & F.col("line").between(F.col("from"), F.col("upto")), "left_anti")
+    held = facts.select("path", F.explode("directives").alias("d")).where(F.col("d.token").endswith(domain)).select("path", F.col("d.line").alias("first"), F.col("d.last").alias("last"))
+    return intervals.outside(rows, held, ["path"])
 
 
 #: Named arguments of widgets whose strings nobody reads, and endings of files that hold texts.
@@ -113,13 +113,25 @@ def undocumented(plain: DataFrame, facts: DataFrame) -> DataFrame:
     return open_lines(bare, facts, "documentation")
 
 
+def project_of(scanned: DataFrame, root: str) -> tuple[Project, DataFrame]:
+    """The project of a scanned tree, by the nearest pubspec at or above root, else by the one that all its Dart files share; and the packages in the tree."""
+    inside = materialize(tree.packages(scanned.where("reason is null or reason = 'glob'")), "packages")
+    pubspec = find_pubspec(root)
+    if pubspec:
+        return parse_pubspec(open(pubspec, encoding="utf-8").read()), inside
+    only = packages.sole(packages.nearest(scanned.where("reason is null and is_dart and not is_test"), inside)).first()["manifest"]
+    if only is None:
+        return Project(), inside
+    text = scanned.where(F.col("path") == (f"{only}/pubspec.yaml" if only else "pubspec.yaml")).select("content").first()["content"]
+    return parse_pubspec(text or ""), inside
+
+
 def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Analysis:
     config = config or Config(root)
-    pubspec = find_pubspec(root)
-    project = parse_pubspec(open(pubspec, encoding="utf-8").read()) if pubspec else Project()
     scanned = materialize(tree.classified(tree.read_tree(spark, root), list(config.exclude)), "tree")
     kept = scanned.where("reason is null")
     dart = kept.where("is_dart and not is_test")
+    project, inside = project_of(scanned, root)
     facts = materialize(tree.extract(dart), "facts")
     artifacts = materialize(artifacts_of(facts), "artifacts")
     generated = globs.is_generated(F.col("path")) | globs.in_l10n(F.col("path")) | globs.is_generated_localization(F.col("path"))
@@ -127,8 +139,8 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
 
     # Dependency graph: edges between analysed files; files with a directive keep their node and lose their edges.
     nodes = facts.select(F.col("path").alias("node"))
-    every_edge = tree.import_edges(facts, project.name)
-    edges = materialize(graph.within_nodes(tree.import_edges(facts, project.name, ("import", "export")).join(ignored(facts, "layers").withColumnRenamed("path", "src"), "src", "left_anti"), nodes), "edges")
+    every_edge = tree.import_edges(facts, project.name, others=inside)
+    edges = materialize(graph.within_nodes(tree.import_edges(facts, project.name, ("import", "export"), inside).join(ignored(facts, "layers").withColumnRenamed("path", "src"), "src", "left_anti"), nodes), "edges")
     folders = graph.folder_edges(edges)
     file_cycles, folder_cycles = materialize(graph.cycle_edges(edges), "cycles"), graph.cycle_edges(folders)
     cyclic = file_cycles.limit(1).count() + folder_cycles.limit(1).count() > 0
@@ -160,7 +172,8 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     used = deadcode.used_in(facts.select("path", F.explode("used").alias("name")), live)
     symbols = plain.join(ignored(facts, "dead_code"), "path", "left_anti").select("path", F.explode("artifacts").alias("a")).where(F.col("a.kind") != "constructor").select("path", "a.kind", "a.name", "a.owner", F.col("a.first").alias("line"), "a.is_override", "a.is_preview", (F.col("a.is_abstract") & (F.col("a.kind") == "method")).alias("is_abstract"))
     unused = deadcode.unused_symbols(deadcode.excluded(symbols).where(~F.col("name").startswith("operator ")), used)
-    locals_ = plain.select("path", F.explode("unused_variables").alias("u")).select("path", "u.line", "u.name")
+    whole = dart.select("path", "content").join(plain.select("path").join(ignored(facts, "dead_code"), "path", "left_anti"), "path", "left_semi")
+    locals_ = open_lines(syntax.unused_variables(whole), facts, "dead_code")
     found["dead_code"] = (
         issue(dead, "dead_code", "dead_file", F.lit(None), F.col("path"))
         .unionByName(issue(open_lines(unused, facts, "dead_code"), "dead_code", F.concat(F.lit("dead_"), F.col("kind")), F.col("line"), T.qualified_name(F.col("owner"), F.col("name"))))
@@ -196,7 +209,7 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
             issues = issues.unionByName(found[a])
     issues = materialize(issues, "issues")
     tests = tree.extract(tree.tests_of(scanned))
-    consumed = tree.import_edges(tests, project.name).select(F.col("dst").alias("node")).join(nodes, "node", "left_semi").distinct()
+    consumed = tree.import_edges(tests, project.name, others=inside).select(F.col("dst").alias("node")).join(nodes, "node", "left_semi").distinct()
     reach = graph.reachable(reach_edges, consumed).select(F.col("node").alias("path")).join(facts, "path")
     kinds = lambda k: F.coalesce(F.sum(F.size(F.filter("artifacts", lambda a: a["kind"] == k))), F.lit(0)).cast("long")
     test_row = reach.agg(F.count("*").alias("consumed"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"), kinds("class").alias("classes"), kinds("method").alias("methods"), kinds("function").alias("functions"))

@@ -106,16 +106,14 @@ def parse_pubspec(text: str) -> Project:
 
 
 def find_pubspec(folder: str) -> str | None:
-    """The nearest pubspec.yaml upwards; else the only one below."""
+    """The nearest pubspec.yaml at or above the folder: a look at each folder on the way up."""
     at = os.path.abspath(folder)
     while True:
         if os.path.exists(p := os.path.join(at, "pubspec.yaml")):
             return p
         if os.path.dirname(at) == at:
-            break
+            return None
         at = os.path.dirname(at)
-    below = [os.path.join(d, "pubspec.yaml") for d, _, files in os.walk(folder) if "pubspec.yaml" in files]
-    return below[0] if len(below) == 1 else None
 
 
 def lock_versions(text: str) -> list[tuple[str, str]]:

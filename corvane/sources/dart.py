@@ -456,7 +456,7 @@ def scopes_of(line: int, code: list[Token], close: dict[int, int], declared: lis
 def facts(path: str, source: str) -> dict:
     """All facts of one file, from one pass over its text. A broken file has lines and nothing else."""
     lines = source.split("\n")
-    row: dict = {"path": path, "loc": sum(bool(x.strip()) for x in lines), "comment_lines": 0, "broken": False, "has_main": False, "artifacts": [], "strings": [], "numbers": [], "imports": [], "used": [], "directives": [], "unused_variables": [], "members": [], "listed": [], "widget_texts": [], "excused": [], "test_cases": 0}
+    row: dict = {"path": path, "loc": sum(bool(x.strip()) for x in lines), "comment_lines": 0, "broken": False, "has_main": False, "artifacts": [], "strings": [], "numbers": [], "imports": [], "used": [], "directives": [], "members": [], "listed": [], "widget_texts": [], "excused": [], "test_cases": 0}
     row["listed"] = [{"line": k + 1, "token": w.lower()} for k, x in enumerate(lines) if (m := _IGNORE.search(x)) for w in _DOMAIN.findall(m[1])]
     marked = [bool(EXCUSED.search(x)) for x in lines]
     row["excused"] = [k + 1 for k in range(len(lines)) if marked[k] or (k and marked[k - 1])]
@@ -509,8 +509,6 @@ def facts(path: str, source: str) -> dict:
             "is_complex": sum(bool(x.strip()) for x in lines[max(0, d.body_lines[0] - 1) : max(0, d.body_lines[1])]) >= 10, "commented": d.commented or d.documented,
             "signature": signature(d.head), "tokens": normalized(d.body) if d.kind != "class" and not d.arrow else [],
         })
-        if d.kind in ("function", "method") and d.body:
-            row["unused_variables"] += [{"line": t.line, "name": t.text} for t in _locals_unused(d.body)]
     return row
 
 
@@ -532,22 +530,3 @@ def member_kind(d: Declaration) -> str:
     opens = words.index("(") if "(" in words else len(words)
     accessor = any(w in ("get", "set") and k + 1 < len(words) and words[k + 1] == d.name for k, w in enumerate(words[:opens]))
     return "accessor" if accessor else "method"
-
-
-def _locals_unused(body: list[Token]) -> list[Token]:
-    """Variables that a body declares and never names again; _ isn't one."""
-    found = []
-    for i, t in enumerate(body[:-2]):
-        if t.kind == "name" and t.text in ("var", "final", "const"):
-            j = i + 1
-            names = []
-            while j < len(body) and body[j].text not in ("=", ";", "in", ")"):
-                if body[j].kind == "name":
-                    names.append(body[j])
-                j += 1
-            if names and j < len(body) and body[j].text in ("=", ";") and set(names[-1].text) != {"_"}:
-                name = names[-1]
-                rest = body[j:]
-                if not any((u.kind == "name" and u.text == name.text) or (u.kind == "string" and re.search(rf"\$\{{?[^}}]*\b{re.escape(name.text)}\b", u.text)) for u in rest):
-                    found.append(name)
-    return found

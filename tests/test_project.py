@@ -35,7 +35,6 @@ def test_facts():
     assert (got["A"]["first"], got["A"]["last"], got["A"]["parent"], got["A"]["documented"]) == (4, 13, "StatelessWidget", True)
     assert got["build"]["is_override"] and got["build"]["owner"] == "A" and got["build"]["loc"] == 6
     assert [i["uri"] for i in f["imports"]] == ["dart:io", "package:demo/src/a.dart", "b.dart"]
-    assert [u["name"] for u in f["unused_variables"]] == ["unused"]
     assert f["has_main"] and f["comment_lines"] == 3 and "A" not in f["used"] and "helper" in f["used"]
     assert dart.facts("x", "class A {")["broken"] and dart.facts("x", "var s = 'a")["broken"] and not dart.facts("x", "")["broken"]
     assert dart.comment_lines(dart.tokens("/* a\nb */ x // c\n// d")) == 3
