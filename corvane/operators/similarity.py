@@ -1,4 +1,8 @@
-"""Near-duplicate pairs by bounded edit distance: of short code-like strings, and of whole texts as words."""
+"""Near-duplicates by bounded edit distance: of short code-like strings, and of whole texts as words.
+
+Equal items are one class, known by its least id. Results are the members of the classes and the links between classes;
+copies are never exploded to pairs, and what pairs add up to follows from the classes' sizes (weights).
+"""
 
 from __future__ import annotations
 
@@ -18,15 +22,17 @@ def most_edits(n: Column, threshold: float) -> Column:
     return F.floor((F.lit(1.0) - F.lit(threshold)) * n).cast("int")
 
 
-def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
-    """items: id, signature, code (a character for each token) -> (a, b, similarity) with 1 - distance / longer >= threshold, a < b.
+def similar_codes(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """items: id, signature, code (a character for each token) -> members (id, class), links (a, b, similarity) of classes with 1 - distance / longer >= threshold, a < b.
 
     Only equal signatures meet, and equal codes are one class. A code that k edits turn into another leaves one of any k + 1
     pieces of the longer one whole, at most k places away. So pieces of the longer are joined by equality with the shorter's
     substrings of that length, and only classes that share one are measured; no class meets all others.
     """
-    classes = items.where("code is not null").groupBy("signature", "code").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("n", F.length("code"))
+    whole = items.where("code is not null and signature is not null").select("id", "signature", "code").distinct()
+    classes = whole.groupBy("signature", "code").agg(F.min("id").alias("rep")).withColumn("n", F.length("code"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "similar-classes")
+    members = whole.join(classes.select("signature", "code", "rep"), ["signature", "code"]).select("id", F.col("rep").alias("class"))
     some = classes.where("n > 0")
     piece = lambda n: F.floor(n / (most_edits(n, threshold) + 1)).cast("int")
     k = most_edits(F.col("n"), threshold)
@@ -37,13 +43,34 @@ def similar_pairs(items: DataFrame, threshold: float) -> DataFrame:
     pieces, parts = pieces.select("signature", "size", "p.gram", "long", "n_long", "k", F.col("p.at").alias("at_long")), parts.select("signature", "size", "q.gram", "short", "n_short", F.col("q.at").alias("at_short"))
     close = (F.abs(F.col("at_long") - F.col("at_short")) <= F.col("k")) & (F.col("n_short") <= F.col("n_long")) & (F.col("n_short") >= F.col("n_long") * F.lit(threshold)) & (F.col("long") != F.col("short"))
     met = pieces.join(parts, ["signature", "size", "gram"]).where(close).select(F.least("long", "short").alias("x"), F.greatest("long", "short").alias("y")).distinct()
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("code").alias(f"code_{c}"), F.col("ids").alias(f"ids_{c}"), F.col("n").alias(f"n_{c}"))
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("code").alias(f"code_{c}"), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(f"n_{c}"))
     near = met.join(side("x"), "x").join(side("y"), "y")
     longer = F.greatest("n_x", "n_y")
     near = near.withColumn("distance", F.call_function("levenshtein", "code_x", "code_y", most_edits(longer, threshold))).where("distance >= 0")
-    apart = near.select(F.explode("ids_x").alias("p"), "ids_y", (1 - F.col("distance") / longer.cast("double")).alias("similarity")).select("p", F.explode("ids_y").alias("q"), "similarity")
-    same = classes.where(F.size("ids") > 1).select(F.explode("ids").alias("p"), "ids").select("p", F.explode("ids").alias("q"), F.lit(1.0).alias("similarity")).where("p < q")
-    return apart.unionByName(same).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
+    return members, near.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"), (1 - F.col("distance") / longer.cast("double")).alias("similarity"))
+
+
+def weights(members: DataFrame, links: DataFrame, size: str = "loc") -> DataFrame:
+    """members: class and ``size``, a row for each; links: a, b, similarity -> (class, pairs, impact): what all pairs of members add up to.
+
+    A pair's impact is its similarity times the lesser of both sizes; it counts for its class, that of a link for class a. Members are
+    counted by size first, so a class of very many is a row for each size that it has.
+    """
+    held = materialize(members.groupBy("class", F.col(size).alias("size")).agg(F.count("*").alias("n")), "similar-sizes")
+    one = lambda k: held.select(F.col("class").alias(f"class_{k}"), F.col("size").alias(f"size_{k}"), F.col("n").alias(f"n_{k}"))
+    inside = one("x").join(one("y"), (F.col("class_x") == F.col("class_y")) & (F.col("size_x") <= F.col("size_y")))
+    number = F.when(F.col("size_x") == F.col("size_y"), F.col("n_x") * (F.col("n_x") - 1) / 2).otherwise(F.col("n_x") * F.col("n_y")).cast("long")
+    same = inside.select(F.col("class_x").alias("class"), number.alias("pairs"), (number * F.col("size_x").cast("double")).alias("impact"))
+    met = links.join(one("x"), F.col("a") == F.col("class_x")).join(one("y"), F.col("b") == F.col("class_y"))
+    number = F.col("n_x") * F.col("n_y")
+    apart = met.select(F.col("a").alias("class"), number.alias("pairs"), (number * F.least("size_x", "size_y") * F.col("similarity")).alias("impact"))
+    return same.unionByName(apart).groupBy("class").agg(F.sum("pairs").alias("pairs"), F.sum("impact").alias("impact")).where("pairs > 0")
+
+
+def listed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, similarity): each link, and each member with its class; so all that is alike is listed once, and copies of one item in proportion to their number."""
+    same = members.where(F.col("id") != F.col("class")).select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return links.select("a", "b", "similarity").unionByName(same)
 
 
 #: Words in a row that count as one gram of a text, and places of the table that tells common grams from rare ones.
@@ -103,8 +130,8 @@ def grams_of(words: np.ndarray, signature: int) -> np.ndarray:
     return _mixed(total + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def similar_texts(items: DataFrame, threshold: float) -> DataFrame:
-    """items: id, signature, text -> (a, b, similarity) with a < b, over whole texts as lower-cased words: distance <= most_edits(longer).
+def similar_texts(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """items: id, signature, text -> members (id, class), links (a, b, similarity) of classes with a < b, over whole texts as lower-cased words: distance <= most_edits(longer).
 
     Only equal signatures meet, and equal texts are one class. An edit changes at most GRAM grams, so two texts that are k edits
     apart share all but GRAM * k grams of each; with all grams in one order, the first GRAM * k + 1 of both have one in common.
@@ -160,7 +187,8 @@ def similar_texts(items: DataFrame, threshold: float) -> DataFrame:
                 own = batch.column(0).take(pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([own, *(pa.array(np.concatenate(c)) for c in (sizes, keys, places))], names=["key", "n", "gram", "place"])
 
-    first = words.mapInArrow(firsts, "key long, n int, gram long, place int").repartition("gram")  # the same for both sides
+    first = words.mapInArrow(firsts, "key long, n int, gram long, place int")
+    first = materialize(first, "similar-grams")  # read on both sides of a join whose large partitions the engine may split
     side = lambda k: first.select("gram", F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"at_{k}"))
     longer, shorter = F.greatest("n_x", "n_y"), F.least("n_x", "n_y")
     met = side("x").join(side("y"), "gram").where((F.col("x") < F.col("y")) & (longer - shorter <= most_edits(longer, threshold)))
@@ -205,7 +233,7 @@ def similar_texts(items: DataFrame, threshold: float) -> DataFrame:
     both = materialize(both.select("x", "y", "most", "bag_x", "bag_y").mapInArrow(likely, "x binary, y binary"), "similar-likely")
     text = lambda k: found.select(F.col("digest").alias(k), F.col("code").alias(f"text_{k}"))
     near = materialize(both.join(text("x"), "x").join(text("y"), "y").select("x", "y", "text_x", "text_y").mapInArrow(measured, "x binary, y binary, similarity double"), "similar-near")
-    ids = lambda k, name: members.select(F.col("digest").alias(k), F.col("id").alias(name))
-    apart = near.join(ids("x", "p"), "x").join(ids("y", "q"), "y").select("p", "q", "similarity")
-    same = ids("x", "p").join(ids("x", "q"), "x").where("p < q").select("p", "q", F.lit(1.0).alias("similarity"))
-    return apart.unionByName(same).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
+    reps = materialize(members.groupBy("digest").agg(F.min("id").alias("rep")), "similar-reps")
+    rep = lambda k: reps.select(F.col("digest").alias(k), F.col("rep").alias(f"rep_{k}"))
+    links = near.join(rep("x"), "x").join(rep("y"), "y").select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"), "similarity")
+    return members.join(reps, "digest").select("id", F.col("rep").alias("class")), links

@@ -182,12 +182,18 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
 
     # Near copies: tokens as characters, equal signatures, bounded edit distance.
     snippets = plain.join(ignored(facts, "duplicate_code"), "path", "left_anti").select("path", F.explode("artifacts").alias("a")).where((F.size("a.tokens") >= config.duplicate_min_tokens) & (F.col("a.loc") >= config.duplicate_min_lines))
-    symbol_codes = snippets.select(F.explode("a.tokens").alias("t")).distinct().withColumn("c", F.char(F.row_number().over(Window.orderBy("t")) + 34))  # a closed alphabet: about a hundred rows
+    symbol_codes = materialize(snippets.select(F.explode("a.tokens").alias("t")).distinct().withColumn("c", F.char(F.row_number().over(Window.orderBy("t")) + 34)), "symbols")
+    symbol_codes = F.broadcast(symbol_codes) if symbol_codes.count() <= similarity.BROADCAST_ROWS else symbol_codes  # normalized tokens: mostly some hundred
     coded = snippets.select(F.concat_ws(":", "path", F.format_string("%06d", F.col("a.first")), T.qualified_name(F.col("a.owner"), F.col("a.name"))).alias("id"), F.col("a.signature").alias("signature"), F.col("a.loc").alias("loc"), F.posexplode("a.tokens").alias("k", "t"))
-    items = coded.join(F.broadcast(symbol_codes), "t").groupBy("id", "signature", "loc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]), "").alias("code"))
-    pairs = similarity.similar_pairs(items.select("id", "signature", "code"), config.duplicate_similarity)
-    sizes = items.select(F.col("id").alias("a"), F.col("loc").alias("lines"))
-    duplicates = materialize(in_order(pairs.join(sizes, "a")), "duplicates")
+    items = coded.join(symbol_codes, "t").groupBy("id", "signature", "loc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]), "").alias("code"))
+    items = materialize(items, "snippets")
+    members, links = similarity.similar_codes(items.select("id", "signature", "code"), config.duplicate_similarity)
+    members = materialize(members, "snippet-classes")
+    links = materialize(links, "snippet-links")
+    lines = lambda c: items.select(F.col("id").alias(c), F.col("loc").alias(f"loc_{c}"))
+    pairs = similarity.listed(members, links).join(lines("a"), "a").join(lines("b"), "b").select("a", "b", "similarity", F.least("loc_a", "loc_b").alias("lines"))
+    duplicates = materialize(in_order(pairs), "duplicates")
+    weighed = similarity.weights(members.join(items.select("id", "loc"), "id"), links)
     found["duplicate_code"] = issue(duplicates.select(F.substring_index("a", ":", 1).alias("path"), "a", "b"), "duplicate_code", "duplicate", F.split("a", ":")[1], F.col("b"))
     readme = scanned.where("lower(path) = 'readme.md'").limit(1).count()
     found["documentation"] = issue(undocumented(plain, facts), "documentation", F.col("kind"), F.col("line"), F.col("name"))
@@ -218,8 +224,9 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
 
     counters = tree.counters(scanned)
     total = facts.agg(F.count("*").alias("files"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"), F.coalesce(F.sum(F.size("directives")), F.lit(0)).cast("long").alias("directives"))
-    counted = issues.agg(*[F.count_if(F.col("domain") == a).alias(f"{a}_issues") for a in score.AREAS])
-    impact = duplicates.agg(F.coalesce(F.sum(F.col("lines") * F.col("similarity")), F.lit(0.0)).alias("duplicate_impact"))
+    counted = issues.agg(*[F.count_if(F.col("domain") == a).alias(f"{a}_issues") for a in score.AREAS if a != "duplicate_code"])
+    impact = weighed.agg(F.coalesce(F.sum("impact"), F.lit(0.0)).alias("duplicate_impact"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    impact = impact.select("duplicate_impact", (F.col("pairs") if on("duplicate_code") else F.lit(0)).cast("long").alias("duplicate_code_issues"))
     row = total.join(counted).join(impact).join(metrics.size_score(limited).select(F.col("score").alias("size_score"))).join(edges.agg(F.count("*").alias("edges"))).join(classes.agg(F.count("*").alias("one_class_total")))  # a row each
     row = row.withColumns({f"{a}_enabled": F.lit(on(a)) for a in score.AREAS} | {"project": F.lit(project.name), "localization_on": F.lit(uses), "excludes": F.lit(len(config.exclude)), "disabled": F.lit(sum(not on(a) for a in score.COUNTED_AS_DISABLED))})
     row = materialize(row, "score-input")

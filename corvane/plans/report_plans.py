@@ -10,7 +10,7 @@ from corvane.operators import localization as L
 from corvane.operators import metrics as M
 from corvane.operators import overlay as O
 from corvane.operators import score as S
-from corvane.operators.similarity import similar_texts
+from corvane.operators.similarity import similar_texts, weights
 from corvane.plans.text_plans import NON_BLANK_SQL, files, table
 from corvane.sources.store import materialize
 
@@ -214,10 +214,11 @@ WITHOUT_INPUT = ("layers", "localization")
 
 
 def duplicate_impact(spark, sf_dir) -> DataFrame:
-    """(project, duplicates, impact): near copies among a source's documents, and the sum of their lines times their similarity."""
+    """(project, duplicates, impact): pairs of near copies among a source's documents, and the sum of their lines times their similarity, from classes alone."""
     d = files(spark, sf_dir).select(F.struct("doc_id", "source", T.non_blank_count(F.col("text")).alias("loc")).alias("id"), F.coalesce(F.concat(F.lit("/"), F.col("source")), F.lit("")).alias("signature"), "text")
-    pairs = similar_texts(d.where("id.loc > 0"), 0.9)
-    return materialize(pairs.groupBy(F.col("a.source").alias("project")).agg(F.count("*").alias("duplicates"), F.sum(F.col("a.loc") * F.col("similarity")).alias("impact")), "duplicate-impact")
+    members, links = similar_texts(d.where("id.loc > 0"), 0.9)
+    sums = weights(members.withColumn("loc", F.col("id.loc")), links)
+    return materialize(sums.groupBy(F.col("class.source").alias("project")).agg(F.sum("pairs").alias("duplicates"), F.sum("impact").alias("impact")), "duplicate-impact")
 
 
 def project_inputs(spark, sf_dir, copies: DataFrame | None = None) -> DataFrame:

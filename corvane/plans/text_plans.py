@@ -190,8 +190,8 @@ def secrets_entropy(spark, sf_dir):
 
 @query(None)
 def near_duplicates(spark, sf_dir):
-    """Pairs of documents of a language whose whole texts, as words, are nearly the same."""
-    from corvane.operators.similarity import similar_texts
+    """Documents of a language whose whole texts, as words, are nearly the same: each pair of different texts by their least documents, and each copy with the least of its text."""
+    from corvane.operators.similarity import listed, similar_texts
 
     docs = files(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("lang").alias("signature"), "text")
-    return similar_texts(docs, 0.9).withColumn("similarity", F.round("similarity", 6))
+    return listed(*similar_texts(docs, 0.9)).withColumn("similarity", F.round("similarity", 6))

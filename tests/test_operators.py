@@ -203,8 +203,11 @@ def test_similar_pairs(spark):
         return row[-1]
 
     want = {(a, b) for a, s, x in rows for b, t, y in rows if a < b and s == t and distance(x, y) <= int((1.0 - 0.9) * max(len(x), len(y)))}  # in doubles: 3 of 30 is too far
-    got = similarity.similar_pairs(spark.createDataFrame(rows, "id long, signature string, code string"), 0.9).collect()
-    assert {(r["a"], r["b"]) for r in got} == want
+    members, links = similarity.similar_codes(spark.createDataFrame(rows, "id long, signature string, code string"), 0.9)
+    of = {r["id"]: r["class"] for r in members.collect()}
+    linked = {(r["a"], r["b"]) for r in links.collect()}
+    assert all(a < b for a, b in linked) and set(of) == {r[0] for r in rows}
+    assert {(a, b) for a in of for b in of if a < b and (of[a] == of[b] or (min(of[a], of[b]), max(of[a], of[b])) in linked)} == want
 
 
 def test_overlay(spark):

@@ -3,7 +3,7 @@
 import random
 
 import duckdb
-
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import graph, lanes, similarity
@@ -52,8 +52,26 @@ def test_near_duplicates_compares_whole_texts(spark, tmp_path):
             if bool(i % 7) == bool(j % 7) and (d := edits(a, b)) <= int((1.0 - 0.9) * n):
                 want[j, i] = round(1 - d / n, 6) if n else 1.0
     got = QUERIES["near_duplicates"](spark, str(tmp_path)).collect()
-    assert {(x["a"], x["b"]): x["similarity"] for x in got} == want
-    assert len(got) == len(want) > 20
+    of = {i: i for i in range(len(texts))} | {x["b"]: x["a"] for x in got if x["similarity"] == 1.0}
+    linked = {(x["a"], x["b"]): x["similarity"] for x in got if x["similarity"] < 1.0}
+    found = {(i, j): 1.0 if of[i] == of[j] else linked.get((min(of[i], of[j]), max(of[i], of[j]))) for j in of for i in range(j)}
+    assert {k: v for k, v in found.items() if v is not None} == want
+    assert len(want) > 20
+
+
+def test_many_copies_are_one_class(spark):
+    """20,000 copies, in two layouts, and a near copy: 200 million pairs, of which none is made."""
+    body = [f"word{k}" for k in range(40)]
+    copies = spark.range(20_000).select(F.col("id"), F.lit("s").alias("signature"), F.when(F.col("id") % 4 == 0, "\n".join(body)).otherwise(" ".join(body)).alias("text"), F.when(F.col("id") % 4 == 0, 40).otherwise(1).alias("loc"))
+    near = spark.createDataFrame([(20_000, "s", " ".join([*body[:-1], "other"]), 7)], "id long, signature string, text string, loc int")
+    items = copies.unionByName(near)
+    members, links = similarity.similar_texts(items.drop("loc"), 0.9)
+    assert [tuple(r) for r in links.collect()] == [(0, 20_000, 1 - 1 / 40)]
+    assert members.where("class = 0").count() == 20_000
+    got = similarity.weights(members.join(items.select("id", "loc"), "id"), links).collect()
+    inner = 40 * (5000 * 4999 // 2) + (15_000 * 14_999 // 2) + 5000 * 15_000
+    assert len(got) == 1 and got[0]["pairs"] == 20_000 * 19_999 // 2 + 20_000
+    assert got[0]["impact"] == pytest.approx(inner + (5000 * 7 + 15_000) * (1 - 1 / 40))
 
 
 def test_word_distance():
