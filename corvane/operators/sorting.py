@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.lanes import ranked_lanes
+
 #: Life-cycle methods in their order.
 LIFECYCLE = ("initState", "dispose", "didChangeDependencies", "didUpdateWidget", "build")
 #: Import groups in their order: the language's own, packages, other absolute addresses, relative ones.
@@ -12,9 +14,15 @@ IMPORT_GROUPS = ("dart", "package", "other", "relative")
 
 
 def out_of_order(members: DataFrame) -> DataFrame:
-    """members: owner, ordinal, name -> (owner, unsorted): whether the names as they stand differ from the names in order."""
-    lists = members.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("now"), F.array_sort(F.collect_list(F.struct("name", "ordinal"))).alias("then"))
-    return lists.select("owner", (F.transform("now", lambda x: x["name"]) != F.transform("then", lambda x: x["name"])).alias("unsorted"))
+    """members: owner, ordinal (each once within an owner), name -> (owner, unsorted): whether the names as they stand differ from the names in order.
+
+    They do if any member's place by ordinal isn't its place by name and ordinal. Both are numbered by ranges, so an owner of very many
+    members is in many tasks.
+    """
+    plain = members.select("owner", "ordinal", "name")
+    now = ranked_lanes(plain, ["owner"], [F.col("ordinal")])
+    both = ranked_lanes(now.withColumnRenamed("lane", "stands"), ["owner"], [F.col("name"), F.col("ordinal")])
+    return both.groupBy("owner").agg(F.max(F.col("stands") != F.col("lane")).alias("unsorted"))
 
 
 def member_rank(kind: Column, name: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -10,6 +10,7 @@ from corvane.operators import localization as L
 from corvane.operators import metrics as M
 from corvane.operators import overlay as O
 from corvane.operators import score as S
+from corvane.operators.lanes import ranked_lanes
 from corvane.operators.similarity import similar_texts, weights
 from corvane.plans.text_plans import NON_BLANK_SQL, files, table
 from corvane.sources.store import materialize
@@ -174,7 +175,7 @@ def import_order(spark, sf_dir):
     u = F.col("url")
     group = F.when(u.startswith("https://www."), 1).when(u.startswith("https://"), 2).when(u.startswith("http://www."), 3).otherwise(4)
     p = table(spark, sf_dir, "pages").select("page_id", F.split(F.split("url", "://")[1], "/")[0].alias("host"), "url", group.alias("grp"))
-    return p.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("grp", "url", "page_id"))).select("page_id", "host", "place")
+    return ranked_lanes(p, ["host"], [F.col("grp"), F.col("url"), F.col("page_id")]).select("page_id", "host", (F.col("lane") + 1).alias("place"))
 
 
 @query(f"WITH {PAGES_SQL}, o AS (SELECT host, string_agg(url, ' ' ORDER BY page_id) AS is_now, string_agg(url, ' ' ORDER BY url, page_id) AS sorted FROM p GROUP BY host) SELECT host, is_now <> sorted AS unsorted FROM o")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import number_value, without_quotes
+from corvane.operators.lanes import ranked_lanes
 from corvane.operators.sorting import LIFECYCLE
 
 from . import dart
@@ -24,9 +25,13 @@ def literals(facts: DataFrame) -> DataFrame:
 
 
 def ignores(facts: DataFrame) -> DataFrame:
-    """(token, total, places): directives by token, with their sorted places."""
+    """(token, total, place, path, line): every directive, with the number of those of its token and its place among them, from 1, by path and line.
+
+    Places are numbered by ranges, so a token that stands everywhere is in many tasks, and no list of it is made.
+    """
     d = facts.select("path", F.explode("listed").alias("d")).select("path", "d.line", "d.token")
-    return d.groupBy("token").agg(F.count("*").alias("total"), F.sort_array(F.collect_list(F.struct("path", "line"))).alias("places")).orderBy("token")
+    placed = ranked_lanes(d, ["token"], [F.col("path"), F.col("line")]).select("token", (F.col("lane") + 1).cast("long").alias("place"), "path", "line")
+    return placed.join(d.groupBy("token").agg(F.count("*").alias("total")), "token").select("token", "total", "place", "path", "line").orderBy("token", "place")
 
 
 def used_keys(sources: DataFrame, keys: DataFrame, accessors: tuple[str, ...] = ("AppLocalizations.of(context)", "context.l10n", "l10n", "loc", "S.of(context)")) -> tuple[DataFrame, DataFrame]:
