@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 
@@ -34,7 +35,6 @@ def fix(spark, config) -> int:
 
     New contents are made on the executors and come to the driver one part at a time, where they're written.
     """
-    import os
 
     from corvane.plans.project import project_of
     from corvane.sources import inventory, tree, translations
@@ -82,19 +82,26 @@ def main(argv: list[str] | None = None) -> int:
     if args.show:
         return show(spark, config, args.show, args.json, args.list)
     a = analyze(spark, config.root, config)
-    print(reports.as_json(a) if args.json else "\n".join(reports.text_report(a, args.list)))
+    score = a.result.first()["score"]
+    if args.json:
+        print(reports.as_json(a))
+    else:
+        title, line, *rest = reports.text_report(a, args.list)
+        band = "excellent" if score >= 95 else "good" if score >= 85 else "fair" if score >= 70 else "poor"
+        print("\n".join([title, reports.colored(line, band, dict(os.environ) if sys.stdout.isatty() else {"NO_COLOR": "1"}), *rest]))
     placed = placed_edges(a.edges, a.layers)
-    for path, make in ((args.mermaid, graph_text.mermaid), (args.plantuml, graph_text.plantuml)):
+    at = lambda given, name: reports.output_path(given, config.root, name)
+    for path, name, make in ((args.mermaid, "graph.mmd", graph_text.mermaid), (args.plantuml, "graph.puml", graph_text.plantuml)):
         if path:
-            with open(path, "w", encoding="utf-8") as f:
+            with open(at(path, name), "w", encoding="utf-8") as f:
                 f.writelines(r["text"] + "\n" for r in make(placed, a.layers).toLocalIterator())
-    for path, make in ((args.svg, reports.files_svg), (args.folders, reports.folders_svg), (args.treemap, reports.treemap_svg)):
+    for path, name, make in ((args.svg, "files.svg", reports.files_svg), (args.folders, "folders.svg", reports.folders_svg), (args.treemap, "sizes.svg", reports.treemap_svg)):
         if path:
-            with open(path, "w", encoding="utf-8") as f:
+            with open(at(path, name), "w", encoding="utf-8") as f:
                 f.write(make(a))
     if args.issues:
         reports.write_issues(a, args.issues)
-    return reports.exit_code(a.result.first()["score"], config.strict)
+    return reports.exit_code(score, config.strict)
 
 
 if __name__ == "__main__":

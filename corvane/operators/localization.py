@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import translation_problem
+from corvane.functions.text import grouped, language_name, translation_problem
+from corvane.operators.lanes import ranked_lanes
 
 #: Problems in the order of reports.
 PROBLEMS = ("missing", "empty", "unchanged", "placeholder_mismatch", "duplicate_key", "unused_key")
@@ -120,6 +121,52 @@ def by_locale(found: DataFrame, locales: DataFrame, n_keys: int, every: bool = F
     return out.select("locale", F.lit(n_keys).cast("long").alias("total"), missing.alias("missing"), F.coalesce("problems", F.lit(0)).alias("problems"), share.alias("coverage"))
 
 
+def scan_stats(entries: DataFrame) -> DataFrame:
+    """entries: locale, key -> (locale, n): how many keys each locale has, but those that describe others (@); what a quick look at the files tells."""
+    return entries.where(F.col("locale").isNotNull()).groupBy("locale").agg(F.count_distinct(F.when(~F.col("key").startswith("@"), F.col("key"))).alias("n"))
+
+
+def scan_problems(stats: DataFrame) -> DataFrame:
+    """stats: locale, n -> (locale, total, missing): locales with fewer keys than the base one, all of which count as missing; none without a base that has keys."""
+    base = stats.join(base_locale(stats), "locale", "left_semi").select(F.col("locale").alias("base"), F.col("n").alias("total")).where("total > 0")  # one row at most
+    return stats.join(base).where("locale <> base and n < total").select("locale", "total", (F.col("total") - F.col("n")).alias("missing"))
+
+
+def report_lines(stats: DataFrame, problems: DataFrame, found: DataFrame, shown: int | None = 10) -> DataFrame:
+    """(part, locale, item, text): the report on translations, to be read in the order of its first three columns.
+
+    stats: locale, n (scan_stats); problems: locale, total, missing, summary; found: as details, of which each locale shows the first
+    ``shown`` (None: all). A locale has one line, padded to the widest name, and one for each detail.
+    """
+    many = lambda c: grouped(c.cast("long"))
+    label = F.concat(language_name(F.col("locale")), F.lit(" ("), F.col("locale"), F.lit(")"))
+    base = stats.join(base_locale(stats), "locale", "left_semi").select(label.alias("base"), F.col("n").alias("keys"))
+    head = problems.agg(F.count("*").alias("issues")).join(stats.agg(F.count("*").alias("languages"))).join(base, how="left")  # a row each
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    some = F.coalesce("keys", F.lit(0)) > 0
+    lines = [
+        (0, text("[!] ", many(F.col("issues")), " localization issues detected"), None), (1, F.lit("  [✓] Localization Summary:"), None), (2, text("    - Base language: ", F.coalesce("base", F.lit("Not detected"))), None),
+        (3, text("    - Total translation keys: ", many(F.col("keys"))), some), (4, text("    - Supported languages: ", many(F.col("languages"))), some), (5, text("    - Problem locales: ", many(F.col("issues"))), some), (6, F.lit("  [!] Localization Problems:"), some),
+    ]
+    shape = F.array_compact(F.array(*[F.when(F.lit(True) if when is None else when, F.struct(F.lit(k).alias("part"), t.alias("text"))) for k, t, when in lines]))
+    first = head.select(F.explode(shape).alias("l")).select("l.part", F.lit("").alias("locale"), F.lit(0).cast("long").alias("item"), "l.text")
+    named = problems.withColumn("label", label)
+    named = named.join(named.agg(F.max(F.char_length("label")).alias("width")))  # one row
+    covered = F.floor(100 * (F.col("total") - F.col("missing")) / F.greatest(F.col("total"), F.lit(1)))
+    wide = F.concat("label", F.repeat(F.lit(" "), (F.col("width") - F.char_length("label")).cast("int")))
+    each = named.select(F.lit(7).alias("part"), "locale", F.lit(0).cast("long").alias("item"), text("    - ", wide, ": ", many(F.greatest(covered, F.lit(0))), "% coverage (", F.col("summary"), ")").alias("text"))
+    listed = ranked_lanes(found.select("locale", "path", "line", "key", "problem"), ["locale"], [F.col("path"), F.col("line"), F.col("key"), F.array_position(F.array(*map(F.lit, PROBLEMS)), F.col("problem"))])
+    listed = listed.join(problems.select("locale"), "locale", "left_semi").withColumn("item", (F.col("lane") + 1).cast("long"))
+    kind = F.col("problem")
+    said = F.when(kind == "missing", text("missing ", F.col("key"), " in ", F.col("locale"))).when(kind == "unused_key", text("unused key ", F.col("key"), " in app source")).otherwise(text(F.replace(kind, F.lit("_"), F.lit(" ")), " ", F.col("key")))
+    one = listed.where(F.lit(True) if shown is None else F.col("item") <= shown).select(F.lit(7).alias("part"), "locale", "item", text("      - ", F.col("path"), ":", F.col("line").cast("string"), ": ", said).alias("text"))
+    out = first.unionByName(each).unionByName(one)
+    if shown is not None:
+        rest = listed.groupBy("locale").agg(F.count("*").alias("n")).where(F.col("n") > shown)
+        out = out.unionByName(rest.select(F.lit(7).alias("part"), "locale", (F.lit(shown) + 1).cast("long").alias("item"), text("      ... and ", many(F.col("n") - shown), " more").alias("text")))
+    return out
+
+
 def ordered(found: DataFrame) -> DataFrame:
     """Details in the order of reports: path, line, key, kind of problem."""
     return found.orderBy("locale", "path", "line", "key", F.array_position(F.array(*map(F.lit, PROBLEMS)), F.col("problem")))

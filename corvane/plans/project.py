@@ -32,6 +32,7 @@ class Analysis:
     excluded: DataFrame
     tests: DataFrame
     widgets: DataFrame  # kind, n
+    locale_report: DataFrame  # part, locale, item, text
     areas: DataFrame
     result: DataFrame
 
@@ -207,6 +208,11 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     own = arb.where(F.col("path") == (base or "")).select("locale")
     coverage = localization.by_locale(details, arb.select("locale").join(own, "locale", "left_anti"), n_keys)
     summary = localization.problem_summary(details.groupBy("locale", "problem").agg(F.count("*").alias("n")))
+    stats = localization.scan_stats(arb)
+    incomplete = materialize(coverage.join(summary, "locale"), "locale-problems")
+    if not incomplete.limit(1).count():  # where the analysis finds nothing, what a scan of the files tells
+        incomplete = localization.scan_problems(stats).withColumn("summary", F.concat(F.col("missing").cast("string"), F.lit(" missing")))
+    locale_report = localization.report_lines(stats, incomplete, details).where(F.lit(bool(arb.limit(1).count())))
     found["localization"] = issue(summary.select(F.col("locale").alias("path"), "summary"), "localization", "incomplete_locale", F.lit(None), F.col("summary"))
 
     issues = none
@@ -231,7 +237,7 @@ def analyze(spark: SparkSession, root: str, config: Config | None = None) -> Ana
     row = row.withColumns({f"{a}_enabled": F.lit(on(a)) for a in score.AREAS} | {"project": F.lit(project.name), "localization_on": F.lit(uses), "excludes": F.lit(len(config.exclude)), "disabled": F.lit(sum(not on(a) for a in score.COUNTED_AS_DISABLED))})
     row = materialize(row, "score-input")
     areas = score.areas(row)
-    return Analysis(project, config, counters, facts, artifacts, edges, layers, file_cycles, issues, duplicates, coverage, localization.ordered(details), tree.excluded(scanned), test_row, widgets, areas, score.overall(areas, score.suppression_points(row)))
+    return Analysis(project, config, counters, facts, artifacts, edges, layers, file_cycles, issues, duplicates, coverage, localization.ordered(details), tree.excluded(scanned), test_row, widgets, locale_report, areas, score.overall(areas, score.suppression_points(row)))
 
 
 def in_order(duplicates: DataFrame) -> DataFrame:

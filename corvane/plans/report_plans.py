@@ -57,6 +57,20 @@ def locale_summary(spark, sf_dir):
     return L.problem_summary(L.problem_counts(L.matrix(locale_entries(spark, sf_dir), "click-0")))
 
 
+@query(f"""WITH {LOCALES_SQL}, s AS (SELECT locale, count(DISTINCT key) AS n FROM entries GROUP BY locale), b AS (SELECT locale AS base, n AS total FROM s WHERE locale = (SELECT min(locale) FROM s)),
+p AS (SELECT locale, upper(split_part(locale, '-', 1)) || ' (' || locale || ')' AS label, total, total - n AS missing FROM s, b WHERE locale <> base AND n < total)
+SELECT 0::INT AS part, '' AS locale, 0::BIGINT AS item, '[!] ' || format('{{:,}}', (SELECT count(*) FROM p)) || ' localization issues detected' AS text UNION ALL SELECT 1, '', 0, '  [✓] Localization Summary:'
+UNION ALL SELECT 2, '', 0, '    - Base language: ' || upper(split_part(base, '-', 1)) || ' (' || base || ')' FROM b UNION ALL SELECT 3, '', 0, '    - Total translation keys: ' || format('{{:,}}', total) FROM b
+UNION ALL SELECT 4, '', 0, '    - Supported languages: ' || (SELECT count(*) FROM s) UNION ALL SELECT 5, '', 0, '    - Problem locales: ' || (SELECT count(*) FROM p) UNION ALL SELECT 6, '', 0, '  [!] Localization Problems:'
+UNION ALL SELECT 7, locale, 0, '    - ' || rpad(label, (SELECT max(length(label)) FROM p)::INT, ' ') || ': ' || floor(100.0::DOUBLE * (total - missing) / total)::BIGINT || '% coverage (' || missing || ' missing)' FROM p""")
+def locale_report(spark, sf_dir):
+    """The report on locales by a scan alone: what each has fewer than the base."""
+    stats = L.scan_stats(locale_entries(spark, sf_dir))
+    problems = L.scan_problems(stats).withColumn("summary", F.concat(F.col("missing").cast("string"), F.lit(" missing")))
+    none = spark.createDataFrame([], "locale string, path string, line long, key string, problem string")
+    return L.report_lines(stats, problems, none)
+
+
 @query("""WITH t AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, list_distinct(regexp_extract_all(html, 'href="/([a-zA-Z][a-zA-Z0-9_]*)"', 1)) AS names FROM pages),
 b AS (SELECT host, min(page_id) AS base FROM t GROUP BY host)
 SELECT t.host, t.page_id, len(list_filter(t.names, lambda x: NOT list_contains(p.names, x)))::BIGINT AS added, len(list_filter(p.names, lambda x: NOT list_contains(t.names, x)))::BIGINT AS lost FROM t JOIN b ON t.host = b.host JOIN t p ON p.page_id = b.base WHERE t.page_id <> b.base AND (added > 0 OR lost > 0)""")

@@ -115,6 +115,22 @@ def test_translation_problems(spark):
     assert localization.problem_summary(counts).first()["summary"] == "1 missing, 1 empty, 1 unchanged and 3 more"
 
 
+def test_locale_report(spark):
+    entries = [("en", f"k{k}") for k in range(1200)] + [("en", "@k1"), ("es", "k1"), ("pt_BR", "k1"), ("fr", "@k1")] + [("de", f"k{k}") for k in range(1200)] + [(None, "x")]
+    stats = localization.scan_stats(spark.createDataFrame(entries, "locale string, key string"))
+    problems = localization.scan_problems(stats)
+    assert sorted(map(tuple, problems.collect())) == [("es", 1200, 1199), ("fr", 1200, 1200), ("pt_BR", 1200, 1199)]
+    found = [("es", "app_es.arb", 3, "k2", "missing"), ("es", "app_es.arb", 2, "k3", "unused_key"), ("es", "app_es.arb", 9, "k4", "duplicate_key"), ("en", "app_en.arb", 1, "k", "empty")]
+    details = spark.createDataFrame(found, "locale string, path string, line long, key string, problem string")
+    rows = localization.report_lines(stats, problems.withColumn("summary", F.lit("some")), details, 2).orderBy("part", F.lower("locale"), "item").collect()
+    assert [r["text"] for r in rows] == [
+        "[!] 3 localization issues detected", "  [✓] Localization Summary:", "    - Base language: English (en)", "    - Total translation keys: 1,200", "    - Supported languages: 5", "    - Problem locales: 3", "  [!] Localization Problems:",
+        "    - Spanish (es)      : 0% coverage (some)", "      - app_es.arb:2: unused key k3 in app source", "      - app_es.arb:3: missing k2 in es", "      ... and 1 more", "    - French (fr)       : 0% coverage (some)", "    - Portuguese (pt_BR): 0% coverage (some)",
+    ]
+    nothing = localization.report_lines(stats.where("false"), problems.where("false").withColumn("summary", F.lit("")), details.where("false")).orderBy("part").collect()
+    assert [r["text"] for r in nothing] == ["[!] 0 localization issues detected", "  [✓] Localization Summary:", "    - Base language: Not detected"]
+
+
 def graph(spark, pairs):
     return spark.createDataFrame(pairs, "src string, dst string")
 
