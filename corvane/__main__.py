@@ -35,7 +35,6 @@ def fix(spark, config) -> int:
 
     New contents are made on the executors and come to the driver one part at a time, where they're written.
     """
-
     from corvane.plans.project import project_of
     from corvane.sources import inventory, tree, translations
     from corvane.sources.store import materialize
