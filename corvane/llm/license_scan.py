@@ -12,17 +12,24 @@ Words that no section has can't count, so blocks hold the others alone; the sect
 literals of the plan and their index is broadcast.
 
 Beside that, fixed phrases are found wherever their words stand consecutively.
+
+Texts are read once: what is written of a document are its number of words, what its phrases are, and where the words of
+sections stand. Frequencies, blocks and the join are made from that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word, once A-Z are lower-cased: anything but ASCII that is neither a letter nor a digit.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from .common import materialize
+
+#: A word, before A-Z are lower-cased: anything but ASCII that is neither a letter nor a digit. Character by character, as the
+#: engine looks single ones up in one table but tries ranges one after the other, which takes several times as long.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrases that are found word by word, with their labels.
@@ -86,57 +93,69 @@ def _list(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def _places(spaced: Column, phrase: str) -> tuple[Column, Column, Column]:
-    """(count, first, last) of a phrase in words that are parted, begun and ended by a space; places are word numbers from 0."""
-    wanted = F.lit(f" {phrase} ")
-    spaces = lambda s: (F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
-    there = F.contains(spaced, wanted)
-    count = F.when(there, F.regexp_count(spaced, F.lit(f"(?= {phrase} )"))).otherwise(0).cast("long")
-    first = F.when(there, spaces(F.substring_index(spaced, f" {phrase} ", 1)))
-    last = F.when(there, spaces(spaced) - 1 - spaces(F.substring_index(spaced, f" {phrase} ", -1)) - len(phrase.split()))
-    return count, first, last
+def words_in(rows: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """rows: doc_id, text -> doc_id, n_words, at: the wanted words in order, each with its number among all words, from 0."""
+    told = rows.select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    at = F.transform("words", lambda w, i: F.when(lowered(w).isin(list(wanted)), F.struct(i.alias("i"), lowered(w).alias("word"))))
+    return told.select("doc_id", F.size("words").cast("long").alias("n_words"), F.filter(at, lambda x: x.isNotNull()).alias("at"))
+
+
+def _places(phrase: str) -> Column:
+    """The numbers of the words where a phrase begins: its words are all in at, so where they're consecutive, they are so there."""
+    first, *more = phrase.split()
+    after = lambda j, k: F.get("at", j + k)
+    here = lambda x, j: reduce(lambda c, kw: c & (after(j, kw[0])["word"] == kw[1]) & (after(j, kw[0])["i"] == x["i"] + kw[0]), enumerate(more, 1), x["word"] == first)
+    return F.filter("at", here)["i"]
+
 
+def phrases_in(told: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES) -> DataFrame:
+    """told: doc_id, n_words, at -> these, n_base, first_word, last_word, base (labels)."""
+    told = told.select("*", F.array(*[_places(p) for p, _ in phrases]).alias("places"))
+    label = F.array_compact(F.array(*[F.when(F.size(F.col("places")[k]) > 0, F.lit(x)) for k, (_, x) in enumerate(phrases)]))
+    every = F.flatten("places")
+    return told.select("doc_id", "n_words", "at", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), label.alias("base"))
 
-def phrases_in(rows: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES) -> DataFrame:
-    """rows: key, doc_id, low -> key, doc_id, n_words, n_base, first_word, last_word, base (labels)."""
-    spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    told = rows.withColumn("words", F.regexp_extract_all("low", F.lit(WORD), F.lit(0))).select("key", "doc_id", F.size("words").cast("long").alias("n_words"), spaced.alias("spaced"))
-    found = [_places(F.col("spaced"), p) for p, _ in phrases]
-    told = told.select("key", "doc_id", "n_words", F.array(*[F.struct(c.alias("n"), a.alias("first"), z.alias("last")) for c, a, z in found]).alias("at"))
-    label = F.array_compact(F.array(*[F.when(F.col("at")[k]["n"] > 0, F.lit(x)) for k, (_, x) in enumerate(phrases)]))
-    total = F.aggregate("at", F.lit(0).cast("long"), lambda t, x: t + x["n"])
-    return told.select("key", "doc_id", "n_words", total.alias("n_base"), F.array_min(F.col("at")["first"]).alias("first_word"), F.array_max(F.col("at")["last"]).alias("last_word"), label.alias("base"))
 
+def needed(words: Sequence[str], percent: int) -> int:
+    """How many of a section's distinct words a block must hold."""
+    return -(-percent * len(words) // 100)
 
-def met_blocks(rows: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """rows: key, low -> (key, label, containment) for every block and section that meet; a pair may come more than once."""
-    spark, parts = rows.sparkSession, sections(templates)
+
+def met_blocks(told: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+    """told: key, n_words, at (null: no block can meet) -> (key, label, containment) for every block and section that meet; a pair may come more than once."""
+    spark, parts = told.sparkSession, sections(templates)
     vocabulary = sorted({w for _, ws in parts for w in ws})
-    if len(vocabulary) > MOST_WORDS:
-        raise ValueError(f"templates of more than {MOST_WORDS} distinct words")
     if not vocabulary:
-        return rows.select("key", F.lit("").alias("label"), F.lit(0.0).alias("containment")).where("false")
-    words = F.regexp_extract_all("low", F.lit(WORD), F.lit(0))
-    held = rows.select(F.explode(F.array_intersect(_list(vocabulary), words)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        return told.select("key", F.lit("").alias("label"), F.lit(0.0).alias("containment")).where("false")
+    told = told.where(F.col("at").isNotNull())
+    held = told.select(F.explode(F.array_distinct(F.col("at")["word"])).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     often = {r["word"]: r["n"] for r in held.collect()}  # a number for each word of the templates
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     index, prefix = [], set()
     for label, ws in parts:
         own = sorted(ws, key=rank.__getitem__)
-        need = -(-percent * len(own) // 100)
+        need = needed(own, percent)
         for place, word in enumerate(own[: len(own) - need + 1]):
             prefix.add(word)
             index.append((word, label, place, len(own), need, own))
     least = min(x[4] for x in index)
     entry = lambda x: F.struct(F.lit(x[0]).alias("word"), F.lit(x[1]).alias("label"), F.lit(x[2]).alias("place"), F.lit(x[3]).alias("n"), F.lit(x[4]).alias("need"), _list(x[5]).alias("section"))
     table = spark.range(1).select(F.inline(F.array(*map(entry, index))))
-    told = rows.select("key", words.alias("words")).withColumn("known", F.array_intersect(_list(order), "words"))
-    last = F.greatest(F.ceil((F.size("words") - WINDOW) / F.lit(STRIDE)), F.lit(0)).cast("int")
-    block = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_intersect(F.col("known"), F.slice("words", k * STRIDE + 1, WINDOW)))
-    # A document without any word of a prefix has no block to look at.
-    some = F.when(F.arrays_overlap("known", _list(sorted(prefix))), block).otherwise(F.array().cast("array<array<string>>"))
-    blocks = told.select("key", F.explode(some).alias("block")).where(F.size("block") >= least)
+    # Only blocks with a word of a prefix are looked at, each from the first such word in it; j is that word's place in at.
+    start = F.transform("at", lambda x, j: F.when(x["word"].isin(sorted(prefix)), F.struct(j.alias("j"), x["i"].alias("i"))))
+    told = told.select("key", "at", F.filter(start, lambda x: x.isNotNull()).alias("starts"), F.greatest(F.ceil((F.col("n_words") - WINDOW) / F.lit(STRIDE)), F.lit(0)).cast("int").alias("last"))
+    told = told.where(F.size("starts") > 0).withColumn("known", F.array_intersect(_list(order), F.col("at")["word"]))
+    down = lambda i: F.floor(i / F.lit(STRIDE)).cast("int")
+
+    def blocks_of(s: Column, t: Column) -> Column:
+        low = F.greatest(down(s["i"] - WINDOW) + 1, down(F.coalesce(F.get("starts", t - 1)["i"], F.lit(-1))) + 1, F.lit(0))
+        high = F.least(down(s["i"]), F.col("last"))
+        near = F.slice("at", F.greatest(s["j"] - WINDOW + 1, F.lit(0)) + 1, 2 * WINDOW - 1)
+        block = lambda k: F.array_intersect("known", F.filter(near, lambda x: (x["i"] >= k * STRIDE) & (x["i"] < k * STRIDE + WINDOW))["word"])
+        return F.when(low <= high, F.transform(F.sequence(low, high), block)).otherwise(F.array().cast("array<array<string>>"))
+
+    blocks = told.select("key", F.explode(F.flatten(F.transform("starts", blocks_of))).alias("block")).where(F.size("block") >= least)
     tried = blocks.select("key", "block", F.posexplode(F.slice("block", 1, F.size("block") - least + 1)).alias("at", "word"))
     size = F.size("block")
     possible = (size >= F.col("need")) & (F.least(F.col("n") - F.col("place"), size - F.col("at")) >= F.col("need"))
@@ -153,10 +172,17 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     each give a row, also with null ids; labels don't repeat; an empty table gives an empty one; other columns are
     dropped, whatever their names.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered(F.coalesce("text", F.lit(""))).alias("low"))
-    rows = rows.withColumn("key", F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "low").cast("binary")))
-    found = met_blocks(rows, templates, percent).groupBy("key").agg(F.collect_set("label").alias("met"), F.max("containment").alias("most"))
-    both = phrases_in(rows, phrases).join(found, "key", "left")
+    parts = sections(templates)
+    vocabulary = {w for _, ws in parts for w in ws}
+    if len(vocabulary) > MOST_WORDS:
+        raise ValueError(f"templates of more than {MOST_WORDS} distinct words")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    told = phrases_in(words_in(rows, sorted(vocabulary.union(*(p.split() for p, _ in phrases)))), phrases)
+    least = min((needed(ws, percent) for _, ws in parts), default=0)
+    some = F.when(F.size(F.array_distinct(F.col("at")["word"])) >= least, F.col("at"))
+    told = materialize(told.withColumn("at", some).withColumn("key", F.monotonically_increasing_id()), "licenses")
+    found = met_blocks(told, templates, percent).groupBy("key").agg(F.collect_set("label").alias("met"), F.max("containment").alias("most"))
+    both = told.drop("at").join(found, "key", "left")
     every = F.array_union("base", F.coalesce("met", F.array().cast("array<string>")))
     listed = lambda c: F.array_join(F.array_sort(c), ",")
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("most", F.lit(0.0)))

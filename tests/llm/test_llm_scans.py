@@ -210,3 +210,36 @@ def test_licenses_by_other_templates(spark, percent):
 def test_licenses_run_without_python(spark):
     plan = license_scan.scan(spark.createDataFrame([(1, "cc by")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_licenses_read_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        seen.add(1)
+        return text
+
+    rows = [(k, f"doc {k} released under the MIT license, all rights reserved") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.select("doc_id", F.udf(told, "string").asNondeterministic()("text").alias("text"))
+    got = license_scan.scan(docs)
+    assert sorted(map(repr, map(tuple, got.collect()))) == brute_licenses(rows)
+    assert seen.value == len(rows)
+
+
+def test_words_are_the_contracts(spark):
+    text = "".join(f"a{chr(c)}B7" for c in [*range(0x250), 0x2028, 0x212A, 0xFFFD, 0x1F600])
+    want = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
+    told = license_scan.words_in(spark.createDataFrame([(1, text)], "doc_id long, text string"), sorted({w.translate(str.maketrans(license_scan.UPPER, license_scan.LOWER)) for w in want}))
+    row = told.first()
+    assert row["n_words"] == len(want)
+    assert [x["word"] for x in row["at"]] == [w.translate(str.maketrans(license_scan.UPPER, license_scan.LOWER)) for w in want]
+
+
+def test_a_block_is_looked_at_once(spark):
+    line = "released under the mit license "
+    rows = [(1, line * 400), (2, "x " * 31 + line * 3), (3, line + "x " * 11 + line), (4, "x " * 28 + line), (5, "x " * 45 + line + "x " * 40)]
+    assert licenses_of(spark, rows) == brute_licenses(rows)
+    told = license_scan.words_in(spark.createDataFrame(rows[:1], "doc_id long, text string"), line.split()).withColumnRenamed("doc_id", "key")
+    met = license_scan.met_blocks(told, (("mit", line),), 100)
+    assert met.count() == 124  # blocks of 2000 words: one word is the prefix, so a block and its section meet once
